@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import line_rules, mixing, sharding
 
 
 def queries() -> dict:
     return {
         "op5_sharding": sharding.op5_sharding,
+        "op8_line_rules": line_rules.op8_line_rules,
         "op9_mixing": mixing.op9_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op8_line_rules": line_rules.OP8_SQL,
+    }
