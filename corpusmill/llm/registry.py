@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import line_rules, mixing, sharding
+from . import decontamination, line_rules, mixing, sharding
 
 
 def queries() -> dict:
     return {
+        "op2_decontamination": decontamination.op2_decontamination,
         "op5_sharding": sharding.op5_sharding,
         "op8_line_rules": line_rules.op8_line_rules,
         "op9_mixing": mixing.op9_mixing,
@@ -15,5 +16,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_decontamination": decontamination.OP2_SQL,
         "op8_line_rules": line_rules.OP8_SQL,
     }
