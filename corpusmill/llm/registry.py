@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontamination, line_rules, mixing, sharding
+from . import decontamination, line_rules, mixing, sharding, warc
 
 
 def queries() -> dict:
     return {
         "op2_decontamination": decontamination.op2_decontamination,
         "op5_sharding": sharding.op5_sharding,
+        "op6_warc": warc.op6_warc,
         "op8_line_rules": line_rules.op8_line_rules,
         "op9_mixing": mixing.op9_mixing,
     }
