@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontamination, line_rules, mixing, sharding, warc
+from . import decontamination, html_text, line_rules, mixing, sharding, warc
 
 
 def queries() -> dict:
     return {
         "op2_decontamination": decontamination.op2_decontamination,
+        "op4_html_text": html_text.op4_html_text,
         "op5_sharding": sharding.op5_sharding,
         "op6_warc": warc.op6_warc,
         "op8_line_rules": line_rules.op8_line_rules,
