@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, html_text, line_rules, mixing, sharding, warc
+from . import decontamination, html_text, language_id, line_rules, mixing, sharding, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op4_html_text": html_text.op4_html_text,
         "op5_sharding": sharding.op5_sharding,
         "op6_warc": warc.op6_warc,
+        "op7_language_id": language_id.op7_language_id,
         "op8_line_rules": line_rules.op8_line_rules,
         "op9_mixing": mixing.op9_mixing,
     }
