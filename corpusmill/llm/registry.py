@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontamination, html_text, language_id, line_rules, mixing, sharding, warc
+from . import decontamination, html_text, language_id, line_rules, mixing, quality_bayes, sharding, warc
 
 
 def queries() -> dict:
     return {
+        "op1_quality_bayes": quality_bayes.op1_quality_bayes,
         "op2_decontamination": decontamination.op2_decontamination,
         "op4_html_text": html_text.op4_html_text,
         "op5_sharding": sharding.op5_sharding,
