@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontamination, html_text, language_id, line_rules, mixing, quality_bayes, sharding, warc
+from . import decontamination, html_text, language_id, line_rules, mixing, quality_bayes, sharding, substring_dedup, warc
 
 
 def queries() -> dict:
     return {
         "op1_quality_bayes": quality_bayes.op1_quality_bayes,
         "op2_decontamination": decontamination.op2_decontamination,
+        "op3_substring_dedup": substring_dedup.op3_substring_dedup,
         "op4_html_text": html_text.op4_html_text,
         "op5_sharding": sharding.op5_sharding,
         "op6_warc": warc.op6_warc,
