@@ -62,8 +62,7 @@ def probes(windows: DataFrame, frequency: DataFrame, rarest: int = 3) -> DataFra
 def build_index(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """Postings (term, doc, key, places): the positions of each term in each document, of all terms or of those given.
 
-    Positions are gathered within a document's own row, so the index needs no shuffle of tokens: an
-    occurrence is a row (term, document, place) and a list is made where lists meet.
+    A list is as long as a term is frequent in one document; a term's lists are dealt by document.
     """
     rows = docs.select("doc", "key", F.posexplode(tokens(F.col("text"))).alias("place", "term"))
     if terms is not None:

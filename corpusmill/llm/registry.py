@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, html_text, language_id, line_rules, mixing, quality_bayes, sharding, substring_dedup, warc
+from . import decontamination, html_text, language_id, line_rules, mixing, ngram_join, quality_bayes, sharding, substring_dedup, warc
 
 
 def queries() -> dict:
@@ -16,6 +16,7 @@ def queries() -> dict:
         "op7_language_id": language_id.op7_language_id,
         "op8_line_rules": line_rules.op8_line_rules,
         "op9_mixing": mixing.op9_mixing,
+        "op10_ngram_join": ngram_join.op10_ngram_join,
     }
 
 
