@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Text bytes that one step takes; a longer text is a step of its own.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 1 << 20
 U = np.uint64
 SPACES = np.zeros(256, dtype=bool)
 SPACES[[32, 9, 10, 11, 12, 13]] = True

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import rolling
-from .common import stored
+from .common import SPACE, stored
 
 LAST = (1 << 63) - 1
 BLOCK = 1 << 18
@@ -52,31 +52,41 @@ def places(h: np.ndarray, row: int, width: int) -> np.ndarray:
     return ((h * np.uint64(ROWS[row])) >> np.uint64(64 - (width.bit_length() - 1))).astype(np.int64)
 
 
+def count_places(counters: np.ndarray, place: np.ndarray) -> None:
+    """Adds sorted places to one row of two-bit counters, four in a byte, which stop at two."""
+    if not len(place):
+        return
+    new = np.concatenate([[True], place[1:] != place[:-1]])
+    first = np.flatnonzero(new)
+    times = np.minimum(np.diff(np.concatenate([first, [len(place)]])), 2).astype(np.uint8)
+    place = place[first]
+    for lane in range(4):
+        mine = (place & 3) == lane  # each byte comes once for a lane
+        at, shift = place[mine] >> 2, np.uint8(2 * lane)
+        now = counters[at]
+        sum_ = np.minimum((now >> shift & 3) + times[mine], 2).astype(np.uint8)
+        counters[at] = now & ~np.uint8(3 << 2 * lane) | sum_ << shift
+
+
 def sketch_batches(size: int, width: int):
-    """Counts the windows of a partition; leaves blocks of counters, four in a byte, compressed."""
+    """Counts the windows of a partition; leaves compressed blocks of counters."""
 
     def count(batches):
         import pyarrow as pa
 
-        table = np.zeros((len(ROWS), width), dtype=np.uint8)
+        schema = pa.schema([("block", pa.int64()), ("counters", pa.binary())])
+        table = np.zeros((len(ROWS), width // 4), dtype=np.uint8)
         for batch in batches:
             for step in rolling.steps(batch.column("text")):
                 at, _ = step.windows(size)
                 h = rolling.window_hashes(step.hashes(0), size)[at]
                 for row in range(len(ROWS)):
-                    place = np.sort(places(h, row, width))
-                    if len(place):
-                        again = place[1:][place[1:] == place[:-1]]
-                        once = place[np.concatenate([[True], place[1:] != place[:-1]])]
-                        table[row][once] = np.minimum(table[row][once] + 1, 2)
-                        table[row][again] = 2
+                    count_places(table[row], np.sort(places(h, row, width)))
         for row in range(len(ROWS)):
             for block in range(0, width, BLOCK):
-                part = table[row, block : block + BLOCK]
+                part = table[row, block // 4 : (block + BLOCK) // 4]
                 if part.any():
-                    four = part.reshape(-1, 4)
-                    packed = four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6
-                    yield pa.RecordBatch.from_pydict({"block": [row * width + block], "counters": [zlib.compress(packed.tobytes(), 1)]}, pa.schema([("block", pa.int64()), ("counters", pa.binary())]))
+                    yield pa.RecordBatch.from_pydict({"block": [row * width + block], "counters": [zlib.compress(part.tobytes(), 1)]}, schema)
 
     return count
 
@@ -182,7 +192,7 @@ def repeat_batches(batches):
         yield pa.RecordBatch.from_arrays([pa.array(doc[repeat]), batch.column("id64").filter(pa.array(repeat)), pa.array(start[repeat])], names=["doc", "id64", "start"])
 
 
-def cover_batches(size: int):
+def cover_batches(size: int, with_text: bool):
     """What each text keeps."""
 
     def cover(batches):
@@ -203,7 +213,7 @@ def cover_batches(size: int):
                 out["n_removed"].append(int(len(word) - keep.sum()))
                 out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
                 out["full_sha256"].append(out["kept_sha256"][-1] if keep.all() else hashlib.sha256(b" ".join(word)).hexdigest())
-                out["kept_text"].append(kept.decode())
+                out["kept_text"].append(kept.decode() if with_text else None)
             kinds = [("key", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("full_sha256", pa.string()), ("kept_text", pa.string())]
             yield pa.RecordBatch.from_pydict(out, pa.schema(kinds))
 
@@ -222,11 +232,27 @@ def repeats(texts: DataFrame, size: int, max_width: int) -> DataFrame:
     return repeat.groupBy("doc", "id64").agg(F.collect_list("start").alias("starts"))
 
 
+COVERED = "key string, n_words long, n_removed long, kept_sha256 string, full_sha256 string, kept_text string"
+
+
+def covered_texts(texts: DataFrame, size: int, max_width: int, with_text: bool) -> DataFrame:
+    starts = repeats(texts, size, max_width)
+    return texts.join(starts, ["doc", "id64"], "left").select("key", "text", "starts").mapInArrow(cover_batches(size, with_text), COVERED)
+
+
+def dedup_texts(docs: DataFrame, size: int = 20, max_width: int = 1 << 27) -> DataFrame:
+    """(doc_id, kept_text) of the documents that keep a word: the words that are left, joined by one space."""
+    texts = stored(distinct_texts(docs), "dedup-texts")
+    covered = covered_texts(texts, size, max_width, with_text=True).join(texts.select("key", "doc"), "key")
+    own = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("own"), F.md5("text").alias("key"), "text").join(covered, "key")
+    short = F.regexp_replace(F.trim(F.regexp_replace("text", SPACE, " ")), "^ | $", "")
+    return own.select("doc_id", F.when(F.col("own") == F.col("doc"), F.col("kept_text")).when(F.col("n_words") < size, short).otherwise(F.lit("")).alias("kept_text")).filter("kept_text != ''")
+
+
 def dedup(docs: DataFrame, size: int = 20, max_width: int = 1 << 27) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row of docs (doc_id, text)."""
     texts = stored(distinct_texts(docs), "dedup-texts")
-    starts = repeats(texts, size, max_width)
-    covered = texts.join(starts, ["doc", "id64"], "left").select("key", "text", "starts").mapInArrow(cover_batches(size), "key string, n_words long, n_removed long, kept_sha256 string, full_sha256 string, kept_text string")
+    covered = covered_texts(texts, size, max_width, with_text=False)
     firsts = stored(covered.drop("kept_text"), "dedup-firsts").join(texts.select("key", "doc"), "key")
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
     rows = docs.select("doc_id", doc.alias("own"), F.md5("text").alias("key")).join(firsts, "key", "left")
