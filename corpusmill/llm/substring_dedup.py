@@ -3,14 +3,14 @@
 A window is `width` consecutive words of one document.  A word goes if a window over it also starts
 earlier: in a document with a smaller doc_id, or earlier in the same one.
 
-1. Equal texts are reduced to their first document; in a later copy every window starts earlier.
-2. Each partition counts hashes of all windows in a count-min sketch; the counters stop at two, as only
+1. Each partition counts hashes of all windows in a count-min sketch; the counters stop at two, as only
    "once" and "more than once" matter.  The sketches are merged block by block.  A counter never
    understates, so a window that occurs twice is always estimated repeated.
-3. A second pass sends on the windows estimated repeated, with 128 bits of hash, and within
-   each step of text only the first of equal ones.  Sorted by hash and place, all but the first of
-   equal windows are repeats; nothing is lost, and what the sketch overestimated falls out here.
-4. Repeats go back to their texts and cover words.
+2. A second pass sends on the windows estimated repeated, with 128 bits of hash.  Of equal ones within a
+   step of text only the first goes on; the others are repeats already and leave as runs.  Sorted by hash
+   and place, all but the first of equal windows are repeats; nothing is lost, and what the sketch
+   overestimated falls out here.
+3. Repeats go back to their documents and cover words.
 
 The sketch has two rows of a power of two counters, about two for each window up to `max_width`;
 beyond that its estimates get worse, more windows take the exact pass, and results stay the
@@ -32,7 +32,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import rolling
-from .common import SPACE, stored
 
 LAST = (1 << 63) - 1
 BLOCK = 1 << 18
@@ -40,12 +39,9 @@ BLOCK = 1 << 18
 ROWS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
-def distinct_texts(docs: DataFrame) -> DataFrame:
-    """(key, doc, id64, text): each text once with its smallest doc_id; copies meet before the shuffle and after it."""
-    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
-    rows = docs.filter(F.col("text").isNotNull()).select(F.md5("text").alias("key"), doc.alias("doc"), "text")
-    texts = rows.groupBy("key").agg(F.min("doc").alias("doc"), F.any_value("text").alias("text"))
-    return texts.select("key", "doc", F.xxhash64("key").alias("id64"), "text")
+def keyed_documents(docs: DataFrame) -> DataFrame:
+    """docs with doc, which orders documents, and id64, a hash of the text; both name a document."""
+    return docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("id64"), "text")
 
 
 def places(h: np.ndarray, row: int, width: int) -> np.ndarray:
@@ -134,11 +130,12 @@ def repeated_bits(texts: DataFrame, size: int, width: int) -> np.ndarray:
     return bits
 
 
-WINDOWS = "h long, g long, doc long, id64 long, start int, sure boolean"
+#: n is 0 for a window whose turn is to come, else the length of a run of sure repeats.
+WINDOWS = "h long, g long, doc long, id64 long, start int, n int"
 
 
 def candidate_batches(size: int, width: int, sketch):
-    """The windows estimated repeated; `sure` where an equal one starts earlier in the same step."""
+    """The windows estimated repeated; those with an equal one earlier in the same step as runs of sure repeats."""
 
     def find(batches):
         import pyarrow as pa
@@ -159,27 +156,31 @@ def candidate_batches(size: int, width: int, sketch):
                 g = rolling.window_hashes(step.hashes(1), size)[at]
                 doc, start = docs[step.first + rows], at - step.row_words[rows]
                 order = np.lexsort((start, doc, g, h))
-                h, g, doc, start, rows = h[order], g[order], doc[order], start[order], rows[order]
-                new = np.concatenate([[True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])])
-                head = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
-                sure = (doc != doc[head]) | (start != start[head])
-                # back to the order of the texts: neighbours share most bytes, which the shuffle's compression uses
-                back = np.argsort(order, kind="stable")
-                cols = [h.view(np.int64), g.view(np.int64), doc, ids[step.first + rows], start.astype(np.int32), sure]
-                yield pa.RecordBatch.from_arrays([pa.array(c[back]) for c in cols], names=["h", "g", "doc", "id64", "start", "sure"])
+                new = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1])])
+                head = order[np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))]
+                sure = np.zeros(len(h), dtype=bool)
+                sure[order] = (doc[order] != doc[head]) | (start[order] != start[head])
+                # windows are in the order of the text, so a run of sure ones is a stretch of it
+                opens = sure & ~np.concatenate([[False], sure[:-1] & (at[1:] == at[:-1] + 1) & (rows[1:] == rows[:-1])])
+                of = np.cumsum(opens)[sure] - 1
+                n = np.zeros(len(h), dtype=np.int64)
+                n[opens] = np.bincount(of, minlength=int(opens.sum()))
+                out = ~sure | opens
+                cols = [np.where(sure, 0, h.view(np.int64)), np.where(sure, 0, g.view(np.int64)), doc, ids[step.first + rows], start.astype(np.int32), n.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c[out]) for c in cols], names=["h", "g", "doc", "id64", "start", "n"])
 
     return find
 
 
 def repeat_batches(batches):
-    """Of windows sorted by hash and place, all that start after the first of their kind; the sure ones come after the others."""
+    """Of windows sorted by hash and place, all that start after the first of their kind, and the sure runs as they are."""
     import pyarrow as pa
 
     last = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        h, g, doc, start = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("h", "g", "doc", "start"))
+        h, g, doc, start, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("h", "g", "doc", "start", "n"))
         new = np.concatenate([[True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])])
         goes_on = last is not None and (h[0], g[0]) == last[:2]
         head = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
@@ -187,83 +188,65 @@ def repeat_batches(batches):
         if goes_on:
             same = head == 0
             first_doc, first_start = np.where(same, last[2], first_doc), np.where(same, last[3], first_start)
-        repeat = (doc != first_doc) | (start != first_start) | batch.column("sure").to_numpy(zero_copy_only=False)
+        repeat = (n > 0) | (doc != first_doc) | (start != first_start)
         last = (h[-1], g[-1], first_doc[-1], first_start[-1])
-        yield pa.RecordBatch.from_arrays([pa.array(doc[repeat]), batch.column("id64").filter(pa.array(repeat)), pa.array(start[repeat])], names=["doc", "id64", "start"])
+        yield pa.RecordBatch.from_arrays([pa.array(doc[repeat]), batch.column("id64").filter(pa.array(repeat)), pa.array(start[repeat]), pa.array(np.maximum(n[repeat], 1))], names=["doc", "id64", "start", "n"])
+
+
+COVERED = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
 
 
 def cover_batches(size: int, with_text: bool):
-    """What each text keeps."""
+    """What each document keeps."""
 
     def cover(batches):
         import pyarrow as pa
 
+        kinds = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())]
         for batch in batches:
-            out: dict[str, list] = {"key": batch.column("key").to_pylist(), "n_words": [], "n_removed": [], "kept_sha256": [], "full_sha256": [], "kept_text": []}
-            for text, starts in zip(batch.column("text").to_pylist(), batch.column("starts"), strict=True):
-                word = text.encode().split()
+            out: list[tuple] = []
+            for doc_id, text, runs in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("runs"), strict=True):
+                word = text.encode().split() if text else []
                 gone = np.zeros(len(word) + 1, dtype=np.int32)
-                if starts.is_valid and len(starts):
-                    s = np.unique(starts.values.to_numpy(zero_copy_only=False))
-                    gone[s] += 1
-                    gone[np.minimum(s + size, len(word))] -= 1
+                if runs.is_valid and len(runs):
+                    start, n = (runs.values.field(c).to_numpy(zero_copy_only=False) for c in ("start", "n"))
+                    np.add.at(gone, start, 1)
+                    np.add.at(gone, start + n + size - 1, -1)
                 keep = np.cumsum(gone)[: len(word)] == 0
                 kept = b" ".join(itertools.compress(word, keep.tolist()))
-                out["n_words"].append(len(word))
-                out["n_removed"].append(int(len(word) - keep.sum()))
-                out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
-                out["full_sha256"].append(out["kept_sha256"][-1] if keep.all() else hashlib.sha256(b" ".join(word)).hexdigest())
-                out["kept_text"].append(kept.decode() if with_text else None)
-            kinds = [("key", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("full_sha256", pa.string()), ("kept_text", pa.string())]
-            yield pa.RecordBatch.from_pydict(out, pa.schema(kinds))
+                out.append((doc_id, len(word), int(len(word) - keep.sum()), hashlib.sha256(kept).hexdigest(), kept.decode() if with_text else None))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], t) for _, t in kinds], schema=pa.schema(kinds))
 
     return cover
 
 
-def repeats(texts: DataFrame, size: int, max_width: int) -> DataFrame:
-    """(doc, id64, starts): windows of each text that also start earlier."""
-    width = sketch_width(texts, max_width)
-    sketch = texts.sparkSession.sparkContext.broadcast(repeated_bits(texts, size, width))
-    found = texts.select("doc", "id64", "text").mapInArrow(candidate_batches(size, width, sketch), WINDOWS)
-    # a kind of window has at most one row that isn't sure for each step of text, so no hash is hot
-    deal = F.when(F.col("sure"), F.xxhash64("doc", "start")).otherwise(F.col("h"))
-    dealt = found.repartition(deal).sortWithinPartitions("sure", "h", "g", "doc", "start")
-    repeat = dealt.mapInArrow(repeat_batches, "doc long, id64 long, start int")
-    return repeat.groupBy("doc", "id64").agg(F.collect_list("start").alias("starts"))
-
-
-COVERED = "key string, n_words long, n_removed long, kept_sha256 string, full_sha256 string, kept_text string"
+def repeats(keyed: DataFrame, size: int, max_width: int) -> DataFrame:
+    """(doc, id64, runs): windows of each document that also start earlier, as structs (start, n) of n windows in a row."""
+    width = sketch_width(keyed, max_width)
+    sketch = keyed.sparkSession.sparkContext.broadcast(repeated_bits(keyed, size, width))
+    found = keyed.select("doc", "id64", "text").mapInArrow(candidate_batches(size, width, sketch), WINDOWS)
+    # of a kind of window each step of text sends at most one that isn't sure, so no hash is hot
+    deal = F.when(F.col("n") > 0, F.xxhash64("doc", "start")).otherwise(F.col("h"))
+    dealt = found.repartition(deal).sortWithinPartitions("n", "h", "g", "doc", "start")
+    repeat = dealt.mapInArrow(repeat_batches, "doc long, id64 long, start int, n int")
+    # rows that agree in doc_id and text send the same windows: a place counts once
+    return repeat.groupBy("doc", "id64").agg(F.collect_set(F.struct("start", "n")).alias("runs"))
 
 
-def covered_texts(texts: DataFrame, size: int, max_width: int, with_text: bool) -> DataFrame:
-    starts = repeats(texts, size, max_width)
-    return texts.join(starts, ["doc", "id64"], "left").select("key", "text", "starts").mapInArrow(cover_batches(size, with_text), COVERED)
+def covered_documents(docs: DataFrame, size: int, max_width: int, with_text: bool) -> DataFrame:
+    keyed = keyed_documents(docs)
+    runs = repeats(keyed, size, max_width)
+    return keyed.join(runs, ["doc", "id64"], "left").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "runs").mapInArrow(cover_batches(size, with_text), COVERED)
 
 
 def dedup_texts(docs: DataFrame, size: int = 20, max_width: int = 1 << 27) -> DataFrame:
-    """(doc_id, kept_text) of the documents that keep a word: the words that are left, joined by one space."""
-    texts = stored(distinct_texts(docs), "dedup-texts")
-    covered = covered_texts(texts, size, max_width, with_text=True).join(texts.select("key", "doc"), "key")
-    own = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("own"), F.md5("text").alias("key"), "text").join(covered, "key")
-    short = F.regexp_replace(F.trim(F.regexp_replace("text", SPACE, " ")), "^ | $", "")
-    return own.select("doc_id", F.when(F.col("own") == F.col("doc"), F.col("kept_text")).when(F.col("n_words") < size, short).otherwise(F.lit("")).alias("kept_text")).filter("kept_text != ''")
+    """(doc_id, kept_text) of every document: the words that are left, joined by one space."""
+    return covered_documents(docs, size, max_width, with_text=True).select("doc_id", "kept_text")
 
 
 def dedup(docs: DataFrame, size: int = 20, max_width: int = 1 << 27) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row of docs (doc_id, text)."""
-    texts = stored(distinct_texts(docs), "dedup-texts")
-    covered = covered_texts(texts, size, max_width, with_text=False)
-    firsts = stored(covered.drop("kept_text"), "dedup-firsts").join(texts.select("key", "doc"), "key")
-    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
-    rows = docs.select("doc_id", doc.alias("own"), F.md5("text").alias("key")).join(firsts, "key", "left")
-    later = (F.col("own") > F.col("doc")) & (F.col("n_words") >= size)
-    empty = F.lit(hashlib.sha256(b"").hexdigest())
-    return rows.select(
-        "doc_id",
-        F.coalesce("n_words", F.lit(0)).cast("long").alias("n_words"),
-        F.when(later, F.col("n_words")).when(F.col("own") > F.col("doc"), F.lit(0)).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(later, empty).when(F.col("own") > F.col("doc"), F.col("full_sha256")).otherwise(F.coalesce("kept_sha256", empty)).alias("kept_sha256"),
-    )
+    return covered_documents(docs, size, max_width, with_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:
