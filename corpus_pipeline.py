@@ -10,10 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm import decontamination, language_id, mixing, ngram_join, sharding
-from corpusmill.llm.common import stored
-
-#: Words of a document that may lie in benchmark passages; a document with a larger share goes.
-MOST_CONTAMINATED = 0.0
+from corpusmill.llm.common import fresh, stored
 
 
 def language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,21 +25,24 @@ def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminated(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark decontamination: documents that hold a passage of a benchmark item go."""
-    keyed = decontamination.keyed_documents(docs)
-    hit = decontamination.phrase_matches(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc", "key")
-    rows = docs.withColumns({"doc": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "key": F.coalesce(F.xxhash64("text"), F.lit(0))})
-    return rows.join(hit, ["doc", "key"], "left_anti").select(*docs.columns)
+    doc, key = fresh(docs, "doc", "key")
+    hit = decontamination.phrase_matches(decontamination.keyed_documents(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    rows = docs.withColumns({doc: F.coalesce(F.col("doc_id").cast("string"), F.lit("")), key: F.coalesce(F.xxhash64("text"), F.lit(0))})
+    return rows.join(hit.select(F.col("doc").alias(doc), F.col("key").alias(key)), [doc, key], "left_anti").select(*docs.columns)
 
 
 def mixed(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mixing to target weights: a document is repeated as often as the mix takes it, to the nearest whole; 0 times is gone."""
-    taken = stored(mixing.mix(docs).filter("size > 0").select("doc_id", "source", "size", F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("times")), "pipeline-times")
-    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"_{c}")
-    # rows that agree in doc_id, source and size are interchangeable: their takings are dealt in turn
-    times = taken.groupBy(key("doc_id"), F.coalesce(F.concat(F.lit("+"), "source"), F.lit("-")).alias("_source"), F.col("size").alias("_size")).agg(F.max("times").alias("_times"))
-    rows = docs.withColumns({"_doc_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_source": F.coalesce(F.concat(F.lit("+"), F.col("source")), F.lit("-")), "_size": mixing.n_words(F.col("text"))})
-    joined = rows.join(times, ["_doc_id", "_source", "_size"]).filter("_times > 0")
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    """Mixing to target weights: a document is repeated as often as the mix takes it, to the nearest whole; 0 times is gone.
+
+    Rows that agree in doc_id, source and size are taken alike, as often as the most taken of them.
+    """
+    doc, host, size, times, copy = fresh(docs, "doc", "host", "size", "times", "copy")
+    text = lambda c: F.coalesce(F.concat(F.lit("+"), F.col(c).cast("string")), F.lit("-"))
+    taken = mixing.mix(docs.select("doc_id", "source", "text")).filter("size > 0")
+    counts = taken.groupBy(text("doc_id").alias(doc), text("source").alias(host), F.col("size").alias(size)).agg(F.max(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias(times))
+    rows = docs.withColumns({doc: text("doc_id"), host: text("source"), size: mixing.n_words(F.col("text"))})
+    joined = rows.join(counts.filter(F.col(times) > 0), [doc, host, size])
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
 
 
 def sharded(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
