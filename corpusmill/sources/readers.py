@@ -89,7 +89,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     known = files.select(F.col("path").alias("source"), extension.alias("extension"), "content").filter(F.col("extension").isin(*readers))
     kinds = F.create_map(*[x for e, (k, _) in readers.items() for x in (F.lit(e), F.lit(k))])
     out = known.select(F.md5("source").alias("doc_id"), "source", F.lit(1).alias("page"), F.element_at(kinds, F.col("extension")).alias("type"), parse("content", "extension").alias("text"))
-    return out.filter(F.trim("text") != "")
+    return out.filter(F.col("text").rlike(r"\S"))
 
 
 def full_text(pages: DataFrame) -> DataFrame:
