@@ -27,20 +27,20 @@ from .common import bounded_broadcast, fresh, stored
 
 BUCKETS = 1 << 15
 #: Bytes of text that one step of the scoring looks at.
-STEP_BYTES = 1 << 21
+STEP_BYTES = 1 << 18
 #: Hosts up to this many (about 100 bytes each) are broadcast, more are joined by a shuffle.
 MAX_BROADCAST_HOSTS = 200_000
 #: Trigrams overlap and repeat; a text counts as this share of its trigrams, and as so many at most.
 SHARE, MOST = 0.3, 150.0
 #: Lower-cases A-Z; digits, symbols and white space become one blank, other bytes stay.
-FOLD = np.array([c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256)], dtype=np.int64)
+FOLD = np.array([c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256)], dtype=np.uint32)
 
 
 def trigram_buckets(data: np.ndarray) -> np.ndarray:
     """A bucket for each three bytes in a row; -1 where all three are blank."""
     c = FOLD[data]
     code = (c[:-2] << 16) | (c[1:-1] << 8) | c[2:]
-    bucket = ((code * 0x9E3779B1) >> 12) & (BUCKETS - 1)
+    bucket = ((code * np.uint32(0x9E3779B1)) >> np.uint32(12) & np.uint32(BUCKETS - 1)).astype(np.int32)
     bucket[code == 0x202020] = -1
     return bucket
 
