@@ -8,6 +8,7 @@ import numpy as np
 
 #: Text bytes that one step takes; a longer text is a step of its own.
 STEP_BYTES = 1 << 20
+ROWS_AT_ONCE = 256
 U = np.uint64
 SPACES = np.zeros(256, dtype=bool)
 SPACES[[32, 9, 10, 11, 12, 13]] = True
@@ -97,12 +98,13 @@ class Step:
 def steps(texts) -> Iterator[Step]:
     """An Arrow array of texts in steps of about STEP_BYTES; a null text is empty."""
     first, run, size = 0, [], 0
-    for i, t in enumerate(texts.to_pylist()):
-        b = t.encode() if t else b""
-        if run and size + len(b) > STEP_BYTES:
-            yield Step(first, run)
-            first, run, size = i, [], 0
-        run.append(b)
-        size += len(b) + 1
+    for at in range(0, len(texts), ROWS_AT_ONCE):  # few texts at a time are Python objects
+        for i, t in enumerate(texts.slice(at, ROWS_AT_ONCE).to_pylist(), at):
+            b = t.encode() if t else b""
+            if run and size + len(b) > STEP_BYTES:
+                yield Step(first, run)
+                first, run, size = i, [], 0
+            run.append(b)
+            size += len(b) + 1
     if run:
         yield Step(first, run)

@@ -263,7 +263,7 @@ def cover_batches(size: int, with_text: bool):
         import pyarrow as pa
 
         kinds = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())]
-        for batch in batches:
+        for batch in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
             out: list[tuple] = []
             for doc_id, text, runs in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("runs"), strict=True):
                 word = text.encode().split() if text else []
@@ -299,12 +299,12 @@ def covered_documents(docs: DataFrame, size: int, max_width: int, with_text: boo
     return keyed.join(runs, ["doc", "id32"], "left").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "runs").mapInArrow(cover_batches(size, with_text), COVERED)
 
 
-def dedup_texts(docs: DataFrame, size: int = 20, max_width: int = 1 << 28) -> DataFrame:
+def dedup_texts(docs: DataFrame, size: int = 20, max_width: int = 1 << 27) -> DataFrame:
     """(doc_id, kept_text) of every document: the words that are left, joined by one space."""
     return covered_documents(docs, size, max_width, with_text=True).select("doc_id", "kept_text")
 
 
-def dedup(docs: DataFrame, size: int = 20, max_width: int = 1 << 28) -> DataFrame:
+def dedup(docs: DataFrame, size: int = 20, max_width: int = 1 << 27) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row of docs (doc_id, text)."""
     return covered_documents(docs, size, max_width, with_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
