@@ -29,6 +29,12 @@ STRIDE = 2_147_483_647
 MAX_BROADCAST_SOURCES = 100_000
 
 
+def seeded(seed: int, *parts: Column) -> Column:
+    """60 bits that the seed and the parts determine, on any engine that has MD5; a null part is empty."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(p, F.lit("")) for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
 def cycle_weights(sources: DataFrame, weights: tuple[int, ...] = (5, 2, 1)) -> DataFrame:
     """Adds weight: sources by code point, null last, weigh weights[0], weights[1], ... repeating."""
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
@@ -94,7 +100,7 @@ def times_taken(block_no: Column, n_blocks: Column, quota: Column, start: Column
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), scale_percent: int = 150, cap: int = 2, block: int = 64, n_shards: int = 8, rows_per_run: int = 20_000, seed: int = 9) -> DataFrame:
     """doc_id, source, size, source_size, target, quota, taken of every row of docs (doc_id, source, text)."""
-    order = F.xxhash64(F.lit(seed), "doc_id", "size")
+    order = seeded(seed, F.col("doc_id").cast("string"), F.col("size").cast("string"))
     light = stored(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")).withColumn("order", order), "mix-sizes")
     sources = light.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_rows"))
     targets = stored(capped_targets(cycle_weights(sources, weights), scale_percent, cap), "mix-targets")
@@ -105,18 +111,18 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), scale_percent: in
     # a source's stream is cut into runs of seeded order, so that a large one is dealt to many tasks
     placed = light.join(bounded_broadcast(table, MAX_BROADCAST_SOURCES), F.col("source").eqNullSafe(F.col("t_source")))
     runs = F.ceil(F.col("source_rows") / F.lit(rows_per_run))
-    run = F.floor(F.shiftrightunsigned("order", 11) / F.lit(float(1 << 53)) * runs).cast("long")
+    run = F.floor(F.col("order") / F.lit(float(1 << 60)) * runs).cast("long")
     placed = placed.withColumn("run", run)
     sums = placed.groupBy("source", "run").agg(F.sum("size").alias("run_size"))
     before = Window.partitionBy("source").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col("source").alias("r_source"), F.col("run").alias("r_run"), F.coalesce(F.sum("run_size").over(before), F.lit(0)).alias("run_start"))
     placed = placed.join(sums, F.col("source").eqNullSafe(F.col("r_source")) & (F.col("run") == F.col("r_run")))
-    # shifting by the run's bits keeps the seeded order between runs: run grows with the unsigned hash
-    inside = Window.partitionBy("source", "run").orderBy(F.shiftrightunsigned("order", 11), F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1)
+    # runs are stretches of the seeded order, so a run's start and the sum inside it give the place in the stream
+    inside = Window.partitionBy("source", "run").orderBy("order", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("start", F.col("run_start") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     n_blocks = F.greatest(F.ceil(F.col("source_size") / F.lit(block)), F.lit(1))
     placed = placed.withColumn("n_blocks", n_blocks).withColumn("quota", F.least("quota", F.col("n_blocks") * cap))
-    first_block = F.pmod(F.xxhash64(F.lit(seed + 1), "source"), F.col("n_blocks"))
+    first_block = F.pmod(seeded(seed + 1, F.col("source")), F.col("n_blocks"))
     end = F.col("start") + F.col("size")
     touched = F.sequence(F.floor(F.col("start") / block), F.floor((end - 1) / block))
     overlap = lambda j: F.least(end, (j + 1) * block) - F.greatest(F.col("start"), j * block)
@@ -126,3 +132,25 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), scale_percent: in
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP9_SQL = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)] AS weight, 2 * source_size AS lim FROM s),
+l AS (SELECT *, ((sum(source_size) OVER ())::DOUBLE * 150 / 100 - coalesce(sum(lim) OVER (ORDER BY lim / weight::DOUBLE, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
+  / (sum(weight) OVER (ORDER BY lim / weight::DOUBLE, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level FROM w),
+m AS (SELECT *, first_value(CASE WHEN level * weight <= lim THEN level END IGNORE NULLS) OVER (ORDER BY lim / weight::DOUBLE, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS lev FROM l),
+t AS (SELECT source, source_size, CASE WHEN lev IS NULL THEN lim::DOUBLE ELSE least(lim::DOUBLE, lev * weight) END AS target FROM m),
+e AS (SELECT *, floor(sum(target) OVER () / 64 + 0.5)::BIGINT AS seats FROM t),
+x AS (SELECT *, seats * target / sum(target) OVER () AS exact, ceil(count(*) OVER () * (target / sum(target) OVER ()) / 2)::BIGINT + 1 AS near FROM e WHERE target > 0),
+b AS (SELECT *, greatest(0, floor(exact)::BIGINT - near) AS base FROM x),
+c AS (SELECT *, unnest(range(base, floor(exact)::BIGINT + near + 2)) AS k FROM (SELECT *, seats - sum(base) OVER () AS open FROM b)),
+r AS (SELECT *, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, source NULLS LAST, k) AS rank FROM c),
+q AS (SELECT source, max(base) + count(*) FILTER (rank <= open) AS quota FROM r GROUP BY source),
+n AS (SELECT t.*, least(coalesce(quota, 0), 2 * greatest(ceil(source_size / 64.0)::BIGINT, 1)) AS quota, greatest(ceil(source_size / 64.0)::BIGINT, 1) AS n_blocks, ('0x' || substr(md5('10|' || coalesce(t.source, '')), 1, 15))::BIGINT AS f FROM t LEFT JOIN q ON t.source IS NOT DISTINCT FROM q.source),
+p AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY ('0x' || substr(md5('9|' || coalesce(doc_id::VARCHAR, '') || '|' || size), 1, 15))::BIGINT, doc_id NULLS LAST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM d)
+SELECT doc_id, size, source_size, target, CASE WHEN size = 0 THEN 0 ELSE list_sum(list_transform(range(start // 64, (start + size - 1) // 64 + 1),
+  lambda j: (least(start + size, (j + 1) * 64) - greatest(start, j * 64)) * (quota // n_blocks + ((j * 2147483647 + f % n_blocks) % n_blocks < quota % n_blocks)::BIGINT))) END::BIGINT AS taken
+FROM p JOIN n ON p.source IS NOT DISTINCT FROM n.source
+"""

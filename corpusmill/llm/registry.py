@@ -23,5 +23,8 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_decontamination": decontamination.OP2_SQL,
+        "op3_substring_dedup": substring_dedup.OP3_SQL,
+        "op6_warc": warc.OP6_SQL,
         "op8_line_rules": line_rules.OP8_SQL,
+        "op9_mixing": mixing.OP9_SQL,
     }

@@ -311,3 +311,14 @@ def dedup(docs: DataFrame, size: int = 20, max_width: int = 1 << 27) -> DataFram
 
 def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:
     return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+v AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS phrase FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)),
+f AS (SELECT phrase, min({'d': doc_id, 'i': i}) AS first FROM v GROUP BY phrase HAVING count(*) > 1),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM v JOIN f USING (phrase) WHERE {'d': doc_id, 'i': i} > first),
+k AS (SELECT doc_id, p, w[p] AS word FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d) ANTI JOIN g USING (doc_id, p)),
+s AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS t FROM k GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN s USING (doc_id)
+"""

@@ -203,3 +203,12 @@ def op6_warc(spark, sf_dir: str) -> DataFrame:
     write_archives(with_revisits(spark.read.parquet(f"{sf_dir}/pages.parquet")), path)
     records = read_archives(spark, path, with_payload=False)
     return records.filter("record_type is not null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP6_SQL = f"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (SELECT page_id, payload_bytes, h, array_to_string(list_transform(range(32), lambda k: substr('{ALPHABET}', (((('0x' || substr(h, 10 * (k // 8) + 1, 10))::BIGINT >> (35 - 5 * (k % 8)))) & 31) + 1, 1)), '') AS payload_digest FROM p),
+f AS (SELECT h, min(page_id) AS first_id, count(*) AS n FROM d GROUP BY h)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id IS DISTINCT FROM first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to FROM d JOIN f USING (h)
+"""
