@@ -9,6 +9,8 @@ import numpy as np
 #: Text bytes that one step takes; a longer text is a step of its own.
 STEP_BYTES = 1 << 20
 ROWS_AT_ONCE = 256
+#: Bytes whose words are hashed together.
+HASH_BYTES = 1 << 17
 U = np.uint64
 SPACES = np.zeros(256, dtype=bool)
 SPACES[[32, 9, 10, 11, 12, 13]] = True
@@ -22,16 +24,18 @@ def constants(seed: int) -> tuple[np.ndarray, int, int]:
 
 
 CONSTANTS = [constants(11), constants(13)]
-_powers: dict[tuple[int, int], np.ndarray] = {}
+_powers: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    have = _powers.get((base, 0))
+    """The first n powers of the base; those of a block are kept, longer runs aren't."""
+    have = _powers.get(base)
     if have is None or len(have) < n:
-        have = np.full(max(n, STEP_BYTES + 1), base, dtype=np.uint64)
+        have = np.full(max(n, HASH_BYTES + 1), base, dtype=np.uint64)
         have[0] = 1
         have = np.cumprod(have, dtype=np.uint64)
-        _powers[base, 0] = have
+        if n <= HASH_BYTES + 1:
+            _powers[base] = have
     return have[:n]
 
 
@@ -42,12 +46,20 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int) -> np.ndarray:
-    """A 64-bit hash of each word: its bytes' values times powers of the base, from prefix sums."""
+    """A 64-bit hash of each word: its bytes' values times powers of the base, from prefix sums over a block of words at a time."""
     values, base, inverse = CONSTANTS[which]
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(values[data] * powers(base, len(data)), out=sums[1:], dtype=np.uint64)
-    h = (sums[ends] - sums[starts]) * powers(inverse, len(data) + 1)[starts]
-    return mixed(h + U(which) + (ends - starts).astype(np.uint64) * U(0x9E3779B97F4A7C15))
+    out = np.empty(len(starts), dtype=np.uint64)
+    first = 0
+    while first < len(starts):
+        begin = int(starts[first])
+        last = max(first + 1, int(np.searchsorted(ends, begin + HASH_BYTES, side="right")))  # a longer word is a block of its own
+        part = data[begin : int(ends[last - 1])]
+        sums = np.zeros(len(part) + 1, dtype=np.uint64)
+        np.cumsum(values[part] * powers(base, len(part)), out=sums[1:], dtype=np.uint64)
+        s, e = starts[first:last] - begin, ends[first:last] - begin
+        out[first:last] = (sums[e] - sums[s]) * powers(inverse, len(part) + 1)[s]
+        first = last
+    return mixed(out + U(which) + (ends - starts).astype(np.uint64) * U(0x9E3779B97F4A7C15))
 
 
 def window_hashes(h: np.ndarray, width: int) -> np.ndarray:

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import rolling
+from .common import small_batches
 
 LAST = (1 << 63) - 1
 BLOCK = 1 << 18
@@ -294,6 +295,7 @@ def repeats(keyed: DataFrame, size: int, max_width: int) -> DataFrame:
 
 
 def covered_documents(docs: DataFrame, size: int, max_width: int, with_text: bool) -> DataFrame:
+    small_batches(docs.sparkSession)
     keyed = keyed_documents(docs)
     runs = repeats(keyed, size, max_width)
     return keyed.join(runs, ["doc", "id32"], "left").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "runs").mapInArrow(cover_batches(size, with_text), COVERED)
