@@ -21,6 +21,8 @@ from html.parser import HTMLParser
 
 from pyspark.sql import DataFrame
 
+from .common import small_batches
+
 #: Element names of HTML by role.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -147,6 +149,7 @@ def extract_batches(batches):
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row of pages (page_id, url, html)."""
+    small_batches(pages.sparkSession)
     return pages.selectExpr("cast(page_id as bigint) page_id", "cast(url as string) url", "cast(html as string) html").mapInArrow(extract_batches, "page_id long, url string, text string, n_chars long")
 
 

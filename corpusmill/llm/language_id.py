@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_broadcast, fresh, stored
+from .common import bounded_broadcast, fresh, small_batches, stored
 
 BUCKETS = 1 << 15
 #: Bytes of text that one step of the scoring looks at.
@@ -149,6 +149,7 @@ def summed(name: str, n: int) -> Column:
 
 def identify(docs: DataFrame, declared: str = "lang", host: str = "source", rows_per_language: int = 2_000, strength: float = 20.0, least: float = 0.5) -> DataFrame:
     """docs with language, language_posterior and language_kept; declared and host name the columns of evidence."""
+    small_batches(docs.sparkSession)
     languages, model = fit_text_model(docs, declared, rows_per_language)
     n = len(languages)
     language, posterior, kept = "language", "language_posterior", "language_kept"
