@@ -6,7 +6,7 @@ the shared folder and reads it back as the next one's docs.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.llm import decontamination, language_id, mixing, ngram_join, sharding
@@ -32,16 +32,20 @@ def decontaminated(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mixing to target weights: a document is repeated as often as the mix takes it, to the nearest whole; 0 times is gone.
+    """Mixing to target weights: a document is repeated in whole copies, which hold the words the mix takes of each source; 0 times is gone.
 
-    Rows that agree in doc_id, source and size are taken alike, as often as the most taken of them.
+    Rows that agree in doc_id, source and size share their copies as evenly as whole ones allow.
     """
-    doc, host, size, times, copy = fresh(docs, "doc", "host", "size", "times", "copy")
+    doc, host, size, rows_alike, times, nth, copy = fresh(docs, "doc", "host", "size", "rows", "times", "nth", "copy")
     text = lambda c: F.coalesce(F.concat(F.lit("+"), F.col(c).cast("string")), F.lit("-"))
-    taken = mixing.mix(docs.select("doc_id", "source", "text")).filter("size > 0")
-    counts = taken.groupBy(text("doc_id").alias(doc), text("source").alias(host), F.col("size").alias(size)).agg(F.max(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias(times))
+    taken = stored(mixing.mix(docs.select("doc_id", "source", "text")).filter("size > 0").select("doc_id", "source", "size", "taken"), "mix-taken")
+    counts = mixing.whole_copies(taken).groupBy(text("doc_id").alias(doc), text("source").alias(host), F.col("size").alias(size)).agg(F.count(F.lit(1)).alias(rows_alike), F.sum("copies").alias(times))
     rows = docs.withColumns({doc: text("doc_id"), host: text("source"), size: mixing.n_words(F.col("text"))})
     joined = rows.join(counts.filter(F.col(times) > 0), [doc, host, size])
+    alike = Window.partitionBy(doc, host, size).orderBy(F.xxhash64("text"))
+    joined = joined.withColumn(nth, F.row_number().over(alike))
+    own = F.floor(F.col(times) / F.col(rows_alike)) + F.when(F.col(nth) <= F.pmod(times, rows_alike), 1).otherwise(0)
+    joined = joined.withColumn(times, own.cast("int")).filter(F.col(times) > 0)
     return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
 
 

@@ -10,6 +10,10 @@
    length.  A quota of q over n blocks takes every block q div n times and, in a seeded permutation
    of the blocks, the first q mod n once more.
 4. A document's `taken` is the words of it that lie in taken blocks, repeats counted.
+5. Where documents must stay whole (`whole_copies`), each has taken div size copies, and the words still
+   owed are paid by one more copy of some: in order of size, those at which the running sum of the
+   fractions owed passes a half.  A source's copies then hold the words taken to within its longest document
+   (and a twentieth of one for each further `rows_per_run` documents of about one size).
 
 Defined results: a null text has no words and is taken 0 times; a null source is one more source and comes
 last; documents that agree in doc_id and size are interchangeable; an empty table gives an empty
@@ -130,6 +134,27 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), scale_percent: in
     return placed.select("doc_id", "source", "size", "source_size", "target", "quota", F.when(F.col("size") == 0, F.lit(0)).otherwise(taken).cast("long").alias("taken"))
 
 
+def whole_copies(taken: DataFrame, rows_per_run: int = 20_000, seed: int = 9) -> DataFrame:
+    """Adds copies to rows (doc_id, source, size, taken): how often each whole document is to be given, so that sources keep their words."""
+    one = 1 << 32
+    order = seeded(seed + 2, F.col("doc_id").cast("string"), F.col("size").cast("string"))
+    some = F.greatest("size", F.lit(1))
+    light = taken.withColumns({"order": order, "like": F.floor(F.log2(some) * 8), "owed": F.floor(F.pmod("taken", some) * F.lit(one) / some).cast("long")})
+    # documents of about one size, dealt to runs by seeded order where they are many
+    many = light.groupBy("source", "like").agg(F.count(F.lit(1)).alias("n")).select(F.col("source").alias("m_source"), F.col("like").alias("m_like"), F.ceil(F.col("n") / F.lit(rows_per_run)).alias("runs"))
+    placed = light.join(many, F.col("source").eqNullSafe(F.col("m_source")) & (F.col("like") == F.col("m_like")))
+    placed = stored(placed.withColumn("run", F.floor(F.col("order") / F.lit(float(1 << 60)) * F.col("runs")).cast("long")).drop("m_source", "m_like", "runs"), "mix-owed")
+    before = Window.partitionBy("source").orderBy("like", "run").rowsBetween(Window.unboundedPreceding, -1)
+    sums = placed.groupBy("source", "like", "run").agg(F.sum("owed").alias("run_owed"))
+    sums = sums.select(F.col("source").alias("r_source"), F.col("like").alias("r_like"), F.col("run").alias("r_run"), F.coalesce(F.sum("run_owed").over(before), F.lit(0)).alias("run_start"))
+    placed = placed.join(sums, F.col("source").eqNullSafe(F.col("r_source")) & (F.col("like") == F.col("r_like")) & (F.col("run") == F.col("r_run")))
+    inside = Window.partitionBy("source", "like", "run").orderBy("size", "order", F.col("doc_id").asc_nulls_last(), "taken").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.col("run_start") + F.coalesce(F.sum("owed").over(inside), F.lit(0)) + one // 2
+    placed = placed.withColumn("start", start)
+    paid = F.shiftright(F.col("start") + F.col("owed"), 32) - F.shiftright("start", 32)
+    return placed.select(*taken.columns, (F.floor(F.col("taken") / some) + paid).cast("int").alias("copies"))
+
+
 def op9_mixing(spark, sf_dir: str) -> DataFrame:
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken")
 

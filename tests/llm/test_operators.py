@@ -236,6 +236,34 @@ def test_mixing(spark, docs, none):
     assert mixing.mix(none).count() == 0
 
 
+@pytest.mark.parametrize("percent", [10, 30, 60, 80, 150])
+def test_whole_copies_meet_the_target(spark, percent):
+    rng = random.Random(percent)
+    rows = [(i, "ab"[i % 2] if i % 7 else None, "w " * rng.choice([rng.randint(1, 40), rng.randint(100, 400), rng.randint(300, 2000)])) for i in range(900)]
+    taken = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string"), weights=(1, 1, 1), scale_percent=percent)
+    longest, sums, targets = collections.Counter(), collections.Counter(), {}
+    for r in mixing.whole_copies(taken, rows_per_run=50).collect():
+        assert r["taken"] // r["size"] <= r["copies"] <= -(-r["taken"] // r["size"])
+        sums[r["source"]] += r["copies"] * r["size"]
+        longest[r["source"]] = max(longest[r["source"]], r["size"])
+        targets[r["source"]] = r["target"]
+    assert len(sums) == 3 and all(abs(sums[s] - targets[s]) <= 1.2 * longest[s] + 64 * 3 for s in sums)
+
+
+def test_mixed_stage_meets_the_target(spark):
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    # rows without an id, many of one size: they are rows of their own
+    rows = [(None if i % 3 == 0 else i, "abc"[i % 3], " ".join(f"w{i}" for _ in range(70 if i % 2 else rng.randint(100, 900))), i) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, number int")
+    want = {r["source"]: r["target"] for r in mixing.mix(docs).select("source", "target").distinct().collect()}
+    got = collections.Counter()
+    for r in corpus_pipeline.mixed(spark, docs, SF).collect():
+        got[r["source"]] += len(r["text"].split())
+    assert all(abs(got[s] - want[s]) <= 900 + 64 * 3 for s in want)
+
+
 # 10
 
 
