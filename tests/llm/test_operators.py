@@ -306,6 +306,36 @@ def test_large_group_is_one_class(spark):
     assert all(r["n_links"] > 0 for r in got if r["doc_id"] < 120)
 
 
+def test_pairs_hidden_in_a_family(spark):
+    rng = random.Random(8)
+    fresh_word = iter(range(10**6))
+
+    def changed(words, n):
+        words, step = list(words), len(words) // n
+        for k in range(n):
+            words[k * step + rng.randrange(step - 5)] = f"x{next(fresh_word)}"
+        return words
+
+    grams = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    alike = lambda a, b: len(grams(a) & grams(b)) / len(grams(a) | grams(b))
+    template = [f"w{i}" for i in range(400)]
+    family = [changed(template, 6) for _ in range(200)]
+    hidden = {k: changed(family[k], 6) for k in range(0, 200, 10)}
+    assert max(alike(family[i], family[i + 1]) for i in range(199)) < 0.8
+    assert all(0.8 <= alike(family[k], h) < 0.9 for k, h in hidden.items())
+    rows = [(k, " ".join(w)) for k, w in enumerate(family)] + [(1000 + k, " ".join(w)) for k, w in hidden.items()]
+    texts = [*family, *hidden.values()]
+    sets = [grams(w) for w in texts]
+    links = collections.Counter()
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                links.update((rows[i][0], rows[j][0]))
+    got = {r["doc_id"]: r for r in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[k]["class_id"] == got[1000 + k]["class_id"] for k in hidden)
+    assert {k: r["n_links"] for k, r in got.items() if r["n_links"]} == dict(links)
+
+
 def test_levels_reach_the_recall():
     assert ngram_join.levels(16, 8, 0.8, 0.999) == [4, 6, 8]
     assert 1 - (1 - 0.8**4) ** 16 >= 0.999
