@@ -2,11 +2,13 @@
 
 The standard library's streaming parser sends start, end and text events.  Text between block
 boundaries is one line with its count of tags; a line knows the containers it lies in.  Lines in
-boilerplate (menus, adverts, forms and the like, by element, role, class or id) take no part.  The text-to-tag
+boilerplate (menus, adverts, forms and the like, by element, role, class or id) take no part.  A block's class
+or id doesn't count if an article or main element lies in it and its own text-to-tag ratio isn't low (under half the
+page's), or if nothing else is on the page.  The text-to-tag
 ratios of the others are smoothed by a Gaussian along the page and compared with a threshold
 (the standard deviation of the smoothed ratios, at most their mean); runs of lines over it are clusters.  A
-cluster selects the region it lies in: the article or main element, or where the page has none the
-block that holds the line.  A region is kept whole, so its short lines stay.
+cluster selects the regions that give it a line over the threshold by itself: the article or main element,
+or outside of those the block that holds the line.  A region is kept whole, so its short lines stay.
 
 Defined results: a null or empty html gives an empty text; text outside any tag counts as a line of the
 body; unclosed elements end with their parent or the page; rows that repeat give repeated rows; extra columns
@@ -39,12 +41,14 @@ ENDS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr":
 
 
 class Lines(HTMLParser):
-    """Turns parser events into lines [text, tags, region, in_article]; boilerplate leaves none."""
+    """Turns parser events into lines [text, tags, region, marked]; boilerplate leaves none, but for blocks marked by class or id."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[list] = []
-        self.open: list[tuple[str, bool, int, bool]] = []  # name, boilerplate, region, in an article
+        self.open: list[tuple[str, bool, int, bool, tuple[int, ...]]] = []  # name, boilerplate, region, in an article, marked blocks around
+        self.marked = 0
+        self.around_article: set[int] = set()
         self.text: list[str] = []
         self.tags = 0
         self.regions = 0
@@ -53,8 +57,8 @@ class Lines(HTMLParser):
         if self.text:
             line = " ".join("".join(self.text).split())
             if line:
-                _, _, region, article = self.open[-1] if self.open else ("", False, 0, False)
-                self.lines.append([line, self.tags, region, article])
+                _, _, region, _, marked = self.open[-1] if self.open else ("", False, 0, False, ())
+                self.lines.append([line, self.tags, region, marked])
             self.text = []
         self.tags = 0
 
@@ -63,8 +67,11 @@ class Lines(HTMLParser):
             return True
         if not attrs or tag in ("html", "body", "article", "main"):
             return False
-        if attrs.get("role", "").lower() in ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true" or HIDDEN.search(attrs.get("style", "")):
-            return True
+        return attrs.get("role", "").lower() in ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true" or bool(HIDDEN.search(attrs.get("style", "")))
+
+    def named_furniture(self, tag: str, attrs: dict) -> bool:
+        if not attrs or tag in ("html", "body", "article", "main"):
+            return False
         return not MARKS.isdisjoint(re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", f"{attrs.get('class', '')} {attrs.get('id', '')}").lower()))
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -81,8 +88,17 @@ class Lines(HTMLParser):
                 break
             if self.open[k][0] in BLOCKS and tag in ENDS and self.open[k][0] != "p":
                 break
-        _, hidden, region, article = self.open[-1] if self.open else ("", False, 0, False)
-        hidden = hidden or self.furniture(tag, {k: v or "" for k, v in attrs}, article)
+        _, hidden, region, article, marked = self.open[-1] if self.open else ("", False, 0, False, ())
+        values = {k: v or "" for k, v in attrs}
+        hidden = hidden or self.furniture(tag, values, article)
+        if not hidden and self.named_furniture(tag, values):
+            if tag in BLOCKS:
+                self.marked += 1
+                marked = (*marked, self.marked)
+            else:
+                hidden = True
+        if tag in ("article", "main") and not hidden:
+            self.around_article.update(marked)
         if tag in ("article", "main") and not article:
             article = True
             self.regions += 1
@@ -90,7 +106,7 @@ class Lines(HTMLParser):
         elif tag in ("div", "section", "td", "body") and not article:
             self.regions += 1
             region = self.regions
-        self.open.append((tag, hidden, region, article))
+        self.open.append((tag, hidden, region, article, marked))
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS or tag in UNSEEN:
@@ -117,15 +133,23 @@ def smoothed(ratios: list[float], sigma: float = 1.0, radius: int = 2) -> list[f
     return out
 
 
+def unmarked(lines: list[list], around_article: set[int]) -> list[list]:
+    """The lines outside of marked blocks; marks of blocks around an article count if the block's ratio is under half the page's."""
+    ratio = lambda some: sum(len(x[0]) for x in some) / max(1, sum(x[1] for x in some))
+    low = {m for m in around_article if 2 * ratio([x for x in lines if m in x[3]]) < ratio(lines)}
+    return [x for x in lines if all(m in around_article and m not in low for m in x[3])] or lines
+
+
 def content_regions(lines: list[list]) -> set[int]:
-    """The regions that hold a line whose smoothed ratio reaches the threshold; where articles have lines, only articles count."""
-    ratios = [len(text) / max(1, tags) for text, tags, _, _ in lines]
+    """The regions that hold a line whose ratio, by itself and smoothed, reaches the threshold."""
+    ratios = [len(line[0]) / max(1, line[1]) for line in lines]
     score = smoothed(ratios)
     mean = sum(score) / len(score)
     spread = math.sqrt(sum((s - mean) ** 2 for s in score) / len(score))
-    over = [s >= min(mean, spread) for s in score]
-    articles = any(line[3] for line in lines)
-    return {line[2] for line, o in zip(lines, over, strict=True) if (line[3] or o) and line[3] == articles}
+    least = min(mean, spread)
+    regions = {line[2] for line, s, own in zip(lines, score, ratios, strict=True) if s >= least and own >= least}
+    # lines so short beside their neighbours that none stands by itself
+    return regions or {line[2] for line, s in zip(lines, score, strict=True) if s >= least}
 
 
 def main_text(html: str | None) -> str:
@@ -135,8 +159,9 @@ def main_text(html: str | None) -> str:
     parser.flush()
     if not parser.lines:
         return ""
-    regions = content_regions(parser.lines)
-    return " ".join(line[0] for line in parser.lines if line[2] in regions)
+    lines = unmarked(parser.lines, parser.around_article)
+    regions = content_regions(lines)
+    return " ".join(line[0] for line in lines if line[2] in regions)
 
 
 def extract_batches(batches):

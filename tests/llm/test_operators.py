@@ -419,6 +419,27 @@ def test_main_text(html, text):
     assert html_text.main_text(html) == text
 
 
+LONG = "This paragraph of the body is long enough to stand well over any threshold of the page. " * 3
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        # the body in a div beside a teaser card
+        (f"<div><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div><article><a>x</a><a>y</a><a>z</a></article>", " ".join([LONG.strip()] * 3)),
+        # related cards beside the real article
+        (f"<article><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></article><article><a>One</a> <a>more</a></article><article><a>And</a> <a>more</a></article>", " ".join([LONG.strip()] * 3)),
+        # a wrapper with a marked name
+        (f"<div class='layout with-sidebar'><article><p>{LONG}</p></article><div class='sidebar'><a>s</a></div></div>", LONG.strip()),
+        (f"<div class='layout with-sidebar'><p>{LONG}</p></div>", LONG.strip()),
+        # marked blocks of cards stay out
+        (f"<article><p>{LONG}</p></article><div class='related'><article><a>One</a> <a>more</a></article></div>", LONG.strip()),
+    ],
+)
+def test_clusters_choose_regions(html, text):
+    assert html_text.main_text(html) == text
+
+
 def test_extract(spark):
     pages = spark.createDataFrame([(1, "u", "<p>x</p>", "t"), (1, "u", "<p>x</p>", "t"), (None, None, None, None)], "page_id long, url string, html string, text string")
     rows = [(r["page_id"], r["text"], r["n_chars"]) for r in html_text.extract(pages).collect()]
