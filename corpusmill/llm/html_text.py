@@ -4,7 +4,8 @@ The standard library's streaming parser sends start, end and text events.  Text
 boundaries is one line with its count of tags; a line knows the containers it lies in.  Lines in
 boilerplate (menus, adverts, forms and the like, by element, role, class or id) take no part.  A block's class
 or id doesn't count if an article or main element lies in it and its own text-to-tag ratio isn't low (under half the
-page's), or if nothing else is on the page.  The text-to-tag
+page's), or if nothing else is on the page.  An article within an article, or one named a comment, is a reader's
+comment and counts as such a block.  The text-to-tag
 ratios of the others are smoothed by a Gaussian along the page and compared with a threshold
 (the standard deviation of the smoothed ratios, at most their mean); runs of lines over it are clusters.  A
 cluster selects the regions that give it a line over the threshold by itself: the article or main element,
@@ -12,7 +13,8 @@ or outside of those the block that holds the line.  A region is kept whole, so i
 
 Defined results: a null or empty html gives an empty text; text outside any tag counts as a line of the
 body; unclosed elements end with their parent or the page; rows that repeat give repeated rows; extra columns
-are left out; an empty table gives an empty result.
+are left out; an empty table gives an empty result; a page of any length is parsed whole, in time and memory
+proportional to its length.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar sidenav nav navbar navigation menu breadcrumb breadcrumbs cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription signup login comment comments respond replies disqus discussion share sharing social related recommended footer masthead topbar toolbar pagination pager widget disclaimer skip".split()
 )
+#: Class names that make an article element a reader's comment.
+COMMENT_NAMES = frozenset("comment comments comment-body comment-item reply replies response user-comment".split())
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 #: An element that a start tag of the same group ends.
 ENDS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -62,6 +66,9 @@ class Lines(HTMLParser):
             self.text = []
         self.tags = 0
 
+    def in_article(self) -> bool:
+        return any(o[0] == "article" for o in self.open)
+
     def furniture(self, tag: str, attrs: dict, article: bool) -> bool:
         if tag in BOILERPLATE or tag in UNSEEN or (tag == "header" and not article):
             return True
@@ -70,7 +77,10 @@ class Lines(HTMLParser):
         return attrs.get("role", "").lower() in ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true" or bool(HIDDEN.search(attrs.get("style", "")))
 
     def named_furniture(self, tag: str, attrs: dict) -> bool:
-        if not attrs or tag in ("html", "body", "article", "main"):
+        if tag == "article":
+            named = attrs.get("class", "").lower().split() + [attrs.get("itemprop", "").lower()]
+            return self.in_article() or not COMMENT_NAMES.isdisjoint(named)
+        if not attrs or tag in ("html", "body", "main"):
             return False
         return not MARKS.isdisjoint(re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", f"{attrs.get('class', '')} {attrs.get('id', '')}").lower()))
 
@@ -91,14 +101,14 @@ class Lines(HTMLParser):
         _, hidden, region, article, marked = self.open[-1] if self.open else ("", False, 0, False, ())
         values = {k: v or "" for k, v in attrs}
         hidden = hidden or self.furniture(tag, values, article)
-        if not hidden and self.named_furniture(tag, values):
-            if tag in BLOCKS:
-                self.marked += 1
-                marked = (*marked, self.marked)
-            else:
-                hidden = True
-        if tag in ("article", "main") and not hidden:
+        named = not hidden and self.named_furniture(tag, values)
+        if tag in ("article", "main") and not hidden and not named:
             self.around_article.update(marked)
+        if named and tag in BLOCKS:
+            self.marked += 1
+            marked = (*marked, self.marked)
+        elif named:
+            hidden = True
         if tag in ("article", "main") and not article:
             article = True
             self.regions += 1

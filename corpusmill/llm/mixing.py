@@ -7,17 +7,24 @@
    output shard; the method never takes a block back as the house grows, so a shard's quota is the
    difference of two apportionments.
 3. A source's documents, in seeded order, form one stream of words, cut into blocks of the same
-   length.  A quota of q over n blocks takes every block q div n times and, in a seeded permutation
-   of the blocks, the first q mod n once more.
-4. A document's `taken` is the words of it that lie in taken blocks, repeats counted.
+   length.  The source's blocks are ranked by a seeded hash.  The shards draw one after the other from that
+   order, each as many blocks as its quota, beginning anew where it ends; so a shard has a block twice
+   only if its quota is larger than the source.
+4. What a shard takes of a document is the words of it that lie in the shard's blocks, repeats counted; `taken` sums
+   the shards.
 5. Where documents must stay whole (`whole_copies`), each has taken div size copies, and the words still
    owed are paid by one more copy of some: in order of size, those at which the running sum of the
    fractions owed passes a half.  A source's copies then hold the words taken to within its longest document
    (and a twentieth of one for each further `rows_per_run` documents of about one size).
 
 Defined results: a null text has no words and is taken 0 times; a null source is one more source and comes
-last; documents that agree in doc_id and size are interchangeable; an empty table gives an empty
+last; a null doc_id is one more id; rows that agree in doc_id and text are interchangeable; a text of any length is cut
+into as many blocks as it has; an empty table gives an empty
 result; extra columns are kept out of the result.
+
+Tables of one row for each source (weights, targets, quotas) are ordered as a whole, in one task: sources are
+data sets that someone weighs, some thousands at most.  Rows of documents and blocks never are: a source is dealt to
+runs of its seeded order.
 """
 
 from __future__ import annotations
@@ -27,8 +34,10 @@ from pyspark.sql import functions as F
 
 from .common import bounded_broadcast, n_words, stored
 
-#: A prime beyond any block count in use: stepping by it visits every block of a source once.
-STRIDE = 2_147_483_647
+#: The hash that orders documents and blocks has 60 bits.
+SPAN = float(1 << 60)
+#: Blocks that one row of the table of sources is unrolled to at a time.
+CHUNK = 1 << 16
 #: Sources up to this many are broadcast (about 100 bytes each), more are joined by a shuffle.
 MAX_BROADCAST_SOURCES = 100_000
 
@@ -96,42 +105,78 @@ def shard_quotas(targets: DataFrame, block: int, n_shards: int) -> DataFrame:
     return grown.select("source", (F.col("house") - 1).alias("shard"), (F.col("seats") - earlier).alias("quota"))
 
 
-def times_taken(block_no: Column, n_blocks: Column, quota: Column, start: Column) -> Column:
-    """How often a block is taken: quota div n_blocks, and once more if it comes early in the seeded permutation."""
-    place = F.pmod(block_no * F.lit(STRIDE) + start, n_blocks)
-    return F.floor(quota / n_blocks) + F.when(place < F.pmod(quota, n_blocks), 1).otherwise(0)
+def ranked_in_runs(rows: DataFrame, key: str, order: str, runs: Column, value: Column, name: str, *ties: Column) -> DataFrame:
+    """rows with `name`: the sum of value over the rows before, in the order of `order` and ties within the key.
+
+    The order is a hash of SPAN values, so cutting it into `runs` equal stretches deals the rows of a large key evenly; sums of
+    the stretches give each its start.
+    """
+    run, start, other = "_run", "_run_start", "_run_key"
+    placed = rows.withColumn(run, F.floor(F.col(order) / F.lit(SPAN) * runs).cast("long"))
+    before = Window.partitionBy(key).orderBy(run).rowsBetween(Window.unboundedPreceding, -1)
+    sums = placed.groupBy(key, run).agg(F.sum(value).alias("_sum"))
+    sums = sums.select(F.col(key).alias(other), F.col(run).alias("_run_no"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias(start))
+    placed = placed.join(sums, F.col(key).eqNullSafe(F.col(other)) & (F.col(run) == F.col("_run_no")))
+    inside = Window.partitionBy(key, run).orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, -1)
+    return placed.withColumn(name, F.col(start) + F.coalesce(F.sum(value).over(inside), F.lit(0))).drop(run, start, other, "_run_no", "_sum")
+
 
+def block_shares(table: DataFrame, rows_per_run: int, seed: int) -> DataFrame:
+    """(b_source, block_no, times): how often each shard takes each block, as an array by shard; blocks that none takes are left out.
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), scale_percent: int = 150, cap: int = 2, block: int = 64, n_shards: int = 8, rows_per_run: int = 20_000, seed: int = 9) -> DataFrame:
-    """doc_id, source, size, source_size, target, quota, taken of every row of docs (doc_id, source, text)."""
-    order = seeded(seed, F.col("doc_id").cast("string"), F.col("size").cast("string"))
-    light = stored(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")).withColumn("order", order), "mix-sizes")
+    table holds source, n_blocks and ends: the quotas of the shards added up, one after the other.
+    """
+    chunks = table.filter("n_blocks > 0").select("source", "n_blocks", "ends", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_blocks") - 1) / CHUNK))).alias("chunk"))
+    chunks = chunks.repartition("source", "chunk")
+    last = F.least((F.col("chunk") + 1) * CHUNK, F.col("n_blocks")) - 1
+    blocks = chunks.select("source", "n_blocks", "ends", F.explode(F.sequence(F.col("chunk") * CHUNK, last)).alias("block_no"))
+    blocks = blocks.withColumn("order", seeded(seed, F.col("source"), F.col("block_no").cast("string")))
+    ranked = ranked_in_runs(blocks, "source", "order", F.ceil(F.col("n_blocks") / F.lit(rows_per_run)), F.lit(1), "rank", F.col("block_no"))
+    # the places rank, rank + n, rank + 2 n ... below an end
+    upto = lambda end: F.floor((end + F.col("n_blocks") - 1 - F.col("rank")) / F.col("n_blocks"))
+    times = F.transform("ends", lambda end, i: upto(end) - F.when(i == 0, F.lit(0)).otherwise(upto(F.get("ends", i - 1))))
+    return ranked.filter(F.col("rank") < F.element_at("ends", -1)).select(F.col("source").alias("b_source"), F.col("block_no").alias("b_block"), times.alias("times"))
+
+
+def mix_shards(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), scale_percent: int = 150, cap: int = 2, block: int = 64, n_shards: int = 8, rows_per_run: int = 4_000, seed: int = 9) -> DataFrame:
+    """doc_id, source, size, source_size, target, shard_words of every row of docs (doc_id, source, text).
+
+    shard_words holds the words that each shard takes of the document, by shard.
+    """
+    order = seeded(seed, F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit(""))))
+    light = stored(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), order.alias("order")), "mix-sizes")
     sources = light.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_rows"))
     targets = stored(capped_targets(cycle_weights(sources, weights), scale_percent, cap), "mix-targets")
-    quota = shard_quotas(targets, block, n_shards).groupBy("source").agg(F.sum("quota").alias("quota"))
+    quota = shard_quotas(targets, block, n_shards).groupBy("source").agg(F.sort_array(F.collect_list(F.struct("shard", "quota"))).alias("quotas"))
     quota = quota.withColumnRenamed("source", "q_source")
     table = targets.join(quota, F.col("source").eqNullSafe(F.col("q_source")), "left")
-    table = stored(table.select(F.col("source").alias("t_source"), "source_rows", "source_size", "target", F.coalesce("quota", F.lit(0)).cast("long").alias("quota")), "mix-quotas")
-    # a source's stream is cut into runs of seeded order, so that a large one is dealt to many tasks
-    placed = light.join(bounded_broadcast(table, MAX_BROADCAST_SOURCES), F.col("source").eqNullSafe(F.col("t_source")))
-    runs = F.ceil(F.col("source_rows") / F.lit(rows_per_run))
-    run = F.floor(F.col("order") / F.lit(float(1 << 60)) * runs).cast("long")
-    placed = placed.withColumn("run", run)
-    sums = placed.groupBy("source", "run").agg(F.sum("size").alias("run_size"))
-    before = Window.partitionBy("source").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(F.col("source").alias("r_source"), F.col("run").alias("r_run"), F.coalesce(F.sum("run_size").over(before), F.lit(0)).alias("run_start"))
-    placed = placed.join(sums, F.col("source").eqNullSafe(F.col("r_source")) & (F.col("run") == F.col("r_run")))
-    # runs are stretches of the seeded order, so a run's start and the sum inside it give the place in the stream
-    inside = Window.partitionBy("source", "run").orderBy("order", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = placed.withColumn("start", F.col("run_start") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    n_blocks = F.greatest(F.ceil(F.col("source_size") / F.lit(block)), F.lit(1))
-    placed = placed.withColumn("n_blocks", n_blocks).withColumn("quota", F.least("quota", F.col("n_blocks") * cap))
-    first_block = F.pmod(seeded(seed + 1, F.col("source")), F.col("n_blocks"))
+    table = table.withColumn("n_blocks", F.ceil(F.col("source_size") / F.lit(block)))
+    # no more than `cap` times the source's blocks, however its last block rounds
+    none = F.array(*[F.lit(0).cast("long")] * n_shards)
+    grown = F.transform("quotas", lambda q, i: F.least(F.col("n_blocks") * cap, F.aggregate(F.slice("quotas", F.lit(1), i + 1), F.lit(0).cast("long"), lambda a, x: a + x["quota"])))
+    table = stored(table.select("source", "source_rows", "source_size", "target", "n_blocks", F.coalesce(grown, none).alias("ends")), "mix-quotas")
+    named = table.select(F.col("source").alias("t_source"), "source_rows", "source_size", "target")
+    placed = light.join(bounded_broadcast(named, MAX_BROADCAST_SOURCES), F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source")
+    placed = ranked_in_runs(placed, "source", "order", F.ceil(F.col("source_rows") / F.lit(rows_per_run)), F.col("size"), "start", F.col("doc_id").asc_nulls_last(), F.col("size"))
+    placed = stored(placed.select("doc_id", "source", "size", "source_size", "target", "start", F.xxhash64("doc_id", "source", "order", "start").alias("row")), "mix-places")
+    shares = block_shares(table, 10 * rows_per_run, seed + 1)
     end = F.col("start") + F.col("size")
-    touched = F.sequence(F.floor(F.col("start") / block), F.floor((end - 1) / block))
-    overlap = lambda j: F.least(end, (j + 1) * block) - F.greatest(F.col("start"), j * block)
-    taken = F.aggregate(touched, F.lit(0).cast("long"), lambda acc, j: acc + overlap(j) * times_taken(j, F.col("n_blocks"), F.col("quota"), first_block))
-    return placed.select("doc_id", "source", "size", "source_size", "target", "quota", F.when(F.col("size") == 0, F.lit(0)).otherwise(taken).cast("long").alias("taken"))
+    pieces = placed.filter("size > 0").select("source", "start", "row", end.alias("end"), F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((end - 1) / block))).alias("block_no"))
+    words = F.least("end", (F.col("block_no") + 1) * block) - F.greatest("start", F.col("block_no") * block)
+    met = pieces.withColumn("words", words).join(shares, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("block_no") == F.col("b_block")))
+    sums = F.array(*[F.sum(F.col("words") * F.get("times", F.lit(i))) for i in range(n_shards)])
+    # a row's place in its source's stream names it
+    taken = met.groupBy(F.col("source").alias("m_source"), F.col("start").alias("m_start"), F.col("row").alias("m_row")).agg(sums.alias("shard_words"))
+    same = F.col("source").eqNullSafe(F.col("m_source")) & (F.col("start") == F.col("m_start")) & (F.col("row") == F.col("m_row")) & (F.col("size") > 0)
+    out = placed.join(taken, same, "left")
+    return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("shard_words", none).alias("shard_words"))
+
+
+def mix(docs: DataFrame, **how) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken (the words that the mix takes, repeats counted), shard_words."""
+    out = mix_shards(docs, **how)
+    taken = F.aggregate("shard_words", F.lit(0).cast("long"), lambda a, x: a + x)
+    return out.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "shard_words")
 
 
 def whole_copies(taken: DataFrame, rows_per_run: int = 20_000, seed: int = 9) -> DataFrame:
@@ -156,26 +201,33 @@ def whole_copies(taken: DataFrame, rows_per_run: int = 20_000, seed: int = 9) ->
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:
-    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken", F.array_join(F.col("shard_words").cast("array<string>"), ",").alias("shard_words"))
 
 
 OP9_SQL = r"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+WITH d AS (SELECT doc_id, source, text, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)] AS weight, 2 * source_size AS lim FROM s),
 l AS (SELECT *, ((sum(source_size) OVER ())::DOUBLE * 150 / 100 - coalesce(sum(lim) OVER (ORDER BY lim / weight::DOUBLE, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
   / (sum(weight) OVER (ORDER BY lim / weight::DOUBLE, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level FROM w),
 m AS (SELECT *, first_value(CASE WHEN level * weight <= lim THEN level END IGNORE NULLS) OVER (ORDER BY lim / weight::DOUBLE, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS lev FROM l),
 t AS (SELECT source, source_size, CASE WHEN lev IS NULL THEN lim::DOUBLE ELSE least(lim::DOUBLE, lev * weight) END AS target FROM m),
-e AS (SELECT *, floor(sum(target) OVER () / 64 + 0.5)::BIGINT AS seats FROM t),
-x AS (SELECT *, seats * target / sum(target) OVER () AS exact, ceil(count(*) OVER () * (target / sum(target) OVER ()) / 2)::BIGINT + 1 AS near FROM e WHERE target > 0),
+e AS (SELECT *, floor(floor(sum(target) OVER (PARTITION BY house) / 64 + 0.5) * house / 8)::BIGINT AS seats FROM t, (SELECT unnest(range(1, 9)) AS house)),
+x AS (SELECT *, seats * target / sum(target) OVER h AS exact, ceil(count(*) OVER h * (target / sum(target) OVER h) / 2)::BIGINT + 1 AS near FROM e WHERE target > 0 WINDOW h AS (PARTITION BY house)),
 b AS (SELECT *, greatest(0, floor(exact)::BIGINT - near) AS base FROM x),
-c AS (SELECT *, unnest(range(base, floor(exact)::BIGINT + near + 2)) AS k FROM (SELECT *, seats - sum(base) OVER () AS open FROM b)),
-r AS (SELECT *, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, source NULLS LAST, k) AS rank FROM c),
-q AS (SELECT source, max(base) + count(*) FILTER (rank <= open) AS quota FROM r GROUP BY source),
-n AS (SELECT t.*, least(coalesce(quota, 0), 2 * greatest(ceil(source_size / 64.0)::BIGINT, 1)) AS quota, greatest(ceil(source_size / 64.0)::BIGINT, 1) AS n_blocks, ('0x' || substr(md5('10|' || coalesce(t.source, '')), 1, 15))::BIGINT AS f FROM t LEFT JOIN q ON t.source IS NOT DISTINCT FROM q.source),
-p AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY ('0x' || substr(md5('9|' || coalesce(doc_id::VARCHAR, '') || '|' || size), 1, 15))::BIGINT, doc_id NULLS LAST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM d)
-SELECT doc_id, size, source_size, target, CASE WHEN size = 0 THEN 0 ELSE list_sum(list_transform(range(start // 64, (start + size - 1) // 64 + 1),
-  lambda j: (least(start + size, (j + 1) * 64) - greatest(start, j * 64)) * (quota // n_blocks + ((j * 2147483647 + f % n_blocks) % n_blocks < quota % n_blocks)::BIGINT))) END::BIGINT AS taken
-FROM p JOIN n ON p.source IS NOT DISTINCT FROM n.source
+c AS (SELECT *, unnest(range(base, floor(exact)::BIGINT + near + 2)) AS k FROM (SELECT *, seats - sum(base) OVER (PARTITION BY house) AS open FROM b)),
+r AS (SELECT *, row_number() OVER (PARTITION BY house ORDER BY target / (2 * k + 1) DESC, source NULLS LAST, k) AS rank FROM c),
+q AS (SELECT source, house, max(base) + count(*) FILTER (rank <= open) AS grown FROM r GROUP BY source, house),
+n AS (SELECT t.source, house, source_size, target, ceil(source_size / 64.0)::BIGINT AS n_blocks, least(coalesce(grown, 0), 2 * ceil(source_size / 64.0)::BIGINT) AS stop
+  FROM t CROSS JOIN (SELECT unnest(range(1, 9)) AS house) LEFT JOIN q USING (house) WHERE q.source IS NOT DISTINCT FROM t.source),
+y AS (SELECT *, coalesce(lag(stop) OVER (PARTITION BY source ORDER BY house), 0) AS begin FROM n),
+z AS (SELECT source, n_blocks, unnest(range(n_blocks)) AS j FROM n WHERE house = 1),
+k AS (SELECT source, j, row_number() OVER (PARTITION BY source ORDER BY ('0x' || substr(md5('10|' || coalesce(source, '') || '|' || j), 1, 15))::BIGINT, j) - 1 AS rank FROM z),
+u AS (SELECT k.source, k.j, y.house, (stop + n_blocks - 1 - rank) // n_blocks - (begin + n_blocks - 1 - rank) // n_blocks AS times FROM k JOIN y ON k.source IS NOT DISTINCT FROM y.source),
+p AS (SELECT *, row_number() OVER () AS id, coalesce(sum(size) OVER (PARTITION BY source ORDER BY ('0x' || substr(md5('9|' || coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, ''))), 1, 15))::BIGINT, doc_id NULLS LAST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM d),
+o AS (SELECT id, source, start, start + size AS stop, unnest(range(start // 64, (start + size - 1) // 64 + 1)) AS j FROM p WHERE size > 0),
+g AS (SELECT id, house, sum((least(o.stop, (o.j + 1) * 64) - greatest(o.start, o.j * 64)) * times)::BIGINT AS words FROM o JOIN u ON o.source IS NOT DISTINCT FROM u.source AND o.j = u.j GROUP BY id, house),
+f AS (SELECT id, sum(words)::BIGINT AS taken, string_agg(words::VARCHAR, ',' ORDER BY house) AS shard_words FROM g GROUP BY id)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken, coalesce(shard_words, '0,0,0,0,0,0,0,0') AS shard_words
+FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source LEFT JOIN f USING (id)
 """
