@@ -6,12 +6,17 @@ The posterior of a document's language multiplies, in logarithms,
 - the prior of its host, smoothed towards its address suffix and that towards the whole corpus.
 
 The text model is fitted on a bounded sample of rows with a declared language (`rows_per_language`); the
-tables of hosts, suffixes and declarations come from grouped aggregation over every document.
+tables of hosts, suffixes and declarations come from grouped aggregation over every document.  Each label of at
+least `least_rows` rows is a language of its own, however large the corpus; the rarer ones together are one more,
+called `und`, as so few rows don't make a model each.  The table of the text model has a row for each language and
+bucket; a column of more than `MAX_LANGUAGES` such labels holds no languages, and is refused.
+
+Addresses: host_of, suffix_of and declared_in take the evidence from a page's url and html, for tables that have these.
 
 Defined results: a null or empty text, or one without a letter, has no text evidence, and the
 document is rejected; an undeclared language gives no evidence; a null host is one more host;
-rows that repeat get equal results; extra columns are kept; an empty table gives an empty result; with
-nothing to learn from, no language is known and all documents are rejected.
+rows that repeat get equal results; a text of any length is scored whole, in steps; extra columns are kept; an empty
+table gives an empty result; with nothing to learn from, no language is known and all documents are rejected.
 """
 
 from __future__ import annotations
@@ -28,6 +33,10 @@ from .common import bounded_broadcast, fresh, small_batches, stored
 BUCKETS = 1 << 15
 #: Bytes of text that one step of the scoring looks at.
 STEP_BYTES = 1 << 18
+#: Labels that may be languages; the text model has BUCKETS numbers of four bytes for each.
+MAX_LANGUAGES = 1_000
+#: What the labels are called that are too rare for a model of their own.
+RARE = "und"
 #: Hosts up to this many (about 100 bytes each) are broadcast, more are joined by a shuffle.
 MAX_BROADCAST_HOSTS = 200_000
 #: Trigrams overlap and repeat; a text counts as this share of its trigrams, and as so many at most.
@@ -59,38 +68,60 @@ def pieces(texts):
         yield at, run
 
 
-def train_batches(languages: list[str]):
+def train_batches():
     def count(batches):
         import pyarrow as pa
 
-        seen = np.zeros((len(languages), BUCKETS), dtype=np.int64)
-        place = {x: i for i, x in enumerate(languages)}
+        # a row of counts for each language that the task meets
+        seen: dict[int, np.ndarray] = {}
         for batch in batches:
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
                 b = np.frombuffer((text or "").encode(), dtype=np.uint8)
                 if len(b) > 2:
                     bucket = trigram_buckets(b)
-                    seen[place[lang]] += np.bincount(bucket[bucket >= 0], minlength=BUCKETS)
-        lang, bucket = np.nonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(lang, pa.int32()), pa.array(bucket, pa.int32()), pa.array(seen[lang, bucket], pa.int64())], names=["lang", "bucket", "n"])
+                    seen.setdefault(lang, np.zeros(BUCKETS, dtype=np.int64))
+                    seen[lang] += np.bincount(bucket[bucket >= 0], minlength=BUCKETS)
+        for lang, row in seen.items():
+            bucket = np.flatnonzero(row)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(bucket), lang), pa.int32()), pa.array(bucket, pa.int32()), pa.array(row[bucket], pa.int64())], names=["lang", "bucket", "n"])
 
     return count
 
 
-def fit_text_model(docs: DataFrame, lang: str = "lang", rows_per_language: int = 2_000, min_share: float = 0.001, seed: int = 7) -> tuple[list[str], np.ndarray]:
+def declared_language(docs: DataFrame, lang: str, least_rows: int) -> tuple[list[str], dict[str, int]]:
+    """The labels of at least least_rows rows, in order, and the rows of each; RARE counts the rows of all others."""
+    counts = docs.filter(F.col(lang).isNotNull() & (F.col(lang) != "")).groupBy(F.col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("n"))
+    counts = stored(counts, "language-labels")
+    own = {r["lang"]: r["n"] for r in counts.filter(F.col("n") >= least_rows).limit(MAX_LANGUAGES + 1).collect()}
+    if len(own) > MAX_LANGUAGES:
+        raise ValueError(f"{lang} has more than {MAX_LANGUAGES} labels of {least_rows} rows or more: these aren't languages")
+    rare = counts.filter(F.col("n") < least_rows).agg(F.sum("n").alias("n")).first()["n"]
+    if rare:
+        own[RARE] = own.get(RARE, 0) + rare
+    return sorted(own), own
+
+
+def label_place(lang: Column, languages: list[str]) -> Column:
+    """The place of a declared label among the languages, from 1; that of RARE for rare ones, 0 for none."""
+    table = F.create_map(*[x for i, name in enumerate(languages) for x in (F.lit(name), F.lit(i + 1))])
+    other = languages.index(RARE) + 1 if RARE in languages else 0
+    return F.when(lang.isNull() | (lang == ""), F.lit(0)).otherwise(F.coalesce(F.try_element_at(table, lang), F.lit(other)))
+
+
+def fit_text_model(docs: DataFrame, lang: str = "lang", rows_per_language: int = 2_000, least_rows: int = 20, seed: int = 7) -> tuple[list[str], np.ndarray]:
     """The languages and log P(bucket | language), learned on about rows_per_language rows of each."""
-    counts = {r[lang]: r["n"] for r in docs.filter(F.col(lang).isNotNull() & (F.col(lang) != "")).groupBy(lang).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc()).limit(500).collect()}
-    languages = sorted(x for x, n in counts.items() if n >= min_share * sum(counts.values()))
+    languages, counts = declared_language(docs, lang, least_rows)
     if not languages:
-        return [], np.zeros((0, BUCKETS))
+        return [], np.zeros((0, BUCKETS), dtype=np.float32)
     u = F.pmod(F.xxhash64(F.lit(seed), *[F.col(c) for c in docs.columns if c in ("doc_id", "page_id")], F.col("text")), F.lit(1_000_000)) / 1e6
-    rate = F.coalesce(*[F.when(F.col(lang) == x, F.lit(min(1.0, rows_per_language / counts[x]))) for x in languages])
-    sample = docs.select("text", F.col(lang).alias("lang"), u.alias("u"), rate.alias("rate")).filter("u < rate").select("text", "lang")
-    table = sample.mapInArrow(train_batches(languages), "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    place = label_place(F.col(lang), languages)
+    rate = F.element_at(F.array(*[F.lit(min(1.0, rows_per_language / counts[x])) for x in languages]), F.greatest(place, F.lit(1)))
+    sample = docs.select("text", place.alias("place"), u.alias("u"), rate.alias("rate")).filter("place > 0 and u < rate").select("text", (F.col("place") - 1).cast("int").alias("lang"))
+    table = sample.mapInArrow(train_batches(), "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     seen = np.full((len(languages), BUCKETS), 0.05)
     for r in table.toLocalIterator():
         seen[r["lang"], r["bucket"]] += r["n"]
-    return languages, np.log(seen / seen.sum(axis=1, keepdims=True))
+    return languages, np.log(seen / seen.sum(axis=1, keepdims=True)).astype(np.float32)
 
 
 def text_scores(model: np.ndarray):
@@ -101,7 +132,7 @@ def text_scores(model: np.ndarray):
         import pandas as pd
 
         centred = model - model.mean(axis=0)  # only differences between languages matter
-        padded = np.concatenate([centred, np.zeros((len(model), 1))], axis=1)
+        padded = np.concatenate([centred, np.zeros((len(model), 1), dtype=model.dtype)], axis=1)
         out: list = [None] * len(texts)
         for first, run in pieces(texts):
             ends = np.cumsum([len(b) for b in run])
@@ -111,7 +142,7 @@ def text_scores(model: np.ndarray):
             bucket = trigram_buckets(data)
             starts = ends - [len(b) for b in run]
             stops = np.maximum(starts, ends - 2)  # a trigram lies within its document
-            sums = [np.concatenate([[0.0], np.cumsum(row[bucket])]) for row in padded]
+            sums = [np.concatenate([[0.0], np.cumsum(row[bucket], dtype=np.float64)]) for row in padded]
             n = np.concatenate([[0], np.cumsum(bucket >= 0)])
             last = len(bucket)
             for k, (a, z) in enumerate(zip(np.minimum(starts, last), np.minimum(stops, last), strict=True)):
@@ -147,23 +178,42 @@ def summed(name: str, n: int) -> Column:
     return F.array(*[F.coalesce(F.sum(F.col(name)[i]), F.lit(0.0)) for i in range(n)])
 
 
-def identify(docs: DataFrame, declared: str = "lang", host: str = "source", rows_per_language: int = 2_000, strength: float = 20.0, least: float = 0.5) -> DataFrame:
-    """docs with language, language_posterior and language_kept; declared and host name the columns of evidence."""
+def host_of(url: Column) -> Column:
+    """The host of an address, in lower case, without a port; null if there is none."""
+    return F.nullif(F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
+
+
+def suffix_of(host: Column) -> Column:
+    """What follows a host's last dot, or '' if it has none or is a number."""
+    return F.coalesce(F.regexp_extract(host, r"\.([^.0-9]+)$", 1), F.lit(""))
+
+
+def declared_in(html: Column) -> Column:
+    """The language that the html element of a page declares, without a region; null if none."""
+    return F.nullif(F.lower(F.regexp_extract(F.coalesce(html, F.lit("")), r"""(?i)<html\b[^>]*?\slang\s*=\s*["']?([a-z]+)""", 1)), F.lit(""))
+
+
+def identify(docs: DataFrame, declared: str = "lang", host: str = "source", rows_per_language: int = 2_000, strength: float = 20.0, least: float = 0.5, least_rows: int = 20, with_text: bool = True) -> DataFrame:
+    """docs with language, language_posterior and language_kept; declared and host name the columns of evidence.
+
+    The scored rows are stored, so that each text is scored once; without text (with_text=False) they are small.
+    """
     small_batches(docs.sparkSession)
-    languages, model = fit_text_model(docs, declared, rows_per_language)
+    languages, model = fit_text_model(docs, declared, rows_per_language, least_rows)
+    columns = [c for c in docs.columns if with_text or c != "text"]
     n = len(languages)
     language, posterior, kept = "language", "language_posterior", "language_kept"
     if n == 0:
-        return docs.withColumns({language: F.lit(None).cast("string"), posterior: F.lit(None).cast("double"), kept: F.lit(False)})
+        return docs.select(*columns).withColumns({language: F.lit(None).cast("string"), posterior: F.lit(None).cast("double"), kept: F.lit(False)})
     score = text_scores(model)
     ev, hst, sfx, dcl = fresh(docs, "ev", "host", "suffix", "declared")
     host_key = F.coalesce(F.concat(F.lit("+"), F.lower(F.col(host))), F.lit("-"))
-    base = {ev: score(F.col("text")), hst: host_key, dcl: F.array_position(F.array(*map(F.lit, languages)), F.coalesce(F.col(declared), F.lit("")))}
-    scored = docs.withColumns(base)
+    base = {ev: score(F.col("text")), hst: host_key, dcl: label_place(F.col(declared), languages)}
+    scored = stored(docs.withColumns(base).select(*columns, ev, hst, dcl), "language-scores")
     # every document's evidence by host and declaration, in one grouped aggregation
     soft = scored.filter(F.col(ev).isNotNull()).select(F.col(hst).alias("host"), F.col(dcl).alias("declared"), softmax(F.col(ev)).alias("p"))
     cells = stored(soft.groupBy("host", "declared").agg(summed("p", n).alias("p")), "language-cells")
-    hosts = cells.groupBy("host").agg(summed("p", n).alias("p")).withColumn("suffix", F.when(F.col("host").contains("."), F.regexp_extract("host", r"\.([^.]*)$", 1)).otherwise(F.lit("")))
+    hosts = cells.groupBy("host").agg(summed("p", n).alias("p")).withColumn("suffix", suffix_of(F.col("host")))
     suffixes = hosts.groupBy("suffix").agg(summed("p", n).alias("suffix_p"))
     whole = hosts.agg(summed("p", n).alias("p")).first()["p"]
     corpus = [(x + 1.0) / (sum(whole) + n) for x in whole]
@@ -181,9 +231,9 @@ def identify(docs: DataFrame, declared: str = "lang", host: str = "source", rows
     best = F.array_max(ev)
     name = F.element_at(F.array(*map(F.lit, languages)), F.array_position(ev, best).cast("int"))
     out = joined.withColumns({language: name, posterior: best, kept: F.coalesce(best >= least, F.lit(False))})
-    return out.select(*docs.columns, language, posterior, kept)
+    return out.select(*columns, language, posterior, kept)
 
 
 def op7_language_id(spark, sf_dir: str) -> DataFrame:
-    out = identify(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    out = identify(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_text=False)
     return out.select("doc_id", "lang", "language", F.round("language_posterior", 6).alias("language_posterior"), F.col("language_kept").alias("kept"))

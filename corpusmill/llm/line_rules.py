@@ -4,11 +4,13 @@ Per document, in one pass over its text: words, their characters, symbols, repea
 repeated three-word windows.  Across documents: every line is normalised (lower case, digits to 0,
 runs of white space to one space) and hashed; for each host the distinct documents holding a line
 are counted; lines in more documents than the host's limit are removed; a document that keeps too
-few of its words is rejected.
+few of its words is rejected.  The limit is a share of the host's documents, from a floor of a few documents on, as
+one or two documents say nothing of boilerplate; a host of fewer documents than the floor loses no line.
 
 Defined results: a null text has no words and fails the base rules; a null host is a host of its own;
 rows that agree in doc_id, host and text are one document and share its result; a line without a
-word is never counted; an empty table gives an empty result; extra columns are kept out.
+word is never counted; an empty table gives an empty result; a text of any length is cut whole into lines; extra
+columns are kept out of the statistics and, whatever their names, kept by the removal.
 """
 
 from __future__ import annotations
@@ -16,10 +18,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, stored, words
+from .common import bounded_broadcast, fresh, n_words, stored, words
 
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
+#: Frequent lines up to this many (about 40 bytes each) are broadcast to their postings, more are joined by a shuffle.
+MAX_BROADCAST_LINES = 500_000
 
 
 def repeated_window_words(w: Column, width: int = 3) -> Column:
@@ -67,26 +71,32 @@ def normal_line(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(F.lower(line), "123456789", "000000000"), r"[ \t\x0B\f\r]+", " "))
 
 
-def removed_words(docs: DataFrame, min_docs: int, host_share: float) -> DataFrame:
-    """(doc_id, key, host, n_removed): words in lines that more than max(min_docs, host_share of the host's documents) of its documents hold."""
-    line = docs.select("doc_id", "key", "host", F.explode(F.split(F.col("text"), "\n")).alias("line"))
+def keyed_documents(docs: DataFrame) -> DataFrame:
+    """docs as id (the doc_id), doc_id (as text), key (a hash of the text), host and text."""
+    host = F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col("source")))
+    return docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc_id"), F.col("doc_id").alias("id"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("key"), host.alias("host"), "text")
+
+
+def frequent_postings(keyed: DataFrame, least_docs: int, host_share: float) -> DataFrame:
+    """(host, h, doc_id, key, n): the lines, with their words, that least_docs and over host_share of the host's documents hold."""
+    line = keyed.select("doc_id", "key", "host", F.explode(F.split(F.col("text"), "\n")).alias("line"))
     line = line.select("doc_id", "key", "host", F.xxhash64(normal_line(F.col("line"))).alias("h"), n_words(F.col("line")).alias("n")).filter("n > 0")
     # one row for each document and line: repeats within a document count once towards the documents
     held = stored(line.groupBy("host", "h", "doc_id", "key").agg(F.sum("n").alias("n")), "line-postings")
-    sizes = docs.select("host", "doc_id", "key").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
-    often = held.groupBy("host", "h").agg(F.count(F.lit(1)).alias("n_docs")).filter(F.col("n_docs") > min_docs)
-    often = often.join(sizes, "host").filter(F.col("n_docs") > F.lit(host_share) * F.col("host_docs")).select("host", "h")
-    return held.join(often, ["host", "h"]).groupBy("doc_id", "key", "host").agg(F.sum("n").alias("n_removed"))
+    sizes = keyed.select("host", "doc_id", "key").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
+    often = held.groupBy("host", "h").agg(F.count(F.lit(1)).alias("n_docs")).filter(F.col("n_docs") >= least_docs)
+    often = stored(often.join(sizes, "host").filter(F.col("n_docs") > F.lit(host_share) * F.col("host_docs")).select("host", "h"), "line-frequent")
+    # the postings of a frequent line are as many as it is frequent, so they had better not be dealt by it
+    return held.join(bounded_broadcast(often, MAX_BROADCAST_LINES), ["host", "h"])
 
 
-def quality_rules(docs: DataFrame, min_docs: int = 50, host_share: float = 0.02, min_left: float = 0.3) -> DataFrame:
+def quality_rules(docs: DataFrame, least_docs: int = 5, host_share: float = 0.02, min_left: float = 0.3) -> DataFrame:
     """docs (doc_id, source, text) with the base statistics, n_removed, n_left and kept.
 
     kept: the base rules pass and at least min_left of the words stay after frequent lines are removed.
     """
-    host = F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col("source")))
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc_id"), F.col("doc_id").alias("id"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("key"), host.alias("host"), "text")
-    removed = removed_words(keyed, min_docs, host_share)
+    keyed = keyed_documents(docs)
+    removed = frequent_postings(keyed, least_docs, host_share).groupBy("doc_id", "key", "host").agg(F.sum("n").alias("n_removed"))
     out = base_statistics(keyed).join(removed, ["doc_id", "key", "host"], "left")
     n_removed = F.coalesce("n_removed", F.lit(0)).cast("long")
     out = out.withColumn("n_removed", n_removed).withColumn("n_left", F.col("n_words") - F.col("n_removed"))
@@ -94,21 +104,16 @@ def quality_rules(docs: DataFrame, min_docs: int = 50, host_share: float = 0.02,
     return out.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_removed", "n_left", kept.alias("kept"))
 
 
-def without_frequent_lines(docs: DataFrame, min_docs: int = 50, host_share: float = 0.02) -> DataFrame:
+def without_frequent_lines(docs: DataFrame, least_docs: int = 5, host_share: float = 0.02) -> DataFrame:
     """docs (doc_id, source, text) with the text rid of its host's frequent lines: the removal itself, whose counts quality_rules reports."""
-    host = F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col("source")))
-    keyed = docs.withColumns({"doc_key": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "key": F.coalesce(F.xxhash64("text"), F.lit(0)), "host": host})
-    line = keyed.select(F.col("doc_key").alias("doc_id"), "key", "host", F.explode(F.split(F.col("text"), "\n")).alias("line"))
-    line = line.select("doc_id", "key", "host", F.xxhash64(normal_line(F.col("line"))).alias("h"), n_words(F.col("line")).alias("n")).filter("n > 0")
-    held = line.select("host", "h", "doc_id", "key").distinct()
-    sizes = keyed.select("host", "doc_key", "key").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
-    often = held.groupBy("host", "h").agg(F.count(F.lit(1)).alias("n_docs")).filter(F.col("n_docs") > min_docs).join(sizes, "host")
-    often = often.filter(F.col("n_docs") > F.lit(host_share) * F.col("host_docs")).select("host", "h")
-    gone = held.join(often, ["host", "h"]).groupBy("doc_id", "key", "host").agg(F.collect_set("h").alias("gone"))
-    gone = gone.withColumnRenamed("doc_id", "doc_key")
-    left = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("gone", F.xxhash64(normal_line(x))))
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    return keyed.join(gone, ["doc_key", "key", "host"], "left").withColumn("text", text).select(*docs.columns)
+    doc, key, host, lines = fresh(docs, "doc", "key", "host", "lines")
+    gone = frequent_postings(keyed_documents(docs), least_docs, host_share).groupBy("doc_id", "key", "host").agg(F.collect_set("h").alias(lines))
+    gone = gone.withColumnsRenamed({"doc_id": doc, "key": key, "host": host})
+    site = F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col("source")))
+    rows = docs.withColumns({doc: F.coalesce(F.col("doc_id").cast("string"), F.lit("")), key: F.coalesce(F.xxhash64("text"), F.lit(0)), host: site})
+    left = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains(lines, F.xxhash64(normal_line(x))))
+    text = F.when(F.col(lines).isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    return rows.join(gone, [doc, key, host], "left").withColumn("text", text).select(*docs.columns)
 
 
 def op8_line_rules(spark, sf_dir: str) -> DataFrame:
@@ -130,7 +135,7 @@ l AS (SELECT doc_id, source, raw, trim(regexp_replace(translate(lower(line), '12
   len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM l0),
 held AS (SELECT source, h, doc_id, raw, sum(n) AS n FROM l WHERE n > 0 GROUP BY ALL),
 hs AS (SELECT source, count(*) AS host_docs FROM k GROUP BY source),
-o AS (SELECT held.source, h FROM held JOIN hs ON held.source IS NOT DISTINCT FROM hs.source GROUP BY held.source, h HAVING count(*) > 50 AND count(*) > 0.02 * any_value(host_docs)),
+o AS (SELECT held.source, h FROM held JOIN hs ON held.source IS NOT DISTINCT FROM hs.source GROUP BY held.source, h HAVING count(*) >= 5 AND count(*) > 0.02 * any_value(host_docs)),
 m AS (SELECT doc_id, held.source, raw, sum(n)::BIGINT AS n_removed FROM held JOIN o ON held.h = o.h AND held.source IS NOT DISTINCT FROM o.source GROUP BY ALL),
 s AS (SELECT b.*, coalesce(r.n, 0) AS n_repeat_words, coalesce(m.n_removed, 0) AS n_removed FROM b
   LEFT JOIN r ON b.doc_id IS NOT DISTINCT FROM r.doc_id AND b.source IS NOT DISTINCT FROM r.source AND b.raw = r.raw

@@ -159,7 +159,7 @@ def test_find_range(spark):
 
 
 def test_line_rules(spark, docs, none):
-    got = {(str(r["doc_id"]), r["n_words"]): r for r in line_rules.quality_rules(docs, min_docs=1, host_share=0.0).collect()}
+    got = {(str(r["doc_id"]), r["n_words"]): r for r in line_rules.quality_rules(docs, least_docs=2, host_share=0.0).collect()}
     for i, t, *_ in ROWS:
         w = split_words(t)
         grams = collections.Counter(tuple(w[k : k + 3]) for k in range(len(w) - 2))
@@ -174,9 +174,9 @@ def test_line_rules(spark, docs, none):
 def test_frequent_lines_go(spark):
     rows = [(i, f"Page {i}\nwords of number {i} alone\nFOOTER 12  text", "h") for i in range(6)] + [(9, "footer 99 text\nfooter 12 text", "h"), (10, "footer 1 text", "other")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    got = {r["doc_id"]: r for r in line_rules.quality_rules(docs, min_docs=6, host_share=0.1, min_left=0.3).collect()}
+    got = {r["doc_id"]: r for r in line_rules.quality_rules(docs, least_docs=7, host_share=0.1, min_left=0.3).collect()}
     assert got[0]["n_removed"] == 3 and got[9]["n_left"] == 0 and not got[9]["kept"] and got[10]["n_removed"] == 0
-    clean = {r["doc_id"]: r["text"] for r in line_rules.without_frequent_lines(docs, min_docs=6, host_share=0.1).collect()}
+    clean = {r["doc_id"]: r["text"] for r in line_rules.without_frequent_lines(docs, least_docs=7, host_share=0.1).collect()}
     assert clean[9] == "" and clean[10] == "footer 1 text" and "FOOTER" not in clean[0] and clean[0].startswith("Page 0")
 
 
