@@ -108,7 +108,7 @@ def label_place(lang: Column, languages: list[str]) -> Column:
     return F.when(lang.isNull() | (lang == ""), F.lit(0)).otherwise(F.coalesce(F.try_element_at(table, lang), F.lit(other)))
 
 
-def fit_text_model(docs: DataFrame, lang: str = "lang", rows_per_language: int = 2_000, least_rows: int = 20, seed: int = 7) -> tuple[list[str], np.ndarray]:
+def fit_text_model(docs: DataFrame, lang: str = "lang", rows_per_language: int = 2_000, least_rows: int = 5, seed: int = 7) -> tuple[list[str], np.ndarray]:
     """The languages and log P(bucket | language), learned on about rows_per_language rows of each."""
     languages, counts = declared_language(docs, lang, least_rows)
     if not languages:
@@ -193,7 +193,7 @@ def declared_in(html: Column) -> Column:
     return F.nullif(F.lower(F.regexp_extract(F.coalesce(html, F.lit("")), r"""(?i)<html\b[^>]*?\slang\s*=\s*["']?([a-z]+)""", 1)), F.lit(""))
 
 
-def identify(docs: DataFrame, declared: str = "lang", host: str = "source", rows_per_language: int = 2_000, strength: float = 20.0, least: float = 0.5, least_rows: int = 20, with_text: bool = True) -> DataFrame:
+def identify(docs: DataFrame, declared: str = "lang", host: str = "source", rows_per_language: int = 2_000, strength: float = 20.0, least: float = 0.5, least_rows: int = 5, with_text: bool = True) -> DataFrame:
     """docs with language, language_posterior and language_kept; declared and host name the columns of evidence.
 
     The scored rows are stored, so that each text is scored once; without text (with_text=False) they are small.

@@ -7,11 +7,16 @@
    none.  Host posteriors shrink towards the corpus, path posteriors towards their host, as if each came with so
    many documents of its parent; that strength is estimated from the spread between sites
    (method of moments), so a sparse site keeps to its parent.
-4. The document's posterior adds its evidence to the log-odds of its path.
+4. A document's own share is taken out of its host's and path's sums, so that it doesn't speak twice; its posterior
+   adds its evidence to the log-odds of its path without it.
+
+The path is any column below the host: site_of and path_of take both from an address.  Tables that have neither, as
+documents, give the source and the language.
 
 Defined results: a null text has the features of an empty one; a null host or path is a site of its own; a label that
 is null is no label; of several labels of one doc_id the least counts; without any label the evidence is
-0 and the posterior 0.5; extra columns are kept out; an empty table gives an empty result.
+0 and the posterior 0.5; a text of any length counts whole; extra columns are kept out; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -52,6 +57,17 @@ def features(text: Column) -> Column:
     return F.transform(F.concat(F.element_at(F.transform(F.array(words(t)), by_words), 1), of_lines, shape), lambda x: x.cast("int"))
 
 
+def site_of(url: Column) -> Column:
+    """The host of an address, in lower case; null if there is none."""
+    return F.nullif(F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
+
+
+def path_of(url: Column, depth: int = 1) -> Column:
+    """The first folders of an address's path."""
+    path = F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^?#]*)", 1)
+    return F.array_join(F.slice(F.filter(F.split(path, "/"), lambda x: x != ""), 1, depth), "/")
+
+
 def ratios(labelled: DataFrame, smoothing: float = 1.0) -> list[list[float]]:
     """log P(bin | good) / P(bin | bad) of each feature: a table of features by bins, whatever the input."""
     cells = labelled.select("quality", F.posexplode("bins").alias("feature", "bin")).groupBy("feature", "bin").agg(F.sum("quality").alias("good"), F.count(F.lit(1)).alias("n"))
@@ -97,11 +113,15 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     totals = hosts.agg(F.sum("good").alias("good"), F.sum("n").alias("n")).first()
     centre = ((totals["good"] or 0.0) + prior) / ((totals["n"] or 0) + 1.0)
     s = strength(hosts, centre)
-    hosts = hosts.select("host", ((F.col("good") + F.lit(s * centre)) / (F.col("n") + F.lit(s))).alias("host_posterior"))
-    paths = paths.join(hosts, "host")
-    s = strength(paths, F.col("host_posterior"))
-    paths = paths.select("host", "path", "host_posterior", ((F.col("good") + F.lit(s) * F.col("host_posterior")) / (F.col("n") + F.lit(s))).alias("path_posterior"))
-    out = scored.join(bounded_broadcast(paths, MAX_BROADCAST_SITES), ["host", "path"])
+    posterior_of = lambda good, n, parent, s: (good + F.lit(s) * parent) / (n + F.lit(s))
+    hosts = hosts.select("host", F.col("good").alias("host_good"), F.col("n").alias("host_n"), posterior_of(F.col("good"), F.col("n"), F.lit(centre), s).alias("host_posterior"))
+    paths = stored(paths.join(hosts, "host"), "quality-paths")
+    t = strength(paths, F.col("host_posterior"))
+    out = scored.withColumn("own", said).join(bounded_broadcast(paths, MAX_BROADCAST_SITES), ["host", "path"])
+    # the sums without the document itself; rounding leaves them a hair under 0
+    without = lambda c: F.greatest(F.col(c) - F.col("own"), F.lit(0.0))
+    out = out.withColumn("host_posterior", posterior_of(without("host_good"), F.col("host_n") - 1, F.lit(centre), s))
+    out = out.withColumn("path_posterior", posterior_of(without("good"), F.col("n") - 1, F.col("host_posterior"), t))
     p = F.least(F.greatest("path_posterior", F.lit(1e-6)), F.lit(1 - 1e-6))
     posterior = 1 / (1 + F.exp(-(F.col("evidence") + F.log(p / (1 - p)))))
     return out.select("doc_id", F.round("evidence", 6).alias("evidence"), F.round("host_posterior", 6).alias("host_posterior"), F.round("path_posterior", 6).alias("path_posterior"), F.round(posterior, 6).alias("quality_posterior"), (posterior >= least).alias("kept"))

@@ -6,12 +6,13 @@
    parameter, so the sample is bounded whatever the input.
 3. The quantiles of the sample are the splitters of many fine ranges, some per shard.
 4. The exact bytes of each range are counted; a range beyond `overfull` times its share is
-   subdivided by a hash of doc_id (a hot text, or an unlucky draw).
+   subdivided by a hash of the text, so that equal texts stay together, but a text whose copies alone are larger than
+   a share is dealt by a hash of doc_id.
 5. Ranges are laid end to end in key order and cut into shards at exact shares of the total.
 
-Equal texts have equal keys, so copies meet in one shard unless their range was overfull or the end of a
-shard falls there.  Defined results: a null text has size 8 and CRC 0; null and repeated doc_ids
-are ordinary rows; an empty table gives an empty result; extra columns are kept out of the result.
+Equal texts have equal keys, so copies meet in one piece of a range and one shard, unless they are larger than a
+range's share.  Defined results: a null text has size 8 and CRC 0; null and repeated doc_ids
+are ordinary rows; a text of any length is one record, however large its shard grows; an empty table gives an empty result; extra columns are kept out of the result.
 """
 
 from __future__ import annotations
@@ -80,7 +81,11 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 24, ranges_per_shard: int =
     full = ranged.groupBy("range").agg(F.sum("size").alias("bytes"))
     pieces = full.filter(F.col("bytes") > F.lit(overfull * share)).select("range", F.ceil(F.col("bytes") / F.lit(share)).cast("long").alias("pieces"))
     ranged = ranged.join(F.broadcast(pieces), "range", "left")
-    part = F.coalesce(F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "key"), F.col("pieces")), F.lit(0))
+    # texts that fill a share by themselves: fewer than there are shares
+    hot = ranged.filter("pieces is not null").groupBy("key").agg(F.sum("size").alias("bytes")).filter(F.col("bytes") > F.lit(share))
+    ranged = ranged.join(F.broadcast(hot.select("key", F.lit(True).alias("hot"))), "key", "left")
+    dealt = F.when(F.col("hot"), F.xxhash64(F.lit(seed + 1), "doc_id", "key")).otherwise(F.xxhash64(F.lit(seed + 1), "key"))
+    part = F.coalesce(F.pmod(dealt, F.col("pieces")), F.lit(0))
     ranged = stored(ranged.select("doc_id", "size", "text_crc32", "key", "range", part.alias("piece")), "shard-ranges")
     # pieces end to end: offsets in bytes give the shard, offsets in rows the slot; one row for each piece
     laid = Window.orderBy("range", "piece").rowsBetween(Window.unboundedPreceding, -1)

@@ -2,15 +2,18 @@
 
 A record is a version line, named fields, an empty line, the payload, and two line ends.  Payloads
 are UTF-8 text, so a whole archive is text and Spark's own writer lays it out: no task opens a
-file.  The reader takes whole archives as binary, checks each record (version line, length, the
+file.  Archives hold at most `ARCHIVE_BYTES` of payload, or one larger record.  The reader takes whole archives as
+binary, checks each record (version line, length, the
 two line ends, digest), and after a failed check searches for the next place that reads as a
-record: a version line, or a gzip member that inflates to one.  The bytes between are reported as a
+record: a version line, or a gzip member that inflates to one.  Where a record's head can be read but its
+payload fails a check, what lies within the stated length belongs to that record: places in there count only
+if the length itself is wrong, that is, if no record follows where it ends.  The bytes between are reported as a
 quarantined gap; records after the gap are recovered.
 
 Defined results: a null html is an empty payload; a null url is written as an empty target; a
 null page_id is written as an empty id and read as null; rows that agree in page_id and payload
-are written once each; an empty table gives no archive and an empty result; extra columns
-are left out.
+are written once each, under record ids of their own; a payload of any length is one record, up to the 2 GB that
+a row of Spark holds; an empty table gives no archive and an empty result; extra columns are left out.
 """
 
 from __future__ import annotations
@@ -18,19 +21,27 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-import uuid
 import zlib
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, shared_dir
+from .common import bounded_broadcast, new_path, stored
 
 VERSION = "WARC/1.1"
 #: Fixed values of the record format.
 START = re.compile(rb"WARC/1\.[01]\r\n")
 GZIP = b"\x1f\x8b\x08"
+REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Payload bytes of one archive, and the payload up to which records share one.
+ARCHIVE_BYTES = 1 << 26
+SHARED_BYTES = 1 << 16
+#: Bytes of a gzip member that one step inflates.
+FEED = 1 << 16
+FIRST_FEED = 1 << 12
+#: A record's head is no longer than this.
+HEAD_BYTES = 1 << 16
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 #: Repeated digests up to this many (about 60 bytes each) are broadcast, more are joined by a shuffle.
 MAX_BROADCAST_DIGESTS = 500_000
@@ -57,23 +68,30 @@ def with_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     out = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), payload.alias("payload"))
     out = out.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", base32_sha1(F.col("payload").cast("binary")))
     groups = out.filter(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
-    repeated = bounded_broadcast(groups.filter("n > 1").select("payload_digest", "first_id"), MAX_BROADCAST_DIGESTS)
+    repeated = bounded_broadcast(stored(groups.filter("n > 1").select("payload_digest", "first_id"), "warc-repeated"), MAX_BROADCAST_DIGESTS)
     out = out.join(repeated, "payload_digest", "left")
     revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")) & (F.col("payload_bytes") >= least_bytes)
     return out.withColumn("record_type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))).withColumn("refers_to", F.when(revisit, F.col("first_id"))).drop("first_id")
 
 
-def record_text(payload: str = "payload") -> Column:
-    """A whole record, but for its last line feed, which the text sink adds."""
+def record_id(page_id: Column, digest: Column, url: Column) -> Column:
+    """A URN that names the page and, as page_ids may repeat, what was found there."""
+    return F.concat(F.lit("<urn:page:"), F.coalesce(page_id.cast("string"), F.lit("")), F.lit(":"), F.substring(F.sha2(F.concat_ws(" ", url, digest), 256), 1, 16), F.lit(">"))
+
+
+def record_text(payload: str = "payload", date: str = "1970-01-01T00:00:00Z") -> Column:
+    """A whole record, but for its last line feed, which the text sink adds; date is that of the crawl."""
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
-    number = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    refers = F.concat(F.lit("<urn:page:"), F.coalesce(F.col("refers_to").cast("string"), F.lit("")), F.lit(">"))
+    revisit = F.concat(line("WARC-Profile", F.lit(REVISIT_PROFILE)), line("WARC-Refers-To", refers))
     return F.concat(
         F.lit(f"{VERSION}\r\n"),
         line("WARC-Type", F.col("record_type")),
-        line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), number("page_id"), F.lit(">"))),
+        line("WARC-Record-ID", record_id(F.col("page_id"), F.col("payload_digest"), F.col("url"))),
+        line("WARC-Date", F.lit(date)),
         line("WARC-Target-URI", F.translate("url", "\r\n", "")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
-        F.when(F.col("record_type") == "revisit", line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), number("refers_to"), F.lit(">")))).otherwise(F.lit("")),
+        F.when(F.col("record_type") == "revisit", revisit).otherwise(F.lit("")),
         line("Content-Length", F.col("payload_bytes").cast("string")),
         F.lit("\r\n"),
         F.col(payload),
@@ -81,9 +99,16 @@ def record_text(payload: str = "payload") -> Column:
     )
 
 
-def write_archives(records: DataFrame, path: str, records_per_file: int = 1_000) -> None:
-    """Writes the records of with_revisits as archives of at most records_per_file records."""
-    records.select(record_text().alias("value")).write.option("maxRecordsPerFile", records_per_file).option("lineSep", "\n").text(path)
+def write_archives(records: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z") -> None:
+    """Writes the records of with_revisits as archives of at most ARCHIVE_BYTES of payload each."""
+    longest = records.agg(F.coalesce(F.max("payload_bytes"), F.lit(0)).alias("n")).first()["n"]
+
+    def write(some: DataFrame, most: int) -> None:
+        some.select(record_text(date=date).alias("value")).write.mode("append").option("maxRecordsPerFile", max(1, ARCHIVE_BYTES // most)).option("lineSep", "\n").text(path)
+
+    write(records.filter(F.col("payload_bytes") <= SHARED_BYTES) if longest > SHARED_BYTES else records, SHARED_BYTES)
+    if longest > SHARED_BYTES:
+        write(records.filter(F.col("payload_bytes") > SHARED_BYTES), longest)
 
 
 def gzip_member(record: bytes) -> bytes:
@@ -93,10 +118,14 @@ def gzip_member(record: bytes) -> bytes:
 
 
 def read_record(data: bytes, at: int) -> tuple[dict | None, int, str]:
-    """The record at a place of plain archive bytes, where it ends, and what is wrong with it."""
+    """The record at a place of plain archive bytes, where it ends, and what is wrong with it.
+
+    For a record whose head is sound but whose payload isn't, the end is where its stated length would end it.
+    """
     if not START.match(data, at):
         return None, at, "no version line"
-    end = data.find(b"\r\n\r\n", at)
+    # a head is short; a far away end of one belongs to another record
+    end = data.find(b"\r\n\r\n", at, at + HEAD_BYTES)
     if end < 0:
         return None, at, "cut head"
     fields = {}
@@ -105,68 +134,86 @@ def read_record(data: bytes, at: int) -> tuple[dict | None, int, str]:
         if not colon:
             return None, at, "bad field"
         fields[name.decode("latin-1").lower()] = value.strip().decode("utf-8", "replace")
-    if not fields.get("content-length", "").isdigit():
+    if not re.fullmatch("[0-9]{1,18}", fields.get("content-length", "")):
         return None, at, "no length"
     start = end + 4
     stop = start + int(fields["content-length"])
     if data[stop : stop + 4] != b"\r\n\r\n":
-        return None, at, "wrong length"
+        return None, min(stop, len(data)), "wrong length"
     payload = data[start:stop]
     digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
     if fields.get("warc-payload-digest", f"sha1:{digest}") != f"sha1:{digest}":
-        return None, at, "wrong digest"
+        return None, stop + 4, "wrong digest"
     return fields | {"payload": payload, "digest": digest}, stop + 4, ""
 
 
 def inflate(data: bytes, at: int) -> tuple[bytes | None, int]:
-    """The gzip member at a place and where it ends; None if it's damaged."""
-    unpacker = zlib.decompressobj(31)
+    """The gzip member at a place and where it ends; None and how far it could be inflated if it's damaged."""
+    unpacker, out, view, to = zlib.decompressobj(31), [], memoryview(data), at
     try:
-        out = unpacker.decompress(data[at:]) + unpacker.flush()
+        while not unpacker.eof and to < len(data):
+            feed = FIRST_FEED if to == at else FEED
+            out.append(unpacker.decompress(view[to : to + feed]))
+            to = min(to + feed, len(data))
+            if not unpacker.eof and not any(out):
+                return None, to  # still in a head, which is no head then
     except zlib.error:
-        return None, at
-    return (out, len(data) - len(unpacker.unused_data)) if unpacker.eof else (None, at)
+        return None, to
+    return (b"".join(out), to - len(unpacker.unused_data)) if unpacker.eof else (None, len(data))
+
+
+def member(data: bytes, at: int) -> tuple[dict | None, int, str]:
+    """The record that a gzip member at a place holds and where the member ends."""
+    plain, end = inflate(data, at)
+    if plain is None:
+        return None, at, "damaged member"
+    record, inner, why = read_record(plain, 0)
+    if record is not None and inner != len(plain):
+        return None, end, "more than one record in a member"
+    return record, end, why
 
 
 def salvage(data: bytes) -> Iterator[tuple[int, dict | None, int, str]]:
     """(offset, record or None, bytes of a gap, its reason) through an archive, plain or of gzip members."""
     at = 0
     while at < len(data):
-        record, end, why = read_record(data, at) if data[at : at + 3] != GZIP else (None, at, "damaged member")
-        if data[at : at + 3] == GZIP:
-            plain, after = inflate(data, at)
-            if plain is not None:
-                record, inner, why = read_record(plain, 0)
-                end = after if record is not None and inner == len(plain) else at
-                record = record if end > at else None
-        if record is not None:
+        record, end, why = (member if data.startswith(GZIP, at) else read_record)(data, at)
+        if record is None:
+            # a sound head gives the place of the next record; if there is none, its length is wrong
+            end = end if end > at and (end == len(data) and why != "wrong length" or starts(data, end)) else next_start(data, at + 1)
+            yield at, None, end - at, why
+        else:
             yield at, record, 0, ""
-            at = end
-            continue
-        found = next_start(data, at + 1)
-        yield at, None, found - at, why
-        at = found
+        at = end
+
+
+def starts(data: bytes, at: int) -> bool:
+    """Whether a record or a member begins at a place."""
+    return bool(START.match(data, at)) or (data.startswith(GZIP, at) and member(data, at)[0] is not None)
 
 
 def next_start(data: bytes, at: int) -> int:
     """The first place from `at` on where a record can be read whole, or the end."""
+    line, pack = -2, -2
     while True:
-        line = START.search(data, at)
-        places = [p for p in (line.start() if line else -1, data.find(GZIP, at)) if p >= 0]
+        # each kind of place is looked for again only when the last one found is behind
+        if line != -1 and line < at:
+            found = START.search(data, at)
+            line = found.start() if found else -1
+        if pack != -1 and pack < at:
+            pack = data.find(GZIP, at)
+        places = [p for p in (line, pack) if p >= 0]
         if not places:
             return len(data)
         place = min(places)
-        if data[place : place + 3] == GZIP:
-            plain, _ = inflate(data, place)
-            if plain is not None and read_record(plain, 0)[0] is not None:
-                return place
-        elif read_record(data, place)[0] is not None:
+        record, _, _ = member(data, place) if place == pack else read_record(data, place)
+        if record is not None:
             return place
         at = place + 1
 
 
 def page_number(text: str | None) -> int | None:
-    digits = re.search(r"page:(-?\d+)>", text or "")
+    digits = re.search(r"page:(-?\d+)[:>]", text or "")
     return int(digits[1]) if digits else None
 
 
@@ -199,10 +246,13 @@ def quarantine(records: DataFrame) -> DataFrame:
 
 
 def op6_warc(spark, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark).rstrip('/')}/corpusmill-warc-{uuid.uuid4().hex}"
+    """Archives of all pages, read back.  Archives just written have no gap: one would be a fault and ends the query with its place."""
+    path = new_path(spark, "warc")
     write_archives(with_revisits(spark.read.parquet(f"{sf_dir}/pages.parquet")), path)
     records = read_archives(spark, path, with_payload=False)
-    return records.filter("record_type is not null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    gap = F.raise_error(F.concat(F.lit("gap in "), "archive", F.lit(" at "), F.col("offset").cast("string"), F.lit(": "), "gap_reason"))
+    kind = F.when(F.col("record_type").isNull(), gap).otherwise(F.col("record_type"))
+    return records.select("page_id", "payload_bytes", "payload_digest", kind.alias("record_type"), "refers_to")
 
 
 OP6_SQL = f"""
