@@ -175,12 +175,12 @@ def member(data: bytes, at: int) -> tuple[dict | None, int, str]:
 
 def salvage(data: bytes) -> Iterator[tuple[int, dict | None, int, str]]:
     """(offset, record or None, bytes of a gap, its reason) through an archive, plain or of gzip members."""
-    at = 0
+    at, seen = 0, Places(data)
     while at < len(data):
         record, end, why = (member if data.startswith(GZIP, at) else read_record)(data, at)
         if record is None:
             # a sound head gives the place of the next record; if there is none, its length is wrong
-            end = end if end > at and (end == len(data) and why != "wrong length" or starts(data, end)) else next_start(data, at + 1)
+            end = end if end > at and (end == len(data) and why != "wrong length" or starts(data, end)) else next_start(data, at + 1, seen)
             yield at, None, end - at, why
         else:
             yield at, record, 0, ""
@@ -192,20 +192,31 @@ def starts(data: bytes, at: int) -> bool:
     return bool(START.match(data, at)) or (data.startswith(GZIP, at) and member(data, at)[0] is not None)
 
 
-def next_start(data: bytes, at: int) -> int:
+class Places:
+    """Version lines and gzip marks of an archive, each looked for once: a place found ahead is kept until it's behind."""
+
+    def __init__(self, data: bytes) -> None:
+        self.data, self.line, self.pack = data, -1, -1
+
+    def after(self, at: int) -> tuple[int, int]:
+        """The next version line and the next gzip mark from a place on; the end of the archive for none."""
+        end = len(self.data)
+        if self.line < at:
+            found = START.search(self.data, at)
+            self.line = found.start() if found else end
+        if self.pack < at:
+            found = self.data.find(GZIP, at)
+            self.pack = found if found >= 0 else end
+        return self.line, self.pack
+
+
+def next_start(data: bytes, at: int, seen: Places) -> int:
     """The first place from `at` on where a record can be read whole, or the end."""
-    line, pack = -2, -2
     while True:
-        # each kind of place is looked for again only when the last one found is behind
-        if line != -1 and line < at:
-            found = START.search(data, at)
-            line = found.start() if found else -1
-        if pack != -1 and pack < at:
-            pack = data.find(GZIP, at)
-        places = [p for p in (line, pack) if p >= 0]
-        if not places:
-            return len(data)
-        place = min(places)
+        line, pack = seen.after(at)
+        place = min(line, pack)
+        if place == len(data):
+            return place
         record, _, _ = member(data, place) if place == pack else read_record(data, place)
         if record is not None:
             return place

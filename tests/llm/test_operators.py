@@ -447,7 +447,7 @@ def test_salvage_keeps_to_a_damaged_record():
     """A record within the payload of a damaged one isn't one of the archive's."""
     a, c = record(0, b"a" * 50), record(2, b"c" * 50)
     inner = record(9, b"false")
-    hurt = record(1, b"x" * 50 + inner + b"y" * 50).replace(b"Content-Length", b"WARC-Payload-Digest: sha1:AAAA\r\nContent-Length")
+    hurt = record(1, b"x" * 50 + inner + b"y" * 50).replace(b"Content-Length", b"WARC-Payload-Digest: sha1:AAAA\r\nContent-Length", 1)
     assert kept_and_lost(a + hurt + c) == ([b"a" * 50, b"c" * 50], [(len(a), len(hurt))])
     assert kept_and_lost(a + hurt) == ([b"a" * 50], [(len(a), len(hurt))])
     # with a wrong length nothing tells where it ends
