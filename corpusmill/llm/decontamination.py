@@ -12,7 +12,8 @@
    document, in any order.
 
 The lists of a very common word are as long as the word is common; they're dealt by (term,
-document), never gathered.  Documents are known by (doc_id, hash of text): rows that
+document), never gathered, and met by broadcast tables of the benchmark or under salts.  A text of any length is indexed
+whole.  Documents are known by (doc_id, hash of text): rows that
 agree in both share their result.  Defined results: a null text has no words; a null or empty
 item has no window; an empty table gives an empty result; extra columns are kept out.
 """
@@ -29,12 +30,25 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Benchmark tables up to this many rows (about 100 bytes each) are broadcast, larger ones are joined by shuffles.
 MAX_BROADCAST_ROWS = 200_000
+#: Tasks that a very common word's occurrences are dealt to in such a shuffle.
+SALTS = 64
 
 
 def tokens(text: Column) -> Column:
     return F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), SEPARATORS), lambda w: w != "")
 
 
+def met_by_term(rows: DataFrame, table: DataFrame, how: str = "inner") -> DataFrame:
+    """rows (term, doc, key, ...) joined with a table of the benchmark's terms.
+
+    A table over the bound of a broadcast is repeated for each salt of the documents, so that no task gets all of a word's rows.
+    """
+    if table.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS:
+        return rows.join(F.broadcast(table), "term", how)
+    salted = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("doc", "key"), F.lit(SALTS)).cast("int")).join(salted, ["term", "salt"], how).drop("salt")
+
+
 def item_windows(benchmark: DataFrame, window: int = 10) -> DataFrame:
     """(item_id, at, words): `at` is the window's place in the item."""
     items = benchmark.select("item_id", tokens(F.col("text")).alias("w")).filter(F.size("w") > 0)
@@ -44,7 +58,7 @@ def item_windows(benchmark: DataFrame, window: int = 10) -> DataFrame:
 
 def corpus_frequency(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, n): occurrences in the corpus of each of the given terms."""
-    seen = docs.select(F.explode(tokens(F.col("text"))).alias("term")).join(bounded_broadcast(terms, MAX_BROADCAST_ROWS), "term", "left_semi")
+    seen = met_by_term(docs.select("doc", "key", F.explode(tokens(F.col("text"))).alias("term")), terms, "left_semi")
     counts = seen.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     return terms.join(counts, "term", "left").select("term", F.coalesce("n", F.lit(0)).alias("n"))
 
@@ -66,7 +80,7 @@ def build_index(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """
     rows = docs.select("doc", "key", F.posexplode(tokens(F.col("text"))).alias("place", "term"))
     if terms is not None:
-        rows = rows.join(bounded_broadcast(terms, MAX_BROADCAST_ROWS), "term", "left_semi")
+        rows = met_by_term(rows, terms, "left_semi")
     return rows.groupBy("term", "doc", "key").agg(F.collect_set("place").alias("places"))
 
 
@@ -74,8 +88,8 @@ def alignments(index: DataFrame, probe: DataFrame, rarest: int = 3) -> DataFrame
     """(probe, doc, key, starts): where in a document the item would start so that all anchors match."""
     lists = index.select("term", "doc", "key", "places")
     shifted = lambda places, at: F.transform(places, lambda p: p - at)
-    first = bounded_broadcast(probe.select("probe", "anchors", F.col("anchors")[0]["term"].alias("term")), MAX_BROADCAST_ROWS)
-    found = lists.join(first, "term").select("probe", "anchors", "doc", "key", shifted(F.col("places"), F.col("anchors")[0]["place"]).alias("starts"))
+    first = probe.select("probe", "anchors", F.col("anchors")[0]["term"].alias("term"))
+    found = met_by_term(lists, first).select("probe", "anchors", "doc", "key", shifted(F.col("places"), F.col("anchors")[0]["place"]).alias("starts"))
     for k in range(1, rarest):
         done = found.filter(F.size("anchors") <= k)
         more = found.filter(F.size("anchors") > k).withColumn("term", F.col("anchors")[k]["term"])
@@ -118,7 +132,7 @@ def proximity_matches(docs: DataFrame, benchmark: DataFrame, within: int = 20, w
     probe = stored(probes(windows, frequency, rarest), "near-probes")
     index = stored(build_index(docs, probe.select(F.explode("anchors.term").alias("term")).distinct()), "near-postings")
     lists = index.select("term", "doc", "key", "places")
-    found = lists.withColumnRenamed("places", "near").join(probe.withColumn("term", F.col("anchors")[0]["term"]), "term").drop("term")
+    found = met_by_term(lists.withColumnRenamed("places", "near"), probe.withColumn("term", F.col("anchors")[0]["term"])).drop("term")
     for k in range(1, rarest):
         done, more = found.filter(F.size("anchors") <= k), found.filter(F.size("anchors") > k).withColumn("term", F.col("anchors")[k]["term"])
         close = F.filter("near", lambda p: F.exists("places", lambda q: F.abs(p - q) < within))

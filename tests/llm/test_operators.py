@@ -76,6 +76,17 @@ def test_decontamination(spark, docs, none):
     assert {r["doc_id"] for r in near.collect()} == {10}
 
 
+def test_decontamination_with_a_large_benchmark(spark, monkeypatch):
+    """A benchmark over the bound of broadcasts takes salted joins, with the same result."""
+    docs, bench = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
+    rows = lambda df: sorted(map(str, df.select("doc_id", "n_words", "n_hit", "item_ids").collect()))
+    small = rows(decontamination.decontaminate(docs, bench))
+    near = sorted(map(str, decontamination.proximity_matches(docs, bench).collect()))
+    monkeypatch.setattr(decontamination, "MAX_BROADCAST_ROWS", 3)
+    assert rows(decontamination.decontaminate(docs, bench)) == small
+    assert sorted(map(str, decontamination.proximity_matches(docs, bench).collect())) == near
+
+
 # 3
 
 
@@ -673,6 +684,42 @@ def test_pipeline(spark):
     assert sharded.count() > 0 and {"doc_id", "shard", "slot"} <= set(sharded.columns)
 
 
+def test_near_duplicates_stage(spark, docs):
+    """By brute force: of linked texts, and of copies, the smallest doc_id stays."""
+    import corpus_pipeline
+
+    grams = {}
+    for _, t, *_ in ROWS:
+        w = split_words(t)
+        grams[t] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set())
+    group = {t: t for t in grams}
+    for a in grams:
+        for b in grams:
+            if a != b and grams[a] and grams[b] and len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b]):
+                old, new = group[a], group[b]
+                group = {t: new if g == old else g for t, g in group.items()}
+    kept = set()
+    first = {}
+    for i, t, *_ in ROWS:
+        if t is None:
+            kept.add((str(i), t))
+        elif group[t] not in first or (first[group[t]][0] is None, first[group[t]][0] or 0) > (i is None, i or 0):
+            first[group[t]] = (i, t)
+    kept |= {(str(i), t) for i, t in first.values()}
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()) == sorted((i, str(t)) for i, t in kept)
+
+
+def test_sharded_stage(spark, docs):
+    import corpus_pipeline
+
+    got = corpus_pipeline.sharded(spark, docs, SF).collect()
+    slots = collections.defaultdict(list)
+    for r in got:
+        slots[r["shard"]].append(r["slot"])
+    assert sorted((str(r["doc_id"]), r["size"]) for r in got) == sorted((str(i), len((t or "").encode()) + 8) for i, t, *_ in ROWS)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and set(slots) <= set(range(24))
+
+
 def test_pipeline_odd_rows(spark, docs, none):
     import corpus_pipeline
 
