@@ -2,6 +2,9 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each result as Parquet into
 the shared folder and reads it back as the next one's docs.
+
+Defined results: extra columns of docs pass through all stages but the last, whatever their names; an empty table stays empty; texts
+of any length count whole; rows that repeat are rows of their own, but for the near duplicates, where one of a class stays.
 """
 
 from __future__ import annotations
@@ -14,17 +17,20 @@ from corpusmill.llm.common import fresh, stored
 
 
 def language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID: documents whose language can't be told go."""
+    """Language ID: documents whose language can't be told go: null and empty texts and those without a letter among them."""
     return language_id.identify(docs).filter("language_kept").select(*docs.columns)
 
 
 def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """N-gram Jaccard join: one document of each class stays, that of the smallest doc_id."""
+    """N-gram Jaccard join: one document of each class stays, that of the smallest doc_id, null last, and of these of the first text hash.
+
+    Null texts are a class each; rows that agree in doc_id and text are one document.
+    """
     return ngram_join.first_of_each_class(docs)
 
 
 def decontaminated(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Benchmark decontamination: documents that hold a passage of a benchmark item go."""
+    """Benchmark decontamination: documents that hold a passage of a benchmark item go; null and empty texts hold none and stay."""
     doc, key = fresh(docs, "doc", "key")
     hit = decontamination.phrase_matches(decontamination.keyed_documents(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     rows = docs.withColumns({doc: F.coalesce(F.col("doc_id").cast("string"), F.lit("")), key: F.coalesce(F.xxhash64("text"), F.lit(0))})
@@ -34,7 +40,8 @@ def decontaminated(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixed(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixing to target weights: a document is repeated in whole copies, which hold the words the mix takes of each source; 0 times is gone.
 
-    Rows that agree in doc_id, source and size share their copies as evenly as whole ones allow.
+    Rows that agree in doc_id, source and size share their copies as evenly as whole ones allow; a null source is one more source;
+    texts without words, null ones among them, are taken 0 times.
     """
     doc, host, size, rows_alike, times, nth, copy = fresh(docs, "doc", "host", "size", "rows", "times", "nth", "copy")
     text = lambda c: F.coalesce(F.concat(F.lit("+"), F.col(c).cast("string")), F.lit("-"))
@@ -50,7 +57,7 @@ def mixed(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharded(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sharding: each row's shard and its slot there."""
+    """Sharding: each row's shard and its slot there, null texts and repeated rows included; columns as sharding gives them."""
     return sharding.shard_by_bytes(docs)
 
 
