@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import ports
 from ..functions import text as tx
 from ..operators import retrieval as r
-from .retrieval_queries import _RRF, KNN, _chunks, _queries, _vector_queries, _vectors, bm25_sql
+from .retrieval_queries import KNN, _chunks, _queries, _vector_queries, _vectors, bm25_sql
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -102,14 +102,6 @@ def ret_rerank(spark, d):
     return ports.rerank(hits, "query", "content", ports.OverlapRerank()).select("query_id", "chunk_id", "score", "rank")
 
 
-@query("WITH " + ", ".join([bm25_sql(k=20, name="a"), bm25_sql("substr(text, 1, 60)", k=20, name="b"), bm25_sql(where="source = 'src0'", k=20, name="c"), bm25_sql(where="lang = 'en'", k=20, name="e")]) + _RRF.format(union="SELECT *, 0 AS set_idx, 0.42::DOUBLE AS w FROM a UNION ALL SELECT *, 1, 0.18::DOUBLE FROM b UNION ALL SELECT *, 2, 0.28::DOUBLE FROM c UNION ALL SELECT *, 3, 0.12::DOUBLE FROM e"))
-def ret_all_hybrid(spark, d):
-    """Four ranked sets in one fusion."""
-    c, q = _chunks(spark, d), _queries(spark, d)
-    sets = [(r.bm25(c, q, 20), 0.42), (r.bm25(c.withColumn("content", F.substring("content", 1, 60)), q, 20), 0.18), (r.bm25(c, q, 20, keep=F.col("source") == "src0"), 0.28), (r.bm25(c, q, 20, keep=F.col("lang") == "en"), 0.12)]
-    return r.rrf(sets)
-
-
 @query("""WITH s AS (SELECT source AS session, 0 AS kind, doc_id AS seq FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT source, 1, doc_id FROM documents WHERE doc_id % 5 = 1)
 SELECT session, kind, seq, row_number() OVER (PARTITION BY session ORDER BY kind, seq) AS position FROM s""")
 def ret_web_and_kb(spark, d):
