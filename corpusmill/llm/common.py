@@ -2,72 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import drop_stored, new_path, shared_dir, stored  # noqa: F401
+
 #: ASCII white space; everything else belongs to a word.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-#: Folders that this session wrote: (session, path).
-_written: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset and all runs on one machine, one set here."""
-    sc = spark.sparkContext
-    if spark.conf.get("spark.checkpoint.dir", "") or sc.getConf().get("spark.checkpoint.dir"):
-        return spark.conf.get("spark.checkpoint.dir", "") or sc.getConf().get("spark.checkpoint.dir")
-    if sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="corpusmill-"))
-    return sc.getCheckpointDir()
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing has been written to; drop_stored removes what is written there."""
-    path = f"{shared_dir(spark).rstrip('/')}/corpusmill-{name}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
-    return path
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back, so that later stages restart from the files.
-
-    An empty frame comes back with its schema.  The files stay until drop_stored, or the end of the driver's process.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_stored(spark: SparkSession | None = None) -> None:
-    """Removes the intermediate tables of a session, or of all; results that still read them must have been written before."""
-    for held in [w for w in _written if spark is None or w[0] is spark]:
-        _written.remove(held)
-        jvm = held[0].sparkContext._jvm
-        if jvm is not None and held[0].sparkContext._jsc is not None:
-            path = jvm.org.apache.hadoop.fs.Path(held[1])
-            path.getFileSystem(held[0].sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def _at_exit() -> None:
-    # the session may have been stopped before, and its connection with it
-    with contextlib.suppress(Exception):
-        drop_stored()
-
-
-atexit.register(_at_exit)
-
-
 def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     """df with a broadcast hint if it has at most max_rows rows, else df as it is, to be joined by a shuffle.
 
