@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import splitters as sp
 from ..sources import readers, sinks
+from ..sources.shared import new_path
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -97,7 +97,7 @@ def src_html_tables(spark, d):
 @query("SELECT count(*) AS n_rows, max(c_custkey) AS last_row FROM customer WHERE c_name <> ''")
 def src_row_count(spark, d):
     """Rows that aren't blank, and the last of them."""
-    return t(spark, d, "customer").filter("c_name <> ''").agg(F.count(F.lit(1)).alias("n_rows"), F.max("c_custkey").alias("last_row"))
+    return readers.row_extent(t(spark, d, "customer"), "c_custkey", ["c_name"])
 
 
 @query("SELECT event_id, event_id % 5 > 0 AS jsonl FROM events")
@@ -117,9 +117,11 @@ def src_search_hits(spark, d):
     return readers.search_hits(x.select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 2 == 0, one).otherwise(two).alias("raw")))
 
 
-@query("SELECT doc_id FROM documents WHERE regexp_matches(text, 'License[d]?')")
+@query("""WITH l AS (SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents), h AS (SELECT *, regexp_matches(line, 'License[d]?') AS hit FROM l)
+SELECT doc_id::VARCHAR AS file, line_no, line, hit FROM (SELECT *, bool_or(hit) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS near FROM h) WHERE near""")
 def src_grep(spark, d):
-    return t(spark, d, "documents").filter(F.col("text").rlike("License[d]?")).select("doc_id")
+    """Lines that match, each with its neighbours."""
+    return readers.matching_lines(t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("file"), "text"), "License[d]?", 1)
 
 
 @query("SELECT source AS chunk_id, arg_max(doc_id, n_chars * 1000000 + doc_id) AS doc_id, max(n_chars * 1000000 + doc_id) AS version FROM documents GROUP BY source")
@@ -128,11 +130,17 @@ def snk_newest(spark, d):
     return sinks.newest(t(spark, d, "documents").select(F.col("source").alias("chunk_id"), "doc_id", (F.col("n_chars") * 1000000 + F.col("doc_id")).alias("version")))
 
 
-@query("SELECT o_orderkey FROM orders WHERE o_custkey <> 7")
+@query("SELECT doc_id AS document_id, chunk_id, n_chars FROM (SELECT doc_id, doc_id || '_0' AS chunk_id, n_chars FROM documents UNION ALL SELECT doc_id, doc_id || '_1', -n_chars FROM documents) WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
 def snk_delete(spark, d):
-    """What a delete by key leaves."""
-    gone = t(spark, d, "customer").filter("c_custkey = 7").select(F.col("c_custkey").alias("o_custkey"))
-    return t(spark, d, "orders").join(gone, "o_custkey", "left_anti").select("o_orderkey")
+    """What a delete of the toxic documents leaves of a chunk table that was written twice."""
+    x = t(spark, d, "documents")
+    base = x.select(F.col("doc_id").alias("document_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("i"), "n_chars", F.lit(1).alias("space_id"), F.regexp_extract("source", r"(\d+)", 1).cast("int").alias("kb_id"))
+    chunks = base.select(F.concat_ws("_", "document_id", "i").alias("chunk_id"), "document_id", F.when(F.col("i") == 0, F.col("n_chars")).otherwise(-F.col("n_chars")).alias("n_chars"), F.lit(1).alias("version"), "space_id", "kb_id")
+    path = new_path(spark, "chunks")
+    for _ in range(2):
+        sinks.upsert(spark, chunks, path)
+    sinks.delete(spark, t(spark, d, "labels").filter("toxic = 1").select(F.col("doc_id").alias("document_id")), path)
+    return spark.read.parquet(path).select("document_id", "chunk_id", "n_chars")
 
 
 @query("SELECT doc_id, md5(lang || '|' || source || '|' || n_chars) AS key FROM documents")
@@ -141,10 +149,8 @@ def snk_cache_key(spark, d):
     return t(spark, d, "documents").select("doc_id", F.md5(F.concat_ws("|", "lang", "source", F.col("n_chars").cast("string"))).alias("key"))
 
 
-@query("SELECT l_orderkey AS doc_id, l_linenumber AS chunk_index, l_partkey AS part, count(*) OVER (PARTITION BY l_orderkey) AS total FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) AS rn FROM lineitem) QUALIFY rn BETWEEN 2 AND 3")
+@query("SELECT l_orderkey AS document_id, l_linenumber AS chunk_index, l_partkey AS chunk_id, total FROM (SELECT *, count(*) OVER (PARTITION BY l_orderkey) AS total, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS rn FROM lineitem) WHERE rn BETWEEN 2 AND 3")
 def snk_chunk_pages(spark, d):
     """The second page (of two rows, after the first) of each document's chunks, with the total."""
-    w = Window.partitionBy("l_orderkey")
-    rn = F.row_number().over(w.orderBy("l_linenumber", "l_partkey", "l_quantity"))
-    x = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("chunk_index"), F.col("l_partkey").alias("part"), rn.alias("rn"), F.count(F.lit(1)).over(w).alias("total"))
-    return x.filter("rn between 2 and 3").drop("rn")
+    x = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").alias("chunk_index"), F.col("l_partkey").alias("chunk_id"))
+    return sinks.chunk_pages(x, 1, 2)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import ports
 from ..functions import text as tx
+from ..operators import resume
 from ..operators import retrieval as r
 from .retrieval_queries import KNN, _chunks, _queries, _vector_queries, _vectors, bm25_sql
 
@@ -187,10 +188,7 @@ def rsm_highest(spark, d):
     return t(spark, d, "lineitem").join(F.broadcast(ranks), "l_returnflag").groupBy(F.col("l_orderkey").alias("person")).agg(F.max_by("l_returnflag", "rank").alias("highest"))
 
 
-@query("""WITH s AS (SELECT unnest(['the', 'license', 'ing']) AS skill) SELECT doc_id, count(*) AS matched, round(least(100.0::DOUBLE * count(*) / 3, 100) + 1e-9, 1) AS percent FROM documents JOIN s ON contains(lower(left(text, 200)), skill) GROUP BY doc_id""")
+@query("""WITH s AS (SELECT unnest(['the', 'license', 'ing']) AS skill) SELECT doc_id, count(*) AS matched, round(least(100.0::DOUBLE * count(*) / 3, 100) + 1e-9, 1) AS percent FROM documents JOIN s ON contains(lower(text), skill) OR contains(skill, lower(text)) GROUP BY doc_id""")
 def rsm_skill_match(spark, d):
-    """Skills of a short list that a text names, and their share."""
-    skills = spark.createDataFrame([("the",), ("license",), ("ing",)], "skill string")
-    x = t(spark, d, "documents").select("doc_id", F.lower(F.left("text", F.lit(200))).alias("head"))
-    hit = x.join(F.broadcast(skills), F.contains(F.col("head"), F.col("skill")))
-    return hit.groupBy("doc_id").agg(F.count(F.lit(1)).alias("matched")).withColumn("percent", F.round(F.least(100.0 * F.col("matched") / 3, F.lit(100.0)) + 1e-9, 1))
+    """Skills of a short list that a text names, or that name it, and their share."""
+    return resume.skill_match(t(spark, d, "documents"), "doc_id", "text", ["the", "license", "ing"])

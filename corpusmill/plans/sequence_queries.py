@@ -168,12 +168,12 @@ def wn_since_summary(spark, d):
     return c.select("conv_id", "turn", cut.alias("cut")).filter("cut is null or turn > cut").drop("cut")
 
 
-@query("""SELECT conv_id, string_agg(substr(text, 1, 50), chr(10) ORDER BY turn) AS summary, max(turn) AS boundary FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations) WHERE rn > 2 GROUP BY conv_id""")
+@query("""SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS summary, max(turn) AS boundary FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations) WHERE rn > 2 GROUP BY conv_id""")
 def wn_incremental_summary(spark, d):
     """All but the last two messages joined into a summary, and where it ends."""
     rn = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))
     old = t(spark, d, "conversations").withColumn("rn", rn).filter("rn > 2")
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("turn", F.substring("text", 1, 50).alias("x")))), lambda s: s["x"])
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("turn", F.col("text").alias("x")))), lambda s: s["x"])
     return old.groupBy("conv_id").agg(F.array_join(lines, "\n").alias("summary"), F.max("turn").alias("boundary"))
 
 

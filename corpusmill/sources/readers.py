@@ -7,9 +7,11 @@ function over batches of file contents.
 from __future__ import annotations
 
 import io
+import posixpath
 import zipfile
 from collections.abc import Callable
 from html.parser import HTMLParser
+from urllib.parse import unquote
 from xml.etree import ElementTree
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -18,11 +20,13 @@ from pyspark.sql import types as T
 
 #: Encodings in the order in which they are tried.
 ENCODINGS = ("utf-8", "gbk", "gb2312", "latin-1")
+#: The same for parsers of single formats.
+PROBED = ("utf-8", "utf-8-sig", "gb18030", "gbk", "latin-1")
 WORD_NS = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
-def decode(content: bytes) -> str:
-    for encoding in ENCODINGS:
+def decode(content: bytes, encodings: tuple[str, ...] = ENCODINGS) -> str:
+    for encoding in encodings:
         try:
             return content.decode(encoding)
         except UnicodeDecodeError:
@@ -58,6 +62,33 @@ def docx_text(content: bytes) -> str:
     return "\n".join(x for x in rows if x.strip())
 
 
+def docx_table_lines(content: bytes) -> str:
+    """Rows of tables as "header: cell" lines, by the first row of each table; blank cells go."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        body = ElementTree.fromstring(z.read("word/document.xml"))
+    text = lambda e: "".join(t.text or "" for t in e.iter(f"{WORD_NS}t")).strip()
+    out = []
+    for table in body.iter(f"{WORD_NS}tbl"):
+        rows = [[text(c) for c in row.iter(f"{WORD_NS}tc")] for row in table.iter(f"{WORD_NS}tr")]
+        for row in rows[1:]:
+            cells = [f"{head}: {cell}" if head else cell for head, cell in zip(rows[0] + [""] * len(row), row) if cell]
+            out.append(";".join(cells))
+    return "\n".join(x for x in out if x)
+
+
+def epub_text(content: bytes) -> str:
+    """The texts of a book's chapters in the order of its spine."""
+    local = lambda e, name: [x for x in e.iter() if x.tag.rpartition("}")[2] == name]
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        package = local(ElementTree.fromstring(z.read("META-INF/container.xml")), "rootfile")[0].get("full-path")
+        book = ElementTree.fromstring(z.read(package))
+        files = {i.get("id"): i.get("href") for i in local(book, "item")}
+        spine = [files.get(r.get("idref")) for r in local(book, "itemref")]
+        names = set(z.namelist())
+        paths = [posixpath.normpath(posixpath.join(posixpath.dirname(package), unquote(x))) for x in spine if x]
+        return "\n\n".join(x for x in (html_text(z.read(p)) for p in paths if p in names) if x)
+
+
 #: Extension to (type, parser); register() adds to it.
 READERS: dict[str, tuple[str, Callable[[bytes], str]]] = {
     "txt": ("text", decode),
@@ -68,6 +99,7 @@ READERS: dict[str, tuple[str, Callable[[bytes], str]]] = {
     "html": ("html", html_text),
     "htm": ("html", html_text),
     "docx": ("docx", docx_text),
+    "epub": ("epub", epub_text),
 }
 
 
@@ -155,6 +187,25 @@ def search_hits(raw: DataFrame) -> DataFrame:
     return raw.select("id", field("title").alias("title"), field("url", "link").alias("url"), field("content", "snippet", "body").alias("content"), F.coalesce(F.get_json_object("raw", "$.score").cast("double"), F.lit(0.0)).alias("score"))
 
 
-def grep(spark: SparkSession, path: str, pattern: str, most: int = 100) -> DataFrame:
-    """Lines of files that match, at most so many."""
-    return spark.read.text(path).select(F.input_file_name().alias("file"), F.col("value").alias("line")).filter(F.col("line").rlike(pattern)).limit(most)
+def matching_lines(files: DataFrame, pattern: str, context: int = 0) -> DataFrame:
+    """(file, line_no, line, hit) of files (file, text): the lines that match, and those up to `context` lines from one."""
+    at = F.posexplode(F.split("text", "\n")).alias("pos", "line")
+    line = files.select("file", at).withColumn("hit", F.coalesce(F.col("line").rlike(pattern), F.lit(False)))
+    if context:
+        near = Window.partitionBy("file").orderBy("pos").rowsBetween(-context, context)
+        line = line.withColumn("_near", F.max("hit").over(near)).filter("_near").drop("_near")
+    else:
+        line = line.filter("hit")
+    return line.select("file", (F.col("pos") + 1).alias("line_no"), "line", "hit")
+
+
+def grep(spark: SparkSession, path: str, pattern: str, most: int = 100, glob: str = "*", context: int = 0) -> DataFrame:
+    """Lines of files below a path whose names match the glob, at most so many."""
+    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path)
+    return matching_lines(files.select(F.input_file_name().alias("file"), F.col("value").alias("text")), pattern, context).limit(most)
+
+
+def row_extent(df: DataFrame, order: str, columns: list[str]) -> DataFrame:
+    """n_rows that aren't blank in all the columns, and last_row, the place of the last of them."""
+    given = F.array_join(F.array(*[F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in columns]), "") != ""
+    return df.filter(given).agg(F.count(F.lit(1)).alias("n_rows"), F.max(order).alias("last_row"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
+
+from .shared import stored
 
 PARTITIONS = ("space_id", "kb_id")
 
@@ -15,18 +16,33 @@ def newest(chunks: DataFrame, order: str = "version") -> DataFrame:
     return chunks.groupBy("chunk_id").agg(F.max_by(F.struct(*rest), order).alias("_r")).select("chunk_id", "_r.*").select(*chunks.columns)
 
 
+def _file_system(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
 def exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.parquet(path).schema  # noqa: B018
-    except AnalysisException:
-        return False
-    return True
+    """Whether there is a table: a folder with something in it.  One that can't be read is there all the same, and reading it fails."""
+    fs, p = _file_system(spark, path)
+    return fs.exists(p) and len(fs.listStatus(p)) > 0
+
+
+def ensure(spark: SparkSession, path: str, schema: str) -> None:
+    """An empty table of that schema, unless there is one."""
+    if not exists(spark, path):
+        spark.createDataFrame([], schema).write.mode("append").partitionBy(*PARTITIONS).parquet(path)
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """No table; nothing happens if there is none."""
+    fs, p = _file_system(spark, path)
+    if fs.exists(p):
+        fs.delete(p, True)
 
 
 def _replace(spark: SparkSession, after: DataFrame, path: str) -> None:
-    # the new partitions are settled in the shared folder before the old ones are replaced
-    settled = after.checkpoint()
-    settled.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).parquet(path)
+    # the new partitions are settled in the shared folder before the old ones are replaced: a broken replacement can be repeated
+    stored(after, "sink").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).parquet(path)
 
 
 def upsert(spark: SparkSession, chunks: DataFrame, path: str) -> None:
@@ -44,16 +60,26 @@ def delete(spark: SparkSession, gone: DataFrame, path: str, key: str = "document
     left = old.join(hit, list(PARTITIONS), "left_semi").join(gone.select(key).distinct(), key, "left_anti").select(*old.columns)
     emptied = hit.join(left.select(*PARTITIONS).distinct(), list(PARTITIONS), "left_anti").collect()
     _replace(spark, left, path)
-    hadoop = spark._jvm.org.apache.hadoop.fs
     for r in emptied:
-        p = hadoop.Path("/".join([path, *[f"{c}={r[c]}" for c in PARTITIONS]]))
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        drop(spark, "/".join([path, *[f"{c}={r[c]}" for c in PARTITIONS]]))
+
+
+def chunk_pages(chunks: DataFrame, offset: int, limit: int, order: tuple[str, ...] = ("chunk_index", "chunk_id")) -> DataFrame:
+    """One page of each document's chunks in order, with `total`, how many there are."""
+    document = Window.partitionBy("document_id")
+    paged = chunks.withColumns({"_rn": F.row_number().over(document.orderBy(*order)), "total": F.count(F.lit(1)).over(document)})
+    return paged.filter(F.col("_rn").between(offset + 1, offset + limit)).drop("_rn")
+
+
+def chunk_page(spark: SparkSession, path: str, document_id: int, offset: int, limit: int) -> DataFrame:
+    """A page of one document's chunks in a table."""
+    return chunk_pages(spark.read.parquet(path).filter(F.col("document_id") == document_id), offset, limit)
 
 
-def chunk_page(spark: SparkSession, path: str, document_id: int, offset: int, limit: int) -> tuple[DataFrame, int]:
-    """A document's chunks in order, one page of them, and how many there are."""
-    rows = spark.read.parquet(path).filter(F.col("document_id") == document_id)
-    return rows.orderBy("chunk_index", "chunk_id").offset(offset).limit(limit), rows.count()
+def save_full_texts(texts: DataFrame, path: str) -> DataFrame:
+    """Parsed texts (doc_id, text) as a table, read back: what splits them later needn't parse again."""
+    texts.select("doc_id", "text").write.mode("overwrite").parquet(path)
+    return texts.sparkSession.read.parquet(path)
 
 
 def export_results(details: DataFrame, path: str, kind: str = "csv") -> None:
