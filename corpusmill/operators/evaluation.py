@@ -28,6 +28,15 @@ def similarity_score(cos: Column) -> Column:
     return F.least(F.greatest(F.bround(cos * 10).cast("int"), F.lit(1)), F.lit(10))
 
 
+def correctness(judge: Column, similarity: Column, strategy: str = "hybrid") -> Column:
+    """A score of ten: the judge's, that of the similarity, or 0.7 and 0.3 of them, halves to the even number; null without the judge's."""
+    if strategy == "embedding":
+        return similarity
+    if strategy == "hybrid":
+        return F.when(judge.isNotNull() & similarity.isNotNull(), F.least(F.greatest(F.bround(judge * 0.7 + similarity * 0.3).cast("int"), F.lit(1)), F.lit(10)))
+    return judge
+
+
 def faithfulness(claims: DataFrame) -> DataFrame:
     """score of (case_id, supported): of ten, 1 at least; a case without claims scores 1."""
     total = F.count("supported")

@@ -95,3 +95,44 @@ def ordered_dedupe(hits: DataFrame, session: str, order: str, keys: list[str], m
     step = lambda acc, x: F.when(F.arrays_overlap(acc["seen"], x["k"]), acc).otherwise(F.struct(F.concat(acc["seen"], x["k"]).alias("seen"), F.concat(acc["kept"], F.array(x["o"])).alias("kept")))
     kept = rows.groupBy(session).agg(F.aggregate(seq, zero, step, lambda acc: acc["kept"]).alias("kept")).select(session, F.explode("kept").alias(order))
     return hits.join(kept, [session, order])
+
+
+def tail_cut(messages: DataFrame, key: str, order: str, budget: int, least: int = 3) -> DataFrame:
+    """(key, cut, n) of messages (key, order, role, cost, calls_tools): the position from which on messages are protected.
+
+    From the end, messages are taken while their cost stays within one and a half budgets; the last `least` (all but one, if there are
+    fewer) are taken anyway, and so is the last user message.  Results of tools aren't parted from the call before them.
+    The first message is never in the tail, unless it's the only one.
+    """
+    each = Window.partitionBy(key)
+    x = messages.withColumns({"_pos": F.row_number().over(each.orderBy(order)) - 1, "_n": F.count(F.lit(1)).over(each)})
+    x = x.withColumn("_sum", F.sum("cost").over(each.orderBy(F.desc("_pos")).rowsBetween(Window.unboundedPreceding, 0)))
+    fewest = F.least(F.lit(least), F.col("_n") - 1)
+    over = (F.col("_sum") > int(budget * 1.5)) & (F.col("_n") - F.col("_pos") >= fewest) & (F.col("_pos") >= 1)
+    user = F.max(F.when((F.col("role") == "user") & (F.col("_pos") >= 1), F.col("_pos"))).over(each)
+    start = F.when(F.col("_n") == 1, F.lit(1)).otherwise(F.coalesce(F.max(F.when(over, F.col("_pos") + 1)).over(each), F.lit(1)))
+    x = x.withColumns({"_user": user, "_cut": F.least(start, F.col("_n") - fewest)})
+    x = x.withColumn("_cut", F.when(F.col("_user") < F.col("_cut"), F.col("_user")).otherwise(F.col("_cut")))
+    # the last message before the cut that isn't a tool's result, and whether it is the call
+    head = (F.col("_pos") >= 1) & (F.col("_pos") < F.col("_cut")) & (F.col("role") != "tool")
+    ends = x.groupBy(key).agg(F.max("_cut").alias("cut"), F.max("_n").alias("n"), F.max(F.when(head, F.struct("_pos", "calls_tools"))).alias("h"))
+    inner = F.coalesce(F.col("h._pos") + 1 - F.when(F.col("h.calls_tools"), 1).otherwise(0), F.lit(1))
+    aligned = F.when((F.col("cut") > 1) & (F.col("cut") < F.col("n")), F.greatest(F.least(inner, F.col("cut")), F.lit(1))).otherwise(F.col("cut"))
+    return ends.select(key, aligned.cast("int").alias("cut"), "n")
+
+
+def without_like_frames(frames: DataFrame, key: str, order: str, similarity: float) -> DataFrame:
+    """(key, order, new_idx) of frames (key, order, hist): those whose histogram differs from the last one kept; a null histogram is kept and compares with none.
+
+    A video's histograms are gathered in one array, sorted, and folded there.
+    """
+    h = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("hist").alias("h"))))
+    fields = dict(frames.dtypes)
+    start = F.struct(F.array().cast(f"array<{fields[order]}>").alias("kept"), F.lit(None).cast(fields["hist"]).alias("last"))
+
+    def step(acc, x):
+        alike = x["h"].isNotNull() & acc["last"].isNotNull() & (chi_square(acc["last"], x["h"]) <= F.lit(1.0 - similarity))
+        return F.struct(F.when(alike, acc["kept"]).otherwise(F.concat(acc["kept"], F.array(x["o"]))).alias("kept"), F.when(alike, acc["last"]).otherwise(F.coalesce(x["h"], acc["last"])).alias("last"))
+
+    kept = frames.groupBy(key).agg(F.aggregate(h, start, step, lambda acc: acc["kept"]).alias("kept"))
+    return kept.select(key, F.posexplode("kept").alias("new_idx", order))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from html.parser import HTMLParser
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,11 @@ from pyspark.sql import types as T
 #: Separators from coarse to fine.
 SEPARATORS = ["\n\n", "。", "！", "？", ".", "!", "?", ",", "\n", " ", ""]
 SENTENCE_END = re.compile(r"(?<=[。！？.!?])")
+#: Block elements of HTML and the marks of its headings.
+HTML_BLOCKS = frozenset("h1 h2 h3 h4 h5 h6 p div article section aside ul ol li table pre code blockquote figure figcaption".split())
+HTML_TITLES = {f"h{i}": "#" * i for i in range(1, 7)}
+#: A character of a script without blanks between words, a word of others, or blanks.
+ATOM = re.compile("[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uac00-\ud7af]|[^\\s\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uac00-\ud7af]+|\\s+")
 HEADER = re.compile(r"^(#{1,6})\s+(.+)")
 
 
@@ -128,11 +134,96 @@ def token_budget(text: str, budget: int = 128, delimiters: str = "\n!?;。；！
     return [c for c in out if c.strip()]
 
 
+class _Blocks(HTMLParser):
+    """Text of a page by block elements, headings marked as in Markdown; tables apart, as they are."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.blocks: list[str] = []
+        self.tables: list[str] = []
+        self.parts: list[str] = []
+        self.hidden = self.inside = 0
+
+    def flush(self) -> None:
+        # a heading's mark alone is nothing
+        if any(x.strip("# ") for x in self.parts):
+            self.blocks.append(" ".join(self.parts))
+        self.parts = []
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        self.hidden += tag in ("script", "style")
+        if tag == "table":
+            if not self.inside:
+                self.tables.append("")
+            self.inside += 1
+        if self.inside:
+            self.tables[-1] += self.get_starttag_text() or ""
+        elif tag in HTML_BLOCKS:
+            self.flush()
+            if tag in HTML_TITLES:
+                self.parts.append(HTML_TITLES[tag])
+
+    def handle_endtag(self, tag: str) -> None:
+        self.hidden -= tag in ("script", "style") and self.hidden > 0
+        if self.inside:
+            self.tables[-1] += f"</{tag}>"
+            self.inside -= tag == "table"
+        elif tag in HTML_BLOCKS:
+            self.flush()
+
+    def handle_data(self, data: str) -> None:
+        if self.inside:
+            self.tables[-1] += data
+        elif not self.hidden and data.strip():
+            self.parts.append(data.strip())
+
+
+def count_tokens(text: str) -> int:
+    return len(re.findall(r"[A-Za-z0-9_]+|[一-鿿]+", text))
+
+
+def cut_block(text: str, budget: int) -> list[str]:
+    """Pieces of a long block, cut between words, and between characters of scripts without blanks; a longer word by length."""
+    out, used = [""], 0
+    for atom in ATOM.findall(text):
+        n = 0 if atom.isspace() else max(count_tokens(atom), 1)
+        if out[-1] and used + n > budget:
+            out.append("")
+            used = 0
+        out[-1] += atom
+        used += n
+    return [x for x in out if x]
+
+
+def html_chunks(text: str, budget: int = 512) -> list[str]:
+    """Blocks of a page joined by lines up to a budget of tokens, then its tables, one each."""
+    page = _Blocks()
+    page.feed(text)
+    page.close()
+    page.flush()
+    out, used = [""], 0
+    for block in page.blocks:
+        n = count_tokens(block)
+        if n > budget:
+            out += [*cut_block(block, budget), ""]
+            used = 0
+        elif not out[-1] or used + n <= budget:
+            out[-1] += f"\n{block}" if out[-1] else block
+            used += n
+        else:
+            out.append(block)
+            used = n
+    return [x for x in [*out, *page.tables] if x]
+
+
 def json_chunks(text: str, size: int = 2000) -> list[str]:
     """A JSON object's top-level members packed into objects of about `size` characters; a list counts as an object by index."""
     import json
 
-    value = json.loads(text)
+    try:
+        value = json.loads(text)
+    except ValueError:
+        return [text] if text.strip() else []
     value = dict(enumerate(value)) if isinstance(value, list) else value
     if not isinstance(value, dict):
         return [text]
@@ -165,8 +256,14 @@ STRATEGIES: dict[str, Callable[[Column], Column]] = {
     "markdown": batched(markdown, size=1000, least=50),
     "lines": batched(line_aware, size=500, overlap=0),
     "tokens": batched(token_budget, budget=128),
+    "html": batched(html_chunks, budget=512),
+    "json": batched(json_chunks, size=2000),
+    # media texts: larger pieces, and small ones aren't merged
+    "media": batched(recursive, size=2000),
 }
+#: The strategy for a kind of file; others take the default.
 BY_EXTENSION = {"md": "markdown", "markdown": "markdown", "pdf": "recursive"}
+DEFAULT = "recursive"
 
 
 def split_documents(docs: DataFrame, strategy: str = "recursive", text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -175,6 +272,17 @@ def split_documents(docs: DataFrame, strategy: str = "recursive", text: str = "t
     return chunks.withColumn("chunk_id", F.concat_ws("_", F.col(key).cast("string"), F.col("chunk_index").cast("string")))
 
 
+def split_files(pages: DataFrame, default: str = DEFAULT) -> DataFrame:
+    """(doc_id, chunk_index, chunk_id, content) of pages (doc_id, source, text), each by the strategy of its file's extension."""
+    extension = F.lower(F.element_at(F.split("source", r"\."), -1))
+    strategy = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in BY_EXTENSION.items() for x in kv]), extension), F.lit(default))
+    out = None
+    for name in sorted({*BY_EXTENSION.values(), default}):
+        part = split_documents(pages.filter(strategy == name), name)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def header_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, section, level, title) of ATX headers: a running count of headers numbers sections."""
     from pyspark.sql import Window

@@ -55,8 +55,10 @@ def clamped(counter: Column, change: Column) -> Column:
 def fuzzy_price(models: DataFrame, prices: DataFrame) -> DataFrame:
     """The price of each model: equal names first, then either name a prefix of the other, first in the list.
 
-    prices (price_model, price_order, ...) is a short list and is broadcast.
+    prices (price_model, price_order, ...) is a price list: it is broadcast, and refused if it has over 10 000 rows.
     """
+    if prices.limit(10_001).count() > 10_000:
+        raise ValueError("a price list has at most 10 000 models")
     near = (F.col("model") == F.col("price_model")) | F.col("model").startswith(F.col("price_model")) | F.col("price_model").startswith(F.col("model"))
     order = Window.partitionBy("model").orderBy((F.col("model") != F.col("price_model")).cast("int"), "price_order")
     return models.join(F.broadcast(prices), near, "left").withColumn("_rn", F.row_number().over(order)).filter("_rn = 1").drop("_rn")

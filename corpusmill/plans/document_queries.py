@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import layout as ly
 from ..operators import splitters as sp
 from ..sources import readers, sinks
 from ..sources.shared import new_path
@@ -154,3 +155,113 @@ def snk_chunk_pages(spark, d):
     """The second page (of two rows, after the first) of each document's chunks, with the total."""
     x = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").alias("chunk_index"), F.col("l_partkey").alias("chunk_id"))
     return sinks.chunk_pages(x, 1, 2)
+
+
+@query()
+def spl_html(spark, d):
+    """Pages as chunks of blocks, then tables."""
+    return sp.split_documents(t(spark, d, "pages"), "html", "html", "page_id")
+
+
+@query()
+def spl_files(spark, d):
+    """Each document by the strategy of its file's extension."""
+    x = t(spark, d, "documents")
+    return sp.split_files(x.withColumn("source", F.concat("source", F.when(F.col("lang") == "en", ".md").otherwise(".txt"))))
+
+
+_TABLE = "'|a|b|' || chr(10) || '|---|---|' || chr(10) || '|1|' || doc_id || '|' || chr(10) || '|2|y|' || chr(10)"
+
+
+@query(f"SELECT doc_id, {_TABLE} AS tables, text || chr(10) || chr(10) || chr(10) || 'end' AS rest FROM (SELECT doc_id, replace(replace(text, '|', ' '), '<', ' ') AS text FROM documents)")
+def spl_markdown_tables(spark, d):
+    """Tables of Markdown texts and the texts without them: documents with one table each."""
+    table = F.concat(F.lit("|a|b|\n|---|---|\n|1|"), F.col("doc_id").cast("string"), F.lit("|\n|2|y|\n"))
+    x = t(spark, d, "documents").select("doc_id", F.concat(F.translate("text", "|<", "  "), F.lit("\n"), table, F.lit("\nend")).alias("text"))
+    out = x.select("doc_id", ly.markdown_tables(F.col("text")).alias("m"))
+    return out.select("doc_id", F.ltrim(F.array_join("m.tables", "\n"), F.lit("\n")).alias("tables"), "m.rest")
+
+
+_KINDS = r"""CASE WHEN fenced THEN 'code' WHEN trim(line) = '' THEN 'blank' WHEN regexp_matches(line, '^#{1,6}\s+\S') THEN 'header' WHEN regexp_matches(line, '^\s*([-*+]|\d+[.)])\s+') THEN 'list'
+  WHEN regexp_matches(line, '^\s*>') THEN 'quote' WHEN regexp_matches(line, '^\s*\|.*\|') THEN 'table' ELSE 'text' END"""
+
+
+@query(f"""WITH d AS (SELECT doc_id, '# ' || text || chr(10) || '```' || chr(10) || '- code' || chr(10) || '```' || chr(10) || '- item' || chr(10) || '> quoted' AS text FROM documents),
+l AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS pos, unnest(string_split(text, chr(10))) AS line FROM d),
+m AS (SELECT *, regexp_matches(line, '^[ \t]{{0,3}}(```|~~~)') AS mark, coalesce(sum(regexp_matches(line, '^[ \t]{{0,3}}(```|~~~)')::INT) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM l),
+k AS (SELECT *, {_KINDS} AS kind FROM (SELECT *, mark OR before % 2 = 1 AS fenced FROM m)),
+n AS (SELECT *, (lag(kind) OVER (PARTITION BY doc_id ORDER BY pos) IS DISTINCT FROM kind OR kind = 'header' OR (mark AND before % 2 = 0)) AS new FROM k),
+i AS (SELECT *, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM n)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY island) - 1 AS element, kind, min(pos) AS start_line, max(pos) AS end_line, string_agg(line, chr(10) ORDER BY pos) AS content FROM i WHERE kind <> 'blank' GROUP BY doc_id, island, kind""")
+def spl_markdown_elements(spark, d):
+    """Elements of documents with a header, a fenced block, a list and a quote."""
+    x = t(spark, d, "documents")
+    return ly.markdown_elements(x.select("doc_id", F.concat(F.lit("# "), "text", F.lit("\n```\n- code\n```\n- item\n> quoted")).alias("text")))
+
+
+@query("""WITH r AS (SELECT l_orderkey AS doc_id, l_partkey % 50 AS start, l_partkey % 50 + l_quantity AS stop FROM lineitem),
+f AS (SELECT *, max(stop) OVER (PARTITION BY doc_id ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM r),
+i AS (SELECT *, sum((far IS NULL OR start > far)::INT) OVER (PARTITION BY doc_id ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS island FROM f) SELECT doc_id, min(start) AS start, max(stop) AS stop FROM i GROUP BY doc_id, island""")
+def spl_merged_ranges(spark, d):
+    """Ranges that touch or overlap as one."""
+    x = t(spark, d, "lineitem")
+    start = F.col("l_partkey") % 50
+    return ly.merged_ranges(x.select(F.col("l_orderkey").alias("doc_id"), start.alias("start"), (start + F.col("l_quantity")).alias("stop")))
+
+
+@query()
+def spl_packed_entries(spark, d):
+    """Conversations as reading orders: turns packed into chunks of 500 characters with their kinds, sources and pages."""
+    c = t(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("pos"), F.col("role").alias("kind"), F.concat_ws("-", "conv_id", "turn").alias("source_id"), F.floor(F.col("turn") / 2).alias("page"), "text")
+    x = ly.packed_entries(c, 500)
+    join = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
+    return x.select("doc_id", "chunk_index", "content", join("entry_kinds").alias("kinds"), join("entry_source_ids").alias("sources"), join("pages").alias("pages"), "entry_count")
+
+
+@query()
+def spl_html_table(spark, d):
+    """Tables of customers cut by a budget of tokens."""
+    x = readers.html_tables(t(spark, d, "customer"), "c_nationkey", "c_custkey", ["c_custkey", "c_name"], 64)
+    return x.select("c_nationkey", "part", F.posexplode(ly.split_table(F.col("html"), 60)).alias("piece", "html"))
+
+
+def _words(spark, d):
+    """Lines of an order as words on a page: the flags as tops, the quantities as places."""
+    x = t(spark, d, "lineitem")
+    top = F.col("l_linenumber") % 2 * 2 + F.when(F.col("l_returnflag") == "N", 0).otherwise(40)
+    return x.select(F.col("l_orderkey").alias("doc_id"), (F.col("l_linenumber") % 3).alias("page"), F.col("l_partkey").cast("string").alias("text"), (F.col("l_quantity") * 4).alias("x0"), (F.col("l_quantity") * 4 + 20).alias("x1"), top.alias("top"), (top + 10).alias("bottom"))
+
+
+@query()
+def wn_lines(spark, d):
+    """Words of a page as lines: a fold, held against a plain loop in the tests."""
+    return ly.lines_of_words(_words(spark, d))
+
+
+@query()
+def wn_contents(spark, d):
+    """Documents' lines as boxes, with a contents page before them, which goes."""
+    x = t(spark, d, "documents")
+    head = F.array(F.lit("Contents"), F.substring("text", 1, 12), F.lit("second entry"), F.lit("third entry"))
+    return ly.without_contents(x.select("doc_id", F.posexplode(F.concat(head, F.split("text", "\n"))).alias("pos", "text")).withColumn("page", F.floor(F.col("pos") / 40).cast("int")).select("doc_id", "pos", "page", "text"))
+
+
+@query()
+def wn_without_overlaps(spark, d):
+    """Boxes of a page by falling score; those over kept ones go."""
+    x = _words(spark, d).withColumns({"page": F.col("doc_id"), "id": F.concat_ws("-", "page", "text", "x0"), "score": F.crc32("text") % 97, "kind": F.col("page")})
+    return ly.without_overlaps(x.dropDuplicates(["page", "kind", "id"]).drop("doc_id"), 0.3).select("page", "kind", "id")
+
+
+@query("""WITH w AS (SELECT l_orderkey AS page, l_linenumber AS id, l_quantity * 4 AS x0, l_quantity * 4 + 20 AS x1 FROM lineitem),
+r AS (SELECT l_orderkey AS page, CASE l_linenumber % 3 WHEN 0 THEN 'footer' WHEN 1 THEN 'title' ELSE 'text' END AS label, l_quantity * 4 - 8 AS x0, l_quantity * 4 + 12 AS x1 FROM lineitem),
+m AS (SELECT w.page, w.id, label, (least(w.x1, r.x1) - greatest(w.x0, r.x0)) / 20.0 AS share FROM w JOIN r ON w.page = r.page WHERE (least(w.x1, r.x1) - greatest(w.x0, r.x0)) / 20.0 >= 0.4),
+b AS (SELECT page, id, label, row_number() OVER (PARTITION BY page, id ORDER BY CASE label WHEN 'footer' THEN 1 WHEN 'title' THEN 2 ELSE 3 END, share DESC) AS rn FROM m)
+SELECT w.page, w.id, label FROM w LEFT JOIN (SELECT * FROM b WHERE rn = 1) b USING (page, id) WHERE label IS NULL OR label <> 'footer'""")
+def jn_labelled(spark, d):
+    """Boxes with the label of the region that covers them, by the labels' priority."""
+    x = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("id"), (F.col("l_quantity") * 4).alias("x0"), F.lit(0).alias("top"), F.lit(10).alias("bottom"))
+    boxes = x.withColumn("x1", F.col("x0") + 20)
+    label = F.when(F.col("id") % 3 == 0, "footer").when(F.col("id") % 3 == 1, "title").otherwise("text")
+    regions = x.select("page", label.alias("label"), (F.col("x0") - 8).alias("x0"), (F.col("x0") + 12).alias("x1"), "top", "bottom")
+    return ly.labelled(boxes, regions, ["footer", "title", "text"]).select("page", "id", "label")

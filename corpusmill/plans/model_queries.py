@@ -184,8 +184,52 @@ def rsm_regions(spark, d):
 @query("""WITH e AS (SELECT l_orderkey AS person, CASE l_returnflag WHEN 'A' THEN 3 WHEN 'N' THEN 2 ELSE 1 END AS rank FROM lineitem) SELECT person, CASE max(rank) WHEN 3 THEN 'A' WHEN 2 THEN 'N' ELSE 'R' END AS highest FROM e GROUP BY person""")
 def rsm_highest(spark, d):
     """The highest degree of each person by a ranking of codes."""
-    ranks = spark.createDataFrame([("A", 3), ("N", 2), ("R", 1)], "l_returnflag string, rank int")
-    return t(spark, d, "lineitem").join(F.broadcast(ranks), "l_returnflag").groupBy(F.col("l_orderkey").alias("person")).agg(F.max_by("l_returnflag", "rank").alias("highest"))
+    ranks = spark.createDataFrame([("A", 3), ("N", 2), ("R", 1)], "degree string, rank int")
+    x = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("person"), F.col("l_returnflag").alias("degree"))
+    return resume.highest_degree(x, ranks).select("person", F.col("degree").alias("highest"))
+
+
+@query("""SELECT c_custkey AS id, c_name AS name, CASE WHEN c_custkey % 2 = 0 THEN 'male' ELSE 'female' END AS gender, CASE c_custkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS married,
+CASE WHEN c_custkey % 5 > 0 THEN '555' || c_custkey ELSE 'tel' || c_custkey END AS phone, 'early ' || c_nationkey AS first_company, 'late ' || c_nationkey AS last_company, CASE WHEN c_custkey % 4 > 0 THEN 'school' END AS last_school FROM customer""")
+def rsm_flattened(spark, d):
+    """Sections of résumés in JSON as typed columns."""
+    c, k = t(spark, d, "customer"), F.col("c_custkey")
+    basic = F.struct(F.col("c_name").alias("name"), F.when(k % 2 == 0, "M").otherwise("F").alias("gender"), F.when(k % 5 > 0, F.concat(F.lit(" 555"), k.cast("string"))).otherwise(" ").alias("phone"), F.concat(F.lit("tel"), k.cast("string")).alias("tel"), F.when(k % 3 == 0, "Y").when(k % 3 == 1, "N").alias("marital"))
+    job = lambda name, start: F.struct(F.concat(F.lit(f"{name} "), F.col("c_nationkey").cast("string")).alias("company"), F.lit(start).alias("start"))
+    school = F.array(F.struct(F.lit("school").alias("school"), F.when(k % 4 > 0, "2001-09").alias("start")))
+    raw = F.to_json(F.struct(basic.alias("basic"), F.array(job("late", "2019-03"), job("early", "2011-01")).alias("work"), school.alias("education")))
+    return resume.flattened(c.select(k.alias("id"), raw.alias("raw")))
+
+
+@query("SELECT c_custkey AS id, n_nationkey::INT AS school_id, n_regionkey::INT AS rank FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey")
+def rsm_schools(spark, d):
+    """Schools by name, English name or alias."""
+    n = t(spark, d, "nation")
+    schools = n.select(F.col("n_nationkey").cast("int").alias("school_id"), "n_name", F.col("n_regionkey").cast("int").alias("rank"))
+    schools = schools.select("school_id", F.concat(F.lit("University of "), "n_name").alias("name"), F.concat("n_name", F.lit(" Tech.")).alias("english"), F.concat(F.lit("UO"), "n_name", F.lit("+The "), "n_name").alias("alias"), "rank")
+    k = F.col("c_custkey") % 3
+    said = F.when(k == 0, F.concat(F.lit("university of "), "n_name")).when(k == 1, F.concat("n_name", F.lit(" tech (main)"))).otherwise(F.concat(F.lit("THE "), "n_name"))
+    people = t(spark, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("id"), said.alias("school"))
+    return resume.school_lookup(people, schools).select("id", "school_id", "rank")
+
+
+@query()
+def ret_hyde(spark, d):
+    """Hybrid search by the vector of a model's answer and the words of the query."""
+    port = ports.HashEmbedding(64)
+    return r.hyde(_chunks(spark, d), _queries(spark, d), lambda q: F.concat(q, F.lit(" the answer")), port)
+
+
+@query()
+def ret_research(spark, d):
+    """Rounds of searches in two halves of the sources that take turns until a query has enough hits."""
+    c = _chunks(spark, d)
+    half = F.crc32("source") % 2 == 0
+
+    def search(some):
+        return lambda q, n: r.bm25(some, q, 4 * (n + 1)).withColumnRenamed("chunk_id", "key").select("query_id", "key", "score")
+
+    return r.research(_queries(spark, d), [search(c.filter(half)), search(c.filter(~half))])
 
 
 @query("""WITH s AS (SELECT unnest(['the', 'license', 'ing']) AS skill) SELECT doc_id, count(*) AS matched, round(least(100.0::DOUBLE * count(*) / 3, 100) + 1e-9, 1) AS percent FROM documents JOIN s ON contains(lower(text), skill) OR contains(skill, lower(text)) GROUP BY doc_id""")

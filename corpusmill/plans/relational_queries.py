@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import resume
 from ..operators import statistics as st
 
 Q: dict = {}
@@ -171,14 +172,15 @@ def jn_lookup(spark, d):
 
 
 @query(
-    """WITH q AS (SELECT item_id, string_split(text, ' ')[1] AS w FROM benchmark), m AS (SELECT item_id, p_partkey, row_number() OVER (PARTITION BY item_id ORDER BY p_partkey) AS rn FROM q JOIN part ON contains(lower(p_name), lower(left(w, 2))) )
-SELECT item_id, p_partkey FROM m WHERE rn = 1"""
+    """WITH w AS (SELECT l_orderkey AS person, l_linenumber AS id, 'company ' || l_partkey % 40 AS a, 'Company ' || l_suppkey % 7 AS b FROM lineitem),
+m AS (SELECT p.person, p.id AS project_id, min(w.id) AS work_id FROM w p JOIN w ON p.person = w.person AND (contains(lower(p.b), w.a) OR contains(w.a, lower(p.b))) GROUP BY ALL)
+SELECT DISTINCT w.person, id AS project_id, work_id FROM w LEFT JOIN m ON w.person = m.person AND w.id = m.project_id"""
 )
 def jn_substring_first(spark, d):
-    """The first part whose name holds an item's first letters."""
-    q = t(spark, d, "benchmark").select("item_id", F.lower(F.left(F.split("text", " ")[0], F.lit(2))).alias("w"))
-    hit = t(spark, d, "part").join(F.broadcast(q), F.contains(F.lower("p_name"), F.col("w")))
-    return hit.groupBy("item_id").agg(F.min("p_partkey").alias("p_partkey"))
+    """Each project's first work whose company's name holds the project's or is held by it; null for none."""
+    x = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("person"), F.col("l_linenumber").alias("id"), F.concat(F.lit("company "), F.col("l_partkey") % 40).alias("a"), F.concat(F.lit("Company "), F.col("l_suppkey") % 7).alias("b"))
+    projects = x.select("person", F.col("id").alias("project_id"), F.col("b").alias("company"))
+    return resume.match_projects(x.select("person", F.col("id").alias("work_id"), F.col("a").alias("company")), projects).distinct()
 
 
 @query(

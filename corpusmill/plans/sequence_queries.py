@@ -203,6 +203,40 @@ def ret_research_dedupe(spark, d):
     return sq.ordered_dedupe(hits, "session", "seq", ["url", "title", "chunk"])
 
 
+_MESSAGES = """SELECT conv_id, turn, CASE WHEN role = 'assistant' AND turn % 4 = 3 THEN 'tool' ELSE role END AS role, length(text) AS cost, role = 'assistant' AND turn % 4 = 1 AS calls_tools FROM conversations"""
+
+
+@query(
+    f"""WITH m AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos, count(*) OVER (PARTITION BY conv_id) AS n FROM ({_MESSAGES})),
+s AS (SELECT *, sum(cost) OVER (PARTITION BY conv_id ORDER BY pos DESC ROWS UNBOUNDED PRECEDING) AS s, least(3, n - 1) AS fewest FROM m),
+c AS (SELECT conv_id, any_value(n) AS n, least(CASE WHEN any_value(n) = 1 THEN 1 ELSE coalesce(max(pos + 1) FILTER (s > 450 AND n - pos >= fewest AND pos >= 1), 1) END, any_value(n - fewest)) AS cut, max(pos) FILTER (role = 'user' AND pos >= 1) AS u FROM s GROUP BY conv_id),
+e AS (SELECT conv_id, n, CASE WHEN u < cut THEN u ELSE cut END AS cut FROM c),
+h AS (SELECT e.conv_id, max(pos) AS p, arg_max(calls_tools, pos) AS calls FROM e JOIN m USING (conv_id) WHERE pos >= 1 AND pos < cut AND role <> 'tool' GROUP BY e.conv_id)
+SELECT conv_id, (CASE WHEN cut > 1 AND cut < n THEN greatest(least(coalesce(p + 1 - calls::INT, 1), cut), 1) ELSE cut END)::INT AS cut, n FROM e LEFT JOIN h USING (conv_id)"""
+)
+def wn_tail_cut(spark, d):
+    """Where the protected end of each conversation begins, within a budget of 300 characters and its soft ceiling."""
+    c = t(spark, d, "conversations")
+    says = F.col("role") == "assistant"
+    role = F.when(says & (F.col("turn") % 4 == 3), "tool").otherwise(F.col("role"))
+    m = c.select("conv_id", "turn", role.alias("role"), F.length("text").alias("cost"), (says & (F.col("turn") % 4 == 1)).alias("calls_tools"))
+    return sq.tail_cut(m, "conv_id", "turn", 300)
+
+
+@query()
+def wn_like_frames(spark, d):
+    """Frames that differ from the last one kept: a fold, held against a plain loop in the tests."""
+    h = F.when(F.col("event_id") % 11 > 0, F.array((F.col("value") % 7).cast("double"), (F.col("value") % 5).cast("double"), (F.col("event_id") % 3).cast("double")))
+    return sq.without_like_frames(t(spark, d, "events").select("user_id", "event_id", h.alias("hist")), "user_id", "event_id", 0.4)
+
+
+@query("SELECT doc_id, CASE WHEN judge IS NULL THEN NULL ELSE greatest(1, least(10, round_even(judge * 0.7::DOUBLE + sim * 0.3::DOUBLE, 0)::INT)) END AS score FROM (SELECT doc_id, CASE WHEN doc_id % 9 > 0 THEN doc_id % 11 END AS judge, quality * 9 + 1 AS sim FROM labels)")
+def ev_correctness(spark, d):
+    """A judge's score and that of a similarity, 0.7 and 0.3."""
+    x = t(spark, d, "labels").select("doc_id", F.when(F.col("doc_id") % 9 > 0, F.col("doc_id") % 11).alias("judge"), (F.col("quality") * 9 + 1).alias("sim"))
+    return x.select("doc_id", ev.correctness(F.col("judge").cast("double"), F.col("sim").cast("double")).alias("score"))
+
+
 # evaluation: hits of a vector search are relevant if they share the query's label
 
 

@@ -201,7 +201,7 @@ def matching_lines(files: DataFrame, pattern: str, context: int = 0) -> DataFram
 
 def grep(spark: SparkSession, path: str, pattern: str, most: int = 100, glob: str = "*", context: int = 0) -> DataFrame:
     """Lines of files below a path whose names match the glob, at most so many."""
-    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path)
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
     return matching_lines(files.select(F.input_file_name().alias("file"), F.col("value").alias("text")), pattern, context).limit(most)
 
 

@@ -18,6 +18,29 @@ def test_read_documents(spark, tmp_path):
     assert got == {"text": "文本", "html": "x\ny\nz", "docx": "p1\nc1"}
 
 
+def test_epub_and_tables(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "b.epub", "w") as z:
+        z.writestr("META-INF/container.xml", '<container xmlns="urn:x"><rootfiles><rootfile full-path="O/book.opf"/></rootfiles></container>')
+        z.writestr("O/book.opf", '<package xmlns="urn:y"><manifest><item id="a" href="a%20b.xhtml"/><item id="c" href="../c.xhtml"/><item id="n" href="none.xhtml"/></manifest><spine><itemref idref="c"/><itemref idref="a"/><itemref idref="n"/></spine></package>')
+        z.writestr("O/a b.xhtml", "<p>second</p>")
+        z.writestr("c.xhtml", "<p>first</p><p>é</p>")
+    assert [r["text"] for r in readers.read_documents(spark, str(tmp_path)).collect()] == ["first\né\n\nsecond"]
+    w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    cell = lambda t: f"<w:tc><w:p><w:r><w:t>{t}</w:t></w:r></w:p></w:tc>"
+    row = lambda *c: f"<w:tr>{''.join(map(cell, c))}</w:tr>"
+    with zipfile.ZipFile(tmp_path / "t.docx", "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{w}"><w:body><w:tbl>{row("Name", "Age")}{row("Al", "7")}{row("", "8")}</w:tbl></w:body></w:document>')
+    assert readers.docx_table_lines((tmp_path / "t.docx").read_bytes()) == "Name: Al;Age: 7\nAge: 8"
+    assert readers.decode(b"\xef\xbb\xbfx", ("ascii", "utf-8-sig")) == "x" and readers.decode("\U00020000".encode("gb18030"), readers.PROBED) == "\U00020000"
+
+
+def test_grep(spark, tmp_path):
+    (tmp_path / "a.py").write_text("one\ntwo hit\nthree\nfour\n")
+    (tmp_path / "b.txt").write_text("hit")
+    got = readers.grep(spark, str(tmp_path), "h.t", glob="*.py", context=1).collect()
+    assert sorted((r["line_no"], r["line"], r["hit"]) for r in got) == [(1, "one", False), (2, "two hit", True), (3, "three", False)]
+
+
 def test_test_cases(spark, tmp_path):
     (tmp_path / "t.csv").write_text('question,expected_answer\n" a ",b\n,c\n')
     (tmp_path / "t.json").write_text('{"name": "n", "test_cases": [{"question": "q", "expected_answer": " x "}, {"question": "q2", "expected_answer": ""}]}')
@@ -47,6 +70,25 @@ def test_upsert_and_delete(spark, tmp_path):
     assert sorted(r["chunk_id"] for r in spark.read.parquet(path).collect()) == ["1_0", "1_1"]
 
 
+def test_tables_are_made_and_dropped(spark, tmp_path):
+    import pytest
+
+    path = str(tmp_path / "t")
+    sinks.drop(spark, path)
+    for _ in range(2):
+        sinks.ensure(spark, path, CHUNK)
+    assert not sinks.exists(spark, str(tmp_path / "none"))
+    (tmp_path / "broken").mkdir()
+    (tmp_path / "broken" / "part-0.parquet").write_text("not parquet")
+    # a table that can't be read isn't taken for a missing one
+    with pytest.raises(Exception, match="(?i)parquet|footer"):
+        sinks.upsert(spark, spark.createDataFrame([("1_0", 1, 0, "a", 1, 1, 1)], CHUNK), str(tmp_path / "broken"))
+    texts = sinks.save_full_texts(spark.createDataFrame([(1, "t", 2)], "doc_id int, text string, x int"), str(tmp_path / "f"))
+    assert [tuple(r) for r in texts.collect()] == [(1, "t")]
+    sinks.export_results(spark.createDataFrame([(1, ["a"])], "i int, c array<string>"), str(tmp_path / "e"))
+    assert spark.read.option("header", "true").csv(str(tmp_path / "e")).first()["c"] == '["a"]'
+
+
 def test_ingest_replays_to_the_same_table(spark, tmp_path):
     source, table = str(tmp_path / "in"), str(tmp_path / "table")
     spark.createDataFrame([("1_0", 1, 0, "a", 1, 1, 1), ("3_0", 3, 0, "z", 1, 1, 1)], CHUNK).write.parquet(source)
