@@ -371,7 +371,9 @@ def test_large_group_is_one_class(spark):
     assert all(r["n_links"] > 0 for r in got if r["doc_id"] < 120)
 
 
-def test_pairs_hidden_in_a_family(spark):
+@pytest.mark.parametrize("block_grams", [ngram_join.BLOCK_GRAMS, 10_000])
+def test_pairs_hidden_in_a_family(spark, monkeypatch, block_grams):
+    monkeypatch.setattr(ngram_join, "BLOCK_GRAMS", block_grams)
     rng = random.Random(8)
     fresh_word = iter(range(10**6))
 
