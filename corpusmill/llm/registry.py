@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, html_text, language_id, line_rules, mixing, ngram_join, quality_bayes, sharding, substring_dedup, warc
+from . import decontamination, html_text, language_id, line_rules, mixing, ngram_join, quality_bayes, sharding, substring_dedup, suffix_dedup, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_line_rules": line_rules.op8_line_rules,
         "op9_mixing": mixing.op9_mixing,
         "op10_ngram_join": ngram_join.op10_ngram_join,
+        "op13_suffix_dedup": suffix_dedup.op13_suffix_dedup,
     }
 
 
@@ -27,4 +28,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_warc": warc.OP6_SQL,
         "op8_line_rules": line_rules.OP8_SQL,
         "op9_mixing": mixing.OP9_SQL,
+        "op13_suffix_dedup": suffix_dedup.OP13_SQL,
     }
