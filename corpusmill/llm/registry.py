@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, html_text, language_id, line_rules, mixing, ngram_join, quality_bayes, sharding, substring_dedup, suffix_dedup, warc
+from . import decontamination, fill_in_middle, html_text, language_id, line_rules, mixing, ngram_join, quality_bayes, sharding, source_divergence, substring_dedup, suffix_dedup, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,8 @@ def queries() -> dict:
         "op8_line_rules": line_rules.op8_line_rules,
         "op9_mixing": mixing.op9_mixing,
         "op10_ngram_join": ngram_join.op10_ngram_join,
+        "op11_fill_in_middle": fill_in_middle.op11_fill_in_middle,
+        "op12_source_divergence": source_divergence.op12_source_divergence,
         "op13_suffix_dedup": suffix_dedup.op13_suffix_dedup,
     }
 
@@ -28,5 +30,7 @@ def oracle_sql() -> dict[str, str]:
         "op6_warc": warc.OP6_SQL,
         "op8_line_rules": line_rules.OP8_SQL,
         "op9_mixing": mixing.OP9_SQL,
+        "op11_fill_in_middle": fill_in_middle.OP11_SQL,
+        "op12_source_divergence": source_divergence.OP12_SQL,
         "op13_suffix_dedup": suffix_dedup.OP13_SQL,
     }
