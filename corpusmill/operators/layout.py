@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 #: Headings of contents pages and the like, without blanks, in lower case.
 CONTENTS_HEADING = r"^(contents|目录|目次|tableofcontents|致谢|acknowledge)$"
+#: How an English heading begins; how many boxes after the first entry the body may begin.
+ENGLISH_HEADING = r"^[0-9a-zA-Z :'.-]{5,}"
+CONTENTS_REACH = 128
 
 
 def lines_of_words(words: DataFrame) -> DataFrame:
@@ -44,36 +47,31 @@ def lines_of_words(words: DataFrame) -> DataFrame:
 def without_contents(boxes: DataFrame) -> DataFrame:
     """boxes (doc_id, pos, page, text) without contents sections.
 
-    A heading of contents goes, with blank boxes after it and the first entry; its prefix (three characters, or two words
-    after an English heading) is looked for in the next 128 boxes, and all before its next occurrence goes: there the body starts.
+    A section begins at a heading of contents.  Its first entry is the next box with text; the entry's beginning (three
+    characters, or two words if the heading is English) comes again where the body starts, CONTENTS_REACH boxes further on
+    at most.  The section ends before the body, or if none is found with its first entry, or without entries with the document.  Headings
+    within a section begin none.
     """
-
-    def keep(rows):
-        import re
-
-        texts, gone, i = list(rows["text"].fillna("")), [False] * len(rows), 0
-        while i < len(texts):
-            if not re.match(CONTENTS_HEADING, re.sub(r"[ 　]+", "", texts[i].lower()).strip()):
-                i += 1
-                continue
-            english = re.match(r"[0-9a-zA-Z :'.-]{5,}", texts[i].strip())
-            gone[i] = True
-            i += 1
-            while i < len(texts) and not texts[i].strip():
-                gone[i] = True
-                i += 1
-            if i == len(texts):
-                break
-            entry = texts[i].strip()
-            prefix = " ".join(entry.split()[:2]) if english else entry[:3]
-            gone[i] = True
-            i += 1
-            again = next((k for k in range(i, min(i + 128, len(texts))) if texts[k].startswith(prefix)), i)
-            gone[i:again] = [True] * (again - i)
-            i = again
-        return rows[[not g for g in gone]]
-
-    return boxes.groupBy("doc_id").applyInPandas(lambda rows: keep(rows.sort_values("pos")), boxes.schema)
+    document = Window.partitionBy("doc_id").orderBy("pos")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    after = document.rowsBetween(1, Window.unboundedFollowing)
+    box = boxes.select("doc_id", "pos", text.alias("t"), F.row_number().over(document).alias("n"), F.count(F.lit(1)).over(Window.partitionBy("doc_id")).alias("size"))
+    filled = F.when(F.trim(F.regexp_replace("t", r"\s", " ")) != "", F.struct("n", F.trim(F.regexp_replace("t", r"^\s+|\s+$", "")).alias("entry")))
+    heading = F.regexp_replace(F.lower("t"), r"[\s\u3000]+", "").rlike(CONTENTS_HEADING)
+    head = box.withColumn("first", F.first(filled, ignorenulls=True).over(after)).filter(heading)
+    words = F.array_join(F.slice(F.split("first.entry", r"\s+"), 1, 2), " ")
+    begin = F.when(F.regexp_replace("t", r"^\s+", "").rlike(ENGLISH_HEADING), words).otherwise(F.substring("first.entry", 1, 3))
+    head = head.select("doc_id", "n", "size", F.col("first.n").alias("entry_n"), begin.alias("begin"))
+    body = head.alias("h").join(box.alias("b"), "doc_id").filter("b.n > h.entry_n and b.n <= h.entry_n + " + str(CONTENTS_REACH)).filter(F.startswith("b.t", "h.begin"))
+    body = body.groupBy("doc_id", F.col("h.n").alias("n")).agg(F.min("b.n").alias("body_n"))
+    stop = F.coalesce("body_n", F.col("entry_n") + 1, F.col("size") + 1)
+    sections = head.join(body, ["doc_id", "n"], "left").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("n", stop.alias("stop")))).alias("s"))
+    # a document has few such headings
+    last = lambda acc: F.coalesce(F.try_element_at(acc, F.lit(-1))["stop"], F.lit(0))
+    apart = F.aggregate("s", F.slice("s", 1, 0), lambda acc, x: F.when(x["n"] >= last(acc), F.concat(acc, F.array(x))).otherwise(acc))
+    gone = F.coalesce(F.exists("s", lambda x: (F.col("n") >= x["n"]) & (F.col("n") < x["stop"])), F.lit(False))
+    places = box.join(sections.select("doc_id", apart.alias("s")), "doc_id").filter(gone).select("doc_id", "pos")
+    return boxes.join(places, ["doc_id", "pos"], "left_anti").select(*boxes.columns)
 
 
 def area(box: Column) -> Column:

@@ -1,11 +1,11 @@
 import pytest
 
-from corpusmill.plans import document_queries, model_queries, relational_queries, retrieval_queries, sequence_queries, text_queries
+from corpusmill.plans import document_queries, model_queries, page_queries, relational_queries, retrieval_queries, sequence_queries, text_queries
 
 from .conftest import SF
 from .helpers import same
 
-MODULES = (retrieval_queries, text_queries, relational_queries, sequence_queries, document_queries, model_queries)
+MODULES = (retrieval_queries, text_queries, relational_queries, sequence_queries, document_queries, model_queries, page_queries)
 CASES = [(m, k) for m in MODULES for k in m.SQL]
 
 
