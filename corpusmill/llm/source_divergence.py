@@ -19,7 +19,7 @@ are searched whole, in pieces that end at a delimiter; an empty table gives an e
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -27,13 +27,11 @@ from pyspark.sql import functions as F
 
 from .common import bounded_broadcast, small_batches, stored
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-DELIMITERS = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
-#: Bytes as the automaton reads them: delimiters are blanks, A-Z lower-cased; all beyond ASCII belongs to terms.
+#: Bytes as both passes read them: delimiters are blanks, A-Z lower-cased; all beyond ASCII belongs to terms.
 FOLD = bytes(b if b >= 0x80 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 32 for b in range(256))
 PIECE = 1 << 20
 #: Counts that a task holds before it hands them on.
-HELD = 1 << 19
+HELD = 1 << 20
 SMOOTH, WHOLE = 5, 1_000_000_000
 #: Groups up to this many (about 100 bytes each) are broadcast.
 MAX_BROADCAST_GROUPS = 100_000
@@ -45,24 +43,45 @@ AT_ONCE = 256
 plain = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
 
 
-def kept_terms(docs: DataFrame, min_documents: int) -> DataFrame:
-    """(lang, term, documents): terms of enough documents of their language."""
-    terms = F.array_distinct(F.filter(F.split(F.translate("text", UPPER, LOWER), DELIMITERS), lambda w: w != ""))
-    return docs.select("lang", F.explode(terms).alias("term")).groupBy("lang", "term").agg(F.count(F.lit(1)).alias("documents")).filter(F.col("documents") >= min_documents)
-
-
-def pieces(text: str, size: int = PIECE) -> list[str]:
-    """A text as the automaton reads it: blanks around terms, its UTF-8 bytes one character each; long ones in pieces cut at a blank."""
+def pieces(text: str, size: int = PIECE) -> list[bytes]:
+    """A text as both passes read it: folded, with blanks around; a long one in pieces that end at a blank."""
     data, out, at = b" " + text.encode().translate(FOLD) + b" ", [], 0
     while at < len(data) - 1:
         end = data.rfind(b" ", at + 1, at + size) if len(data) - at > size else len(data) - 1
         if end < 0:
             end = data.find(b" ", at + size)
-        out.append(data[at : end + 1].decode("latin-1"))
+        out.append(data[at : end + 1])
         at = end  # the next piece begins with the same blank
     return out
 
 
+def frequency_batches(batches):
+    """For each language and term the documents of a partition that hold it."""
+    import pyarrow as pa
+
+    held: dict[str, Counter] = defaultdict(Counter)
+
+    def flush():
+        for lang, own in held.items():
+            terms, n = pa.array(list(own), pa.binary()).cast(pa.string()), pa.array(list(own.values()), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), terms, n], names=["lang", "term", "n"])
+
+    for batch in batches:
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            cut = pieces(text)
+            held[lang].update(set(cut[0].split()) if len(cut) == 1 else set().union(*(p.split() for p in cut)))
+        if sum(map(len, held.values())) > HELD:
+            yield from flush()
+            held.clear()
+    yield from flush()
+
+
+def kept_terms(docs: DataFrame, min_documents: int) -> DataFrame:
+    """(lang, term, documents): terms of enough documents of their language."""
+    counted = docs.select("lang", "text").mapInArrow(frequency_batches, "lang string, term string, n long")
+    return counted.groupBy("lang", "term").agg(F.sum("n").alias("documents")).filter(F.col("documents") >= min_documents)
+
+
 def count_batches(block):
     """Occurrences of a block's terms by language and source; the numbers of terms are their places in the block."""
 
@@ -76,34 +95,34 @@ def count_batches(block):
             for number, term in terms:
                 automata[lang].add_word(" " + term.encode().decode("latin-1") + " ", number)
             automata[lang].make_automaton()
-        held: dict[tuple[str, str], dict[int, int]] = defaultdict(lambda: defaultdict(int))
-        n_held = 0
+        groups: dict[tuple[str, str], int] = {}
+        sums, fresh, n_fresh = [np.zeros(0, dtype=np.int64)] * 2, [], 0  # codes (group << 32 | number) with their counts; codes still to count
+
+        def counted():
+            codes, times = np.unique(np.concatenate(fresh), return_counts=True) if fresh else (sums[0][:0], sums[1][:0])
+            codes, place = np.unique(np.concatenate([sums[0], codes]), return_inverse=True)
+            return [codes, np.bincount(place, weights=np.concatenate([sums[1], times]), minlength=len(codes)).astype(np.int64)]
 
         def flush():
-            rows = [(lang, source, number, n) for (lang, source), own in held.items() for number, n in own.items()]
-            if rows:
-                kinds = [("lang", pa.string()), ("source", pa.string()), ("number", pa.int32()), ("n", pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), kinds, strict=True)], schema=pa.schema(kinds))
+            if len(sums[0]):
+                of = pa.array(sums[0] >> 32)
+                names = [pa.array([g[k] for g in groups], pa.string()).take(of) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*names, pa.array((sums[0] & 0xFFFFFFFF).astype(np.int32)), pa.array(sums[1])], names=["lang", "source", "number", "n"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 100):
-                part = batch.slice(at, 100)
-                by_group = defaultdict(list)
-                for lang, source, text in zip(*(part.column(c).to_pylist() for c in ("lang", "source", "text")), strict=True):
-                    if lang in automata:
-                        by_group[lang, source].append(text)
-                for group, texts in by_group.items():
-                    found = [np.array([number for _, number in automata[group[0]].iter(p)], dtype=np.int64) for text in texts for p in pieces(text)]
-                    numbers, times = np.unique(np.concatenate(found), return_counts=True) if found else ((), ())
-                    own = held[group]
-                    n_held -= len(own)
-                    for number, n in zip(np.asarray(numbers).tolist(), np.asarray(times).tolist(), strict=True):
-                        own[number] += n
-                    n_held += len(own)
-                if n_held > HELD:
-                    yield from flush()
-                    held.clear()
-                    n_held = 0
+            for lang, source, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "text")), strict=True):
+                if lang not in automata:
+                    continue
+                group = groups.setdefault((lang, source), len(groups)) << 32
+                for p in pieces(text):
+                    fresh.append(np.array([number for _, number in automata[lang].iter(p.decode("latin-1"))], dtype=np.int64) | group)
+                    n_fresh += len(fresh[-1])
+                if n_fresh > 4 * HELD:
+                    sums, fresh, n_fresh = counted(), [], 0
+                    if len(sums[0]) > HELD:
+                        yield from flush()
+                        sums = [np.zeros(0, dtype=np.int64)] * 2
+        sums = counted()
         yield from flush()
 
     return count
