@@ -6,8 +6,10 @@ functions applied to batches of texts.  Each leaves posexploded rows.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 from pyspark.sql import Column, DataFrame
@@ -216,23 +218,88 @@ def html_chunks(text: str, budget: int = 512) -> list[str]:
     return [x for x in [*out, *page.tables] if x]
 
 
-def json_chunks(text: str, size: int = 2000) -> list[str]:
-    """A JSON object's top-level members packed into objects of about `size` characters; a list counts as an object by index."""
-    import json
+def by_index(value):
+    """JSON with lists as objects by index, at all depths."""
+    if isinstance(value, list):
+        value = {str(i): v for i, v in enumerate(value)}
+    return {k: by_index(v) for k, v in value.items()} if isinstance(value, dict) else value
 
-    try:
-        value = json.loads(text)
-    except ValueError:
+
+class _Packed:
+    """Objects that members are put into by their paths; the length of the last one as JSON is kept up, not taken anew."""
+
+    def __init__(self) -> None:
+        self.objects: list[dict] = [{}]
+        self.length = 2
+
+    def open(self) -> None:
+        self.objects.append({})
+        self.length = 2
+
+    def put(self, path: tuple[str, ...], value, length: int) -> None:
+        at = self.objects[-1]
+        for key in path[:-1]:
+            if key not in at:
+                self.length += 2 * bool(at) + len(as_json(key)) + 2 + 2
+                at[key] = {}
+            at = at[key]
+        self.length += 2 * bool(at) + len(as_json(path[-1])) + 2 + length
+        at[path[-1]] = value
+
+
+def as_json(value) -> str:
+    return json.dumps(value, ensure_ascii=False)
+
+
+def _pack_members(value: dict, path: tuple[str, ...], out: _Packed, most: int, least: int) -> None:
+    for key, member in value.items():
+        length = len(as_json(member))
+        if len(as_json(key)) + 4 + length < most - out.length:  # as an object of its own
+            out.put((*path, key), member, length)
+            continue
+        if out.length >= least:
+            out.open()
+        if isinstance(member, dict) and member:
+            _pack_members(member, (*path, key), out, most, least)
+        else:
+            out.put((*path, key), member, length)
+
+
+def json_values(text: str) -> list:
+    """The JSON value of a text, or those of its lines if four of five of the first ten are JSON; lines that aren't go."""
+
+    def value(t: str):
+        try:
+            return [json.loads(t)]
+        except ValueError:
+            return []
+
+    lines = [line for line in text.strip().splitlines() if line.strip()]
+    found = value(text)
+    if found or not lines or sum(bool(value(line)) for line in lines[:10]) < 0.8 * len(lines[:10]):
+        return found
+    return [v for line in lines for v in value(line)]
+
+
+def json_chunks(text: str, size: int = 2000, least: int | None = None) -> list[str]:
+    """A JSON text as objects of up to twice `size` characters that keep their members' paths; lists count as objects by index.
+
+    Members are packed in order.  One that doesn't fit opens the next object if the last has `least` characters or more (`size` less 200, 50
+    at the least), and is taken apart, member by member; a value that can't be taken apart stands whole, however long.  A text
+    without JSON is one chunk.
+    """
+    values = json_values(text)
+    if not values:
         return [text] if text.strip() else []
-    value = dict(enumerate(value)) if isinstance(value, list) else value
-    if not isinstance(value, dict):
-        return [text]
-    out: list[dict] = [{}]
-    for k, v in value.items():
-        if out[-1] and len(json.dumps(out[-1] | {k: v})) > size:
-            out.append({})
-        out[-1][k] = v
-    return [json.dumps(x, ensure_ascii=False) for x in out if x]
+    chunks = []
+    for value in map(by_index, values):
+        if not isinstance(value, dict):
+            chunks.append(as_json(value))
+            continue
+        out = _Packed()
+        _pack_members(value, (), out, 2 * size, max(size - 200, 50) if least is None else least)
+        chunks += [as_json(x) for x in out.objects if x]
+    return chunks
 
 
 def batched(split: Callable[..., list[str]], **how) -> Callable[[Column], Column]:
@@ -266,12 +333,53 @@ BY_EXTENSION = {"md": "markdown", "markdown": "markdown", "pdf": "recursive"}
 DEFAULT = "recursive"
 
 
-def split_documents(docs: DataFrame, strategy: str = "recursive", text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, chunk_index, chunk_id, content) of every chunk."""
-    chunks = docs.select(key, F.posexplode(STRATEGIES[strategy](F.col(text))).alias("chunk_index", "content"))
+@dataclass(frozen=True)
+class Settings:
+    """How a knowledge base splits its documents."""
+
+    strategy: str = "recursive"
+    size: int = 1000
+    overlap: int = 100
+    least: int = 500
+    most: int = 2000
+    threshold: float = 0.7
+    embedding_batch: int = 20
+
+    def __post_init__(self) -> None:
+        if self.strategy not in {*STRATEGIES, "semantic"}:
+            raise ValueError(f"unknown strategy {self.strategy}")
+        if not 100 <= self.size <= 10_000 or not 0 <= self.overlap < self.size or not 0 <= self.threshold <= 1 or self.least > self.most:
+            raise ValueError("sizes or threshold out of bounds")
+
+
+def split_by_settings(docs: DataFrame, settings: Settings, embed: Callable[[Column], Column] | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """split_documents with a knowledge base's own sizes."""
+    own = {
+        "fixed": lambda c: fixed_size(c, settings.size, settings.overlap),
+        "recursive": batched(recursive_merged, size=settings.size, least=settings.least),
+        "markdown": batched(markdown, size=settings.size),
+        "lines": batched(line_aware, size=settings.size, overlap=settings.overlap),
+    }
+    if settings.strategy == "semantic":
+        return split_documents(docs, "semantic", text, key, embed, size=settings.most, threshold=settings.threshold)
+    return _chunk_rows(docs, own.get(settings.strategy, STRATEGIES[settings.strategy]), text, key)
+
+
+def _chunk_rows(docs: DataFrame, split: Callable[[Column], Column], text: str, key: str) -> DataFrame:
+    chunks = docs.select(key, F.posexplode(split(F.col(text))).alias("chunk_index", "content"))
     return chunks.withColumn("chunk_id", F.concat_ws("_", F.col(key).cast("string"), F.col("chunk_index").cast("string")))
 
 
+def split_documents(docs: DataFrame, strategy: str = "recursive", text: str = "text", key: str = "doc_id", embed: Callable[[Column], Column] | None = None, **how) -> DataFrame:
+    """(key, chunk_index, chunk_id, content) of every chunk.  `semantic` takes an embedding port, and the size and threshold of semantic_chunks."""
+    if strategy == "semantic":
+        if embed is None:
+            raise ValueError("the semantic strategy needs an embedding port")
+        chunks = semantic_chunks(docs, embed, text=text, key=key, **how)
+        return chunks.withColumn("chunk_id", F.concat_ws("_", F.col(key).cast("string"), F.col("chunk_index").cast("string")))
+    return _chunk_rows(docs, STRATEGIES[strategy], text, key)
+
+
 def split_files(pages: DataFrame, default: str = DEFAULT) -> DataFrame:
     """(doc_id, chunk_index, chunk_id, content) of pages (doc_id, source, text), each by the strategy of its file's extension."""
     extension = F.lower(F.element_at(F.split("source", r"\."), -1))
@@ -305,3 +413,34 @@ def semantic(sentences: DataFrame, threshold: float = 0.7) -> DataFrame:
     out = sentences.withColumn("_before", F.lag("embedding").over(w))
     out = out.withColumn("breaks", F.coalesce(cosine(F.col("_before"), F.col("embedding")) < threshold, F.lit(True))).drop("_before")
     return out.withColumn("chunk_index", F.sum(F.col("breaks").cast("int")).over(w) - 1)
+
+
+def semantic_chunks(docs: DataFrame, embed: Callable[[Column], Column], size: int = 1000, threshold: float = 0.7, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(key, chunk_index, content): pieces of up to `size` (500 at most) characters, joined by blanks while they are alike and fit.
+
+    A piece begins a chunk if its cosine to the piece before it is under the threshold, or if the chunk and it have over `size`
+    characters.  Cosines come from a window over the pieces, the running size from a fold over a document's own.  Vectors of length 0
+    break nothing.  A document's only piece stays as it is; joined chunks are stripped, blank ones go.
+    """
+    from pyspark.sql import Window
+
+    from .retrieval import cosine
+
+    split = batched(recursive, size=min(size, 500))
+    pieces = docs.select(key, F.posexplode(split(F.col(text))).alias("pos", "t"))
+    order = Window.partitionBy(key).orderBy("pos")
+    points = lambda v: F.exists(v, lambda x: x != 0)
+    near = pieces.withColumn("v", embed(F.col("t"))).withColumn("before", F.lag("v").over(order))
+    near = near.withColumn("differs", F.coalesce(points("before") & points("v") & (cosine(F.col("before"), F.col("v")) < threshold), F.lit(False)))
+    each = near.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "t", "differs"))).alias("p"))
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
+
+    def step(acc, x):
+        breaks = (x["pos"] > 0) & (x["differs"] | (F.length(acc["now"]) + F.length(x["t"]) > size))
+        joined = F.when(x["pos"] == 0, x["t"]).otherwise(F.concat(acc["now"], F.lit(" "), x["t"]))
+        return F.struct(F.when(breaks, F.concat(acc["done"], F.array(acc["now"]))).otherwise(acc["done"]).alias("done"), F.when(breaks, x["t"]).otherwise(joined).alias("now"))
+
+    strip = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    folded = F.aggregate("p", start, step, lambda acc: F.filter(F.transform(F.concat(acc["done"], F.array(acc["now"])), strip), lambda c: c != ""))
+    whole = F.when(F.size("p") == 1, F.transform("p", lambda x: x["t"])).otherwise(folded)
+    return each.select(key, F.posexplode(whole).alias("chunk_index", "content"))

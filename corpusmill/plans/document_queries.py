@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import layout as ly
+from ..operators import scan
 from ..operators import splitters as sp
+from ..ports import HashEmbedding
 from ..sources import readers, sinks
 from ..sources.shared import new_path
 
@@ -75,6 +77,37 @@ def spl_semantic(spark, d):
     return sp.semantic(v, 0.2).drop("embedding")
 
 
+@query("""WITH p AS (SELECT doc_id, i AS pos, line AS t, length(line) AS n FROM (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS i, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE trim(line) <> ''),
+q AS (SELECT *, row_number() OVER o - 1 AS i, lead(t) OVER o AS t1, lead(n) OVER o AS n1 FROM p WINDOW o AS (ORDER BY doc_id, pos)),
+j AS (SELECT *, coalesce(n < 60 AND n + 1 + n1 <= 300, false) AS joins FROM q),
+s AS (SELECT *, i - coalesce(max(CASE WHEN NOT joins THEN i + 1 END) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM j),
+u AS (SELECT i, doc_id, pos, CASE WHEN joins THEN t || chr(10) || t1 ELSE t END AS t, NOT joins AND n < 60 AND n1 IS NOT NULL AS small FROM s WHERE off % 2 = 0),
+b AS (SELECT *, coalesce(small AND lag(length(t)) OVER (ORDER BY i) + 1 + length(t) <= 300, false) AS back FROM u),
+g AS (SELECT *, sum((NOT back)::INT) OVER (ORDER BY i) - 1 AS chunk_index FROM b)
+SELECT chunk_index::BIGINT AS chunk_index, arg_min(doc_id, i) AS doc_id, arg_min(pos, i) AS pos, string_agg(t, chr(10) ORDER BY i) AS text FROM g GROUP BY chunk_index""")
+def spl_merge_small(spark, d):
+    """Lines of all documents in one pass: short ones join their neighbours, over documents' borders."""
+    x = t(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text")).filter(F.trim("text") != "")
+    return scan.merge_small_chunks(x, ["doc_id", "pos"], 60, 300)
+
+
+@query()
+def spl_semantic_text(spark, d):
+    """Documents by the semantic strategy with a stand-in embedding."""
+    return sp.split_documents(t(spark, d, "documents"), "semantic", embed=HashEmbedding(64), size=300, threshold=0.2).drop("chunk_id")
+
+
+@query()
+def spl_json(spark, d):
+    """Users' events by type as nested JSON, split at any depth."""
+    e = t(spark, d, "events")
+    one = F.transform(F.array_sort(F.collect_list(F.struct("event_id", "props"))), lambda x: F.concat(F.lit('{"id": '), x["event_id"].cast("string"), F.lit(', "props": '), x["props"], F.lit("}")))
+    kinds = e.groupBy("user_id", "event_type").agg(F.array_join(one, ", ").alias("events"))
+    member = F.transform(F.array_sort(F.collect_list(F.struct("event_type", "events"))), lambda x: F.concat(F.lit('"'), x["event_type"], F.lit('": ['), x["events"], F.lit("]")))
+    text = kinds.groupBy("user_id").agg(F.concat(F.lit('{"user": '), F.col("user_id").cast("string"), F.lit(', "kinds": {'), F.array_join(member, ", "), F.lit("}}")).alias("text"))
+    return text.select("user_id", F.posexplode(sp.batched(sp.json_chunks, size=200)(F.col("text"))).alias("chunk_index", "content"))
+
+
 @query("SELECT conv_id AS doc_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id")
 def src_full_text(spark, d):
     """Pages of a document joined in order."""

@@ -14,6 +14,12 @@ def _docs(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _arguments():
+    """A call's arguments, with the text in a deep object and in a list."""
+    text = F.struct(F.col("text"))
+    return t.shrunk_json(F.to_json(F.struct(F.col("source").alias("kept"), F.struct(F.struct(F.col("text")).alias("deep"), F.array(F.struct(F.lit("a").alias("text")), text).alias("list")).alias("more"))))
+
+
 def _add(name, sql, table="documents", key="doc_id", **columns):
     def run(spark, sf_dir):
         made = {c: f() for c, f in columns.items()}
@@ -86,6 +92,14 @@ _add(
     plain=lambda: t.strip_anchors(F.lit("[00:00:15#3] a [00:01:00#12] b")),
 )
 _add("txt_head_tail", r"SELECT doc_id, CASE WHEN length(text) > 4000 THEN left(text, 3000) || e'\n...\n' || right(text, 800) ELSE text END AS short FROM documents", short=lambda: t.head_tail(_col()))
+_add(
+    "txt_shrunk_arguments",
+    """SELECT doc_id, source AS kept, x AS deep, x AS listed, left(text, 200) || '...[truncated]' AS broken FROM (SELECT *, CASE WHEN length(text) > 200 THEN left(text, 200) || '...[truncated]' ELSE text END AS x FROM documents)""",
+    kept=lambda: F.get_json_object(_arguments(), "$.kept"),
+    deep=lambda: F.get_json_object(_arguments(), "$.more.deep.text"),
+    listed=lambda: F.get_json_object(_arguments(), "$.more.list[1].text"),
+    broken=lambda: t.shrunk_json(_col()),
+)
 _add("txt_whitespace_tokens", r"SELECT doc_id, len(regexp_extract_all(text, '[^ \t\n\x0B\f\r]+'))::INT AS n FROM documents", n=lambda: t.whitespace_tokens(_col()))
 _add("txt_scrub_tags", r"SELECT conv_id, turn, regexp_replace('<think>x</think>' || text, '(?s)<think>.*?</think>|<memory-context>.*?</memory-context>|<documents>.*?</documents>', '', 'g') AS clean FROM conversations", table="conversations", key="conv_id", turn=lambda: F.col("turn"), clean=lambda: t.scrub_tags(F.concat(F.lit("<think>x</think>"), _col())))
 

@@ -61,7 +61,7 @@ def test_splitters(spark):
     md = "# A\n" + "x" * 60 + "\n# B\n" + "y" * 60
     assert sp.markdown(md, 80, 10) == ["# A\n" + "x" * 60, "# B\n" + "y" * 60]
     assert "".join(sp.markdown("z" * 250, 100, 1)) == "z" * 250
-    assert sp.json_chunks('{"a": 1, "b": [1, 2]}', 10) == ['{"a": 1}', '{"b": [1, 2]}']
+    assert sp.json_chunks('{"a": 1, "b": [1, 2]}', 10, 5) == ['{"a": 1}', '{"b": {"0": 1}}', '{"b": {"1": 2}}']
 
 
 def test_chunks_keep_the_text(spark):
