@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .matching import BLOCK_NAMES, first_name
 from .retrieval import small
 
 
@@ -38,6 +39,22 @@ def company_key(name: Column) -> Column:
     return F.regexp_replace(plain, r"[\s\p{Punct}，。、；：！？“”‘’《》·]+", "")
 
 
+#: Fixed value: a company that only lends its staff is no mark of quality.
+LENT = "外派"
+
+
+def company_lookup(people: DataFrame, companies: DataFrame, block_names: int = BLOCK_NAMES) -> DataFrame:
+    """people (id, company) with the tag of the first of companies (place, name, tag) that it is, and whether it's known (good).
+
+    Names are compared after clean-up: those in ASCII must be equal, others contained.  All companies are searched for in one pass over
+    the people, or one for each `block_names`.
+    """
+    texts = people.withColumn("text", company_key(F.col("company")))
+    names = companies.select("place", company_key(F.col("name")).alias("name"))
+    out = first_name(texts, names, block_names).join(companies.select("place", "tag"), "place", "left")
+    return out.select(*people.columns, "tag", (F.col("place").isNotNull() & ~F.contains(F.coalesce("company", F.lit("")), F.lit(LENT))).alias("good"))
+
+
 def school_lookup(people: DataFrame, schools: DataFrame) -> DataFrame:
     """people (id, school) with the school_id and rank of the first school whose name, English name or alias is the same after clean-up.
 

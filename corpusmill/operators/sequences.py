@@ -83,18 +83,30 @@ def uniform(items: Column, most: int) -> Column:
     return F.when(n <= most, items).otherwise(picked)
 
 
-def ordered_dedupe(hits: DataFrame, session: str, order: str, keys: list[str], most: int = 100_000) -> DataFrame:
-    """Drops a hit if any of its keys was seen on a kept hit of its session before: an ordered fold over a session's hits.
+def ordered_dedupe(hits: DataFrame, session: str, order: str, keys: list[str]) -> DataFrame:
+    """Drops a hit if any of its keys was seen on a kept hit of its session before.
 
-    A session's hits are gathered in one array, sorted, and folded there; a session holds a search's results.
+    Sessions are sorted by `order` within partitions and folded batch by batch with a set of the keys seen, so a session is never
+    gathered whole.  Null and blank keys are none.
     """
     given = [F.when(F.coalesce(F.trim(F.col(k).cast("string")), F.lit("")) != "", F.concat(F.lit(f"{k}:"), F.col(k).cast("string"))) for k in keys]
     rows = hits.withColumn("_keys", F.filter(F.array(*given), lambda x: x.isNotNull()))
-    seq = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col("_keys").alias("k"))))
-    zero = F.struct(F.array().cast("array<string>").alias("seen"), F.array().cast(f"array<{dict(hits.dtypes)[order]}>").alias("kept"))
-    step = lambda acc, x: F.when(F.arrays_overlap(acc["seen"], x["k"]), acc).otherwise(F.struct(F.concat(acc["seen"], x["k"]).alias("seen"), F.concat(acc["kept"], F.array(x["o"])).alias("kept")))
-    kept = rows.groupBy(session).agg(F.aggregate(seq, zero, step, lambda acc: acc["kept"]).alias("kept")).select(session, F.explode("kept").alias(order))
-    return hits.join(kept, [session, order])
+
+    def fold(batches):
+        import pyarrow as pa
+
+        now, seen = (), set()
+        for batch in batches:
+            kept = []
+            for own, found in zip(batch.column(session).to_pylist(), batch.column("_keys").to_pylist(), strict=True):
+                if (own,) != now:
+                    now, seen = (own,), set()
+                kept.append(seen.isdisjoint(found))
+                if kept[-1]:
+                    seen.update(found)
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    return rows.repartition(session).sortWithinPartitions(session, order).mapInArrow(fold, rows.schema).drop("_keys")
 
 
 def tail_cut(messages: DataFrame, key: str, order: str, budget: int, least: int = 3) -> DataFrame:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import layout as ly
 from ..operators import scan
 from ..operators import splitters as sp
+from ..operators.retrieval import bm25
 from ..ports import HashEmbedding
-from ..sources import readers, sinks
+from ..sources import cache, readers, sinks
 from ..sources.shared import new_path
+from .retrieval_queries import _chunks, _queries, bm25_sql
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -177,6 +180,40 @@ def snk_delete(spark, d):
     return spark.read.parquet(path).select("document_id", "chunk_id", "n_chars")
 
 
+@query("SELECT 'good' AS kind, c_custkey::VARCHAR AS c_custkey, '\"' || c_name || '\", ' || chr(10) || 'Inc' AS c_name, CASE WHEN c_custkey % 5 <> 1 THEN c_nationkey::VARCHAR END AS c_nationkey, 0::BIGINT AS bad_lines FROM customer WHERE c_custkey % 7 <> 0 UNION ALL SELECT 'bad', NULL, NULL, NULL, count(*) FILTER (c_custkey % 7 = 0) FROM customer")
+def src_csv_bad_lines(spark, d):
+    """Customers as CSV with quoted cells over two lines, short lines and lines of too many cells: the good rows, and how many were bad."""
+    k = F.col("c_custkey")
+    name = F.concat(F.lit('"""'), "c_name", F.lit('"", \nInc"'))
+    line = F.concat(k.cast("string"), F.lit(","), name, F.when(k % 5 == 1, "").otherwise(F.concat(F.lit(","), F.col("c_nationkey").cast("string"))), F.when(k % 7 == 0, F.when(k % 5 == 1, ",,").otherwise(",")).otherwise(""))
+    customers = t(spark, d, "customer")
+    path = new_path(spark, "csv")
+    # a file with a header for each task
+    n = F.row_number().over(Window.partitionBy(F.spark_partition_id()).orderBy("c_custkey"))
+    customers.select(F.when(n == 1, F.concat(F.lit("c_custkey,c_name,c_nationkey\n"), line)).otherwise(line).alias("value")).write.text(path)
+    good, bad = readers.lenient_csv(spark, path)
+    counted = bad.agg(F.coalesce(F.sum("bad_lines"), F.lit(0)).alias("bad_lines")).select(F.lit("bad").alias("kind"), *[F.lit(None).cast("string").alias(c) for c in good.columns], "bad_lines")
+    return good.select(F.lit("good").alias("kind"), *good.columns, F.lit(0).cast("long").alias("bad_lines")).unionByName(counted)
+
+
+@query("WITH " + bm25_sql(k=5) + " SELECT query_id, chunk_id, rank FROM hits")
+def snk_cached_search(spark, d):
+    """Keyword hits through the cache: some queries are searched for first, then all, then all once more; the last answer comes from the table alone."""
+    chunks, q = _chunks(spark, d), _queries(spark, d)
+    keyed = q.withColumn("key", cache.cache_key(F.col("query"), F.col("query_id"), F.lit("bm25"), F.lit(5)))
+    held = cache.ResultCache(spark, new_path(spark, "cache"))
+
+    def search(missing):
+        return bm25(chunks, missing.select("query_id", "query"), 5).join(missing.select("query_id", "key"), "query_id").select("key", "query_id", "chunk_id", "rank")
+
+    def none(missing):
+        raise AssertionError("the cache has all queries")
+
+    held.get_or_compute(keyed.filter("length(query) % 2 = 0"), search)
+    held.get_or_compute(keyed, search)
+    return held.get_or_compute(keyed, none).select("query_id", "chunk_id", "rank")
+
+
 @query("SELECT doc_id, md5(lang || '|' || source || '|' || n_chars) AS key FROM documents")
 def snk_cache_key(spark, d):
     """A cache key over all parameters of a search."""

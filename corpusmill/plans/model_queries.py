@@ -9,6 +9,8 @@ from .. import ports
 from ..functions import text as tx
 from ..operators import resume
 from ..operators import retrieval as r
+from ..operators import scan
+from ..operators import splitters as sp
 from .retrieval_queries import KNN, _chunks, _queries, _vector_queries, _vectors, bm25_sql
 
 Q: dict = {}
@@ -49,17 +51,23 @@ def message_tokens(role, text, is_tool):
     return F.size(tx.tokens(text)) + 4 + F.when(is_tool, 9).otherwise(0)
 
 
-@query("""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '{"a":1}' WHEN 1 THEN '["q1","q2"]' ELSE '{"b": [2]}' END AS found FROM documents""")
+@query("""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '{"source":"' || source || '"}' WHEN 1 THEN '["' || lang || '","' || n_chars || '"]' ELSE '{"b": [' || n_chars || ']}' END AS found FROM documents""")
 def mdl_json(spark, d):
-    """Plain, fenced and surrounded JSON."""
-    a = F.when(F.col("doc_id") % 3 == 0, '  {"a":1}').when(F.col("doc_id") % 3 == 1, 'Sure:\n```json\n["q1","q2"]\n```\nDone').otherwise('It is {"b": [2]}, as said')
+    """JSON of a document's fields in plain, fenced and surrounded answers."""
+    n = F.col("n_chars").cast("string")
+    plain = F.concat(F.lit('  {"source":"'), "source", F.lit('"}\n'))
+    fenced = F.concat(F.lit('Sure:\n```json\n["'), "lang", F.lit('","'), n, F.lit('"]\n```\nDone'))
+    a = F.when(F.col("doc_id") % 3 == 0, plain).when(F.col("doc_id") % 3 == 1, fenced).otherwise(F.concat(F.lit('It is {"b": ['), n, F.lit("]}, as said")))
     return t(spark, d, "documents").select("doc_id", extract_json(a).alias("found"))
 
 
-@query("""SELECT doc_id, CASE doc_id % 2 WHEN 0 THEN 'q1|q2' ELSE 'first?|second?' END AS questions FROM documents""")
+@query(r"""SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '[^\p{L} ]', '', 'g'))), lambda x: x <> '')[1:5], '|') AS questions FROM documents""")
 def mdl_questions(spark, d):
-    """Question lists from JSON and from lines."""
-    a = F.when(F.col("doc_id") % 2 == 0, '["q1", "", "q2"]').otherwise("1. first?\n\n- second?")
+    """Question lists from JSON and from numbered lines: a document's lines, letters only, stand for questions."""
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(F.regexp_replace(x, r"[^\p{L} ]", ""))), lambda x: x != "")
+    listed = F.concat(F.lit("Here:\n"), F.to_json(lines))
+    numbered = F.array_join(F.transform(lines, lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x)), "\n\n")
+    a = F.when(F.col("doc_id") % 2 == 0, listed).otherwise(numbered)
     return t(spark, d, "documents").select("doc_id", F.array_join(questions(a), "|").alias("questions"))
 
 
@@ -85,12 +93,15 @@ def mdl_front_matter(spark, d):
     return x.select("doc_id", F.regexp_extract(head, r"(?m)^name:\s*(.*)$", 1).alias("name"), F.length(body).alias("body_length"))
 
 
-@query("SELECT doc_id, doc_id % 2 = 0 AS same FROM documents")
+@query("SELECT conv_id, count(*) FILTER (length(text) % 7 = 0) = 0 AS same FROM conversations GROUP BY conv_id")
 def mdl_anchor_check(spark, d):
-    """Whether a rewritten text has the anchors of the original."""
-    before, after = F.lit("[00:00:01#1] a [00:00:02#2] b"), F.when(F.col("doc_id") % 2 == 0, "[00:00:02#2] B [00:00:01#1] A").otherwise("[00:00:01#1] A")
-    same = F.array_sort(tx.anchor_indices(before)) == F.array_sort(tx.anchor_indices(after))
-    return t(spark, d, "documents").select("doc_id", same.alias("same"))
+    """Whether a rewritten transcript has the anchors of the original: here turns go whose length is a multiple of seven, and the order is another."""
+    c = t(spark, d, "conversations")
+    said = F.concat(tx.anchor(F.col("turn"), F.col("turn")), F.lit(" "), F.regexp_replace("text", r"[\[\]]", ""))
+    turns = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", said.alias("s")))).alias("b"), F.array_sort(F.collect_list(F.when(F.length("text") % 7 != 0, F.struct((-F.col("turn")).alias("turn"), said.alias("s"))))).alias("a"))
+    joined = lambda name: F.array_join(F.transform(name, lambda x: x["s"]), " ")
+    same = F.array_sort(tx.anchor_indices(joined("b"))) == F.array_sort(tx.anchor_indices(joined("a")))
+    return turns.select("conv_id", same.alias("same"))
 
 
 @query("WITH " + bm25_sql(k=10) + r""", s AS (SELECT query_id, chunk_id, rank, list_distinct(regexp_extract_all(lower(b.text), '[\p{L}\p{N}]+')) AS w, regexp_extract_all(lower(d.text), '[\p{L}\p{N}]+') AS c FROM hits JOIN benchmark b ON query_id = item_id JOIN documents d ON chunk_id = doc_id),
@@ -103,12 +114,13 @@ def ret_rerank(spark, d):
     return ports.rerank(hits, "query", "content", ports.OverlapRerank()).select("query_id", "chunk_id", "score", "rank")
 
 
-@query("""WITH s AS (SELECT source AS session, 0 AS kind, doc_id AS seq FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT source, 1, doc_id FROM documents WHERE doc_id % 5 = 1)
+@query("""WITH s AS (SELECT source AS session, CASE WHEN lang = 'en' THEN 0 ELSE 1 END AS kind, doc_id AS seq FROM documents)
 SELECT session, kind, seq, row_number() OVER (PARTITION BY session ORDER BY kind, seq) AS position FROM s""")
 def ret_web_and_kb(spark, d):
-    """Sources of two kinds one after the other, numbered through."""
-    x = t(spark, d, "documents").select(F.col("source").alias("session"), F.col("doc_id").alias("seq"))
-    both = x.filter("seq % 2 = 0").withColumn("kind", F.lit(0)).unionByName(x.filter("seq % 5 = 1").withColumn("kind", F.lit(1)))
+    """Sources of two kinds one after the other, numbered through; every document is of one kind."""
+    x = t(spark, d, "documents").select(F.col("source").alias("session"), F.col("doc_id").alias("seq"), "lang")
+    web, kb = x.filter("lang = 'en'").withColumn("kind", F.lit(0)), x.filter("lang is distinct from 'en'").withColumn("kind", F.lit(1))
+    both = web.unionByName(kb).drop("lang")
     return both.withColumn("position", F.row_number().over(Window.partitionBy("session").orderBy("kind", "seq")))
 
 
@@ -134,10 +146,47 @@ def mdl_verdict(spark, d):
 
 @query()
 def mdl_embed(spark, d):
-    """Cosine of neighbouring documents under the stand-in embedding; equal texts have 1, checked in the tests."""
-    e = t(spark, d, "documents").select("doc_id", ports.HashEmbedding(64)(F.col("text")).alias("v"))
-    before = F.lag("v").over(Window.partitionBy(F.floor(F.col("doc_id") / 50)).orderBy("doc_id"))
-    return e.withColumn("p", before).filter("p is not null").select("doc_id", F.round(r.cosine(F.col("p"), F.col("v")), 6).alias("cosine"))
+    """Cosine of each document to the one before it under the stand-in embedding; held against a loop in the tests."""
+    e = scan.indexed(t(spark, d, "documents").select("doc_id", ports.HashEmbedding(64)(F.col("text")).alias("v")), "doc_id")
+    return scan.neighbours(e, {"p": ("v", -1)}).filter("p is not null").select("doc_id", F.round(r.cosine(F.col("p"), F.col("v")), 6).alias("cosine"))
+
+
+@query("""WITH p AS (SELECT doc_id, i AS chunk_index, trim(substr(text, i * 500 + 1, 500)) AS content FROM (SELECT doc_id, text, unnest(range(greatest(CAST(ceil(length(text) / 500.0) AS BIGINT), 1))) AS i FROM documents) WHERE trim(substr(text, i * 500 + 1, 500)) <> ''),
+c AS (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index) - 1) // 3 AS call FROM p), f AS (SELECT doc_id, call, bool_or(contains(content, 'License')) AS failed FROM c GROUP BY ALL)
+SELECT doc_id, chunk_index::INT AS chunk_index, CASE WHEN failed THEN '' ELSE 'What is ' || left(content, 10) || '?|Why ' || length(content) || '?' END AS questions, failed FROM c JOIN f USING (doc_id, call)""")
+def mdl_question_batches(spark, d):
+    """Questions for the chunks of all documents, three a call; a call with a license among its chunks fails by itself."""
+
+    def ask(contents):
+        if any("License" in c for c in contents):
+            raise RuntimeError("the model refuses")
+        return [[f"What is {c[:10]}?", f"Why {len(c)}?"] for c in contents]
+
+    chunks = sp.split_documents(t(spark, d, "documents"), "fixed")
+    return ports.question_batches(chunks, ask).select("doc_id", "chunk_index", F.array_join("questions", "|").alias("questions"), "failed")
+
+
+_LINES = r"list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '[^\p{L} ]', '', 'g'))), lambda x: x <> '')"
+
+
+@query(f"""WITH h AS (SELECT conv_id, list(CASE WHEN role = 'user' THEN 'User' ELSE 'Assistant' END || ': ' || text ORDER BY turn) AS h, count(*) AS n, arg_max(text, turn) AS query FROM conversations GROUP BY conv_id),
+c AS (SELECT conv_id AS query_id, 'completion' AS strategy, 'completion' || chr(10) || array_to_string(h[greatest(n - 5, 1):], chr(10)) || chr(10) || query AS queries, false AS degraded FROM h),
+s AS (SELECT doc_id AS query_id, 'decompose' AS strategy, CASE WHEN len({_LINES}) > 0 THEN array_to_string({_LINES}, '|') ELSE text END AS queries, len({_LINES}) = 0 AS degraded FROM documents),
+y AS (SELECT doc_id, 'synonym', CASE WHEN doc_id % 3 = 0 THEN text ELSE source || ' ' || lang END, doc_id % 3 = 0 FROM (SELECT doc_id, source, lang, text FROM documents))
+SELECT * FROM c UNION ALL SELECT * FROM s UNION ALL SELECT * FROM y""")
+def ret_rewrite(spark, d):
+    """Queries rewritten by three strategies; scripted models repeat, list or refuse."""
+    turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content")))
+    talks = t(spark, d, "conversations").groupBy(F.col("conv_id").alias("query_id")).agg(turns.alias("history"), F.max_by("text", "turn").alias("query"))
+    docs = t(spark, d, "documents").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"), F.concat_ws(" ", "source", "lang").alias("other"))
+    listed = lambda p: F.concat(F.lit("以下：\n"), F.array_join(F.transform(F.split(F.substring_index(F.concat(p, F.lit("")), "decompose\n", -1), "\n"), lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), F.trim(F.regexp_replace(x, r"[^\p{L} ]", "")))), "\n"))
+    done = [
+        ports.rewritten(talks, "completion", lambda p: p).withColumn("strategy", F.lit("completion")),
+        ports.rewritten(docs, "decompose", listed).withColumn("strategy", F.lit("decompose")),
+        ports.rewritten(docs, "synonym", lambda p: F.when(F.col("query_id") % 3 != 0, F.col("other"))).withColumn("strategy", F.lit("synonym")),
+    ]
+    each = [x.select("query_id", "strategy", F.array_join("queries", "|").alias("queries"), "degraded") for x in done]
+    return each[0].unionByName(each[1]).unionByName(each[2])
 
 
 # résumés: fields of people, customers standing in
@@ -222,14 +271,31 @@ def ret_hyde(spark, d):
 
 @query()
 def ret_research(spark, d):
-    """Rounds of searches in two halves of the sources that take turns until a query has enough hits."""
+    """Deep research in its quick mode: rounds of searches within and outside the English documents take turns until a query has enough hits."""
     c = _chunks(spark, d)
-    half = F.crc32("source") % 2 == 0
+    english = F.col("lang") == "en"
 
     def search(some):
         return lambda q, n: r.bm25(some, q, 4 * (n + 1)).withColumnRenamed("chunk_id", "key").select("query_id", "key", "score")
 
-    return r.research(_queries(spark, d), [search(c.filter(half)), search(c.filter(~half))])
+    return r.deep_research(_queries(spark, d), search(c.filter(english)), search(c.filter(~english)), mode="quick")
+
+
+@query("""WITH c AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN replace(replace(lower(n_name), ' ', ''), '_', '') WHEN 1 THEN '深圳东方' || n_nationkey || '厂二部' WHEN 2 THEN '东方' || c_custkey % 3 ELSE 'x' || n_name END AS company, c_custkey % 8 = 1 AS lent FROM customer JOIN nation ON c_nationkey = n_nationkey),
+k AS (SELECT n_nationkey * 2 + 1 AS place, replace(replace(lower(n_name), ' ', ''), '_', '') AS name, n_name AS tag FROM nation UNION ALL SELECT n_nationkey * 2 + 2, '东方' || n_nationkey || '厂', 'works ' || n_nationkey FROM nation UNION ALL SELECT 0, '东方', 'east'),
+m AS (SELECT c_custkey, min(place) AS place FROM c JOIN k ON CASE WHEN regexp_full_match(name, '[0-9a-zA-Z., ]+') THEN company = name ELSE contains(company, name) AND (length(name) >= 3 OR length(company) < 2 * length(name)) END GROUP BY c_custkey)
+SELECT c_custkey AS id, tag, m.place IS NOT NULL AND NOT lent AS good FROM c LEFT JOIN m USING (c_custkey) LEFT JOIN k ON k.place = m.place""")
+def rsm_companies(spark, d):
+    """Companies of customers found in a table of names: equal in ASCII, else contained."""
+    n = t(spark, d, "nation")
+    k = F.col("c_custkey")
+    said = F.when(k % 4 == 0, F.col("n_name")).when(k % 4 == 1, F.concat(F.lit("深圳 东方"), F.col("n_nationkey").cast("string"), F.lit("厂（二）二部"))).when(k % 4 == 2, F.concat(F.lit("东方"), (k % 3).cast("string"))).otherwise(F.concat(F.lit("x"), "n_name"))
+    people = t(spark, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(k.alias("id"), F.when(k % 8 == 1, F.concat(said, F.lit("外派"))).otherwise(said).alias("company"))
+    number = F.col("n_nationkey").cast("string")
+    table = n.select((F.col("n_nationkey") * 2 + 1).alias("place"), F.col("n_name").alias("name"), F.col("n_name").alias("tag"))
+    table = table.unionByName(n.select((F.col("n_nationkey") * 2 + 2).alias("place"), F.concat(F.lit("东方 "), number, F.lit("厂")).alias("name"), F.concat(F.lit("works "), number).alias("tag")))
+    east = n.limit(1).select(F.lit(0).cast("long").alias("place"), F.lit("东方").alias("name"), F.lit("east").alias("tag"))
+    return resume.company_lookup(people, table.unionByName(east)).select("id", "tag", "good")
 
 
 @query("""WITH s AS (SELECT unnest(['the', 'license', 'ing']) AS skill) SELECT doc_id, count(*) AS matched, round(least(100.0::DOUBLE * count(*) / 3, 100) + 1e-9, 1) AS percent FROM documents JOIN s ON contains(lower(text), skill) OR contains(skill, lower(text)) GROUP BY doc_id""")

@@ -159,10 +159,10 @@ def jn_in_subquery(spark, d):
     return t(spark, d, "orders").join(t(spark, d, "customer").filter("c_nationkey = 5"), F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("o_orderkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 450000)")
 def jn_pending(spark, d):
-    """Rows without any task."""
-    return t(spark, d, "customer").join(t(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    """Rows without any task: customers without a large order."""
+    return t(spark, d, "customer").join(t(spark, d, "orders").filter("o_totalprice > 450000"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query("SELECT l_orderkey, l_linenumber, s_name FROM lineitem LEFT JOIN supplier ON l_suppkey = s_suppkey")
@@ -363,9 +363,9 @@ def set_union(spark, d):
     return t(spark, d, "customer").select(F.col("c_custkey").alias("k")).union(t(spark, d, "orders").select("o_custkey")).distinct()
 
 
-@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 450000")
 def set_except(spark, d):
-    return t(spark, d, "customer").select(F.col("c_custkey").alias("k")).subtract(t(spark, d, "orders").select("o_custkey"))
+    return t(spark, d, "customer").select(F.col("c_custkey").alias("k")).subtract(t(spark, d, "orders").filter("o_totalprice > 450000").select("o_custkey"))
 
 
 @query("SELECT c_custkey AS k FROM customer INTERSECT SELECT o_custkey FROM orders")

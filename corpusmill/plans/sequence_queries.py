@@ -199,7 +199,7 @@ def wn_reading_order(spark, d):
 def ret_research_dedupe(spark, d):
     """Hits whose url, title or chunk was seen before in their session go: an ordered fold, held against a loop in the tests."""
     docs = t(spark, d, "documents")
-    hits = docs.select(F.col("source").alias("session"), F.col("doc_id").alias("seq"), F.when(F.col("doc_id") % 3 == 0, (F.col("doc_id") % 17).cast("string")).alias("url"), F.substring("text", 1, 2).alias("title"), F.when(F.col("doc_id") % 2 == 0, (F.col("doc_id") % 13).cast("string")).alias("chunk"))
+    hits = docs.select(F.col("source").alias("session"), F.col("doc_id").alias("seq"), F.when(F.col("doc_id") % 3 == 0, (F.col("doc_id") % 17).cast("string")).alias("url"), F.substring_index("text", "\n", 1).alias("title"), F.when(F.col("doc_id") % 2 == 0, (F.col("doc_id") % 13).cast("string")).alias("chunk"))
     return sq.ordered_dedupe(hits, "session", "seq", ["url", "title", "chunk"])
 
 

@@ -76,19 +76,75 @@ class ScriptedLLM:
         return out
 
 
-def bpe_counter(path: str) -> Callable[[Column], Column]:
-    """Token counts by a vocabulary file of the tokenizers library, read once by each Python worker."""
-    loaded: dict = {}
+def within(seconds: float, f: Callable, *args):
+    """f's result, or an exception after so many seconds; a late call is left behind."""
+    import queue
+    import threading
+
+    out: queue.Queue = queue.Queue()
+
+    def run():
+        try:
+            out.put((f(*args), None))
+        except Exception as e:  # noqa: BLE001
+            out.put((None, e))
+
+    threading.Thread(target=run, daemon=True).start()
+    try:
+        result, error = out.get(timeout=seconds)
+    except queue.Empty:
+        raise TimeoutError(f"no answer within {seconds} s") from None
+    if error is not None:
+        raise error
+    return result
+
+
+def question_batches(chunks: DataFrame, ask: Callable[[list[str]], list[list[str]]], size: int = 3, seconds: float = 120.0) -> DataFrame:
+    """(doc_id, chunk_index, questions, failed) of chunks (doc_id, chunk_index, content): a model's questions, `size` chunks a call.
+
+    A document's chunks are dealt to calls in order.  A call that fails, is late, or answers for another number of chunks leaves all its
+    chunks without questions and no other.  Calls are rows, so they spread over tasks.
+    """
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("chunk_index")) - 1
+    calls = chunks.withColumn("_call", F.floor(place / size)).groupBy("doc_id", "_call").agg(F.array_sort(F.collect_list(F.struct("chunk_index", F.coalesce("content", F.lit("")).alias("content")))).alias("c"))
+
+    def one(contents) -> dict:
+        try:
+            answer = within(seconds, ask, list(contents))
+            if len(answer) != len(contents):
+                raise ValueError("an answer for another number of chunks")
+            return {"questions": [[str(q) for q in own] for own in answer], "failed": False}
+        except Exception:  # noqa: BLE001
+            return {"questions": [[] for _ in contents], "failed": True}
+
+    @F.pandas_udf("struct<questions:array<array<string>>,failed:boolean>")
+    def answers(contents):
+        import pandas as pd
 
-    @F.pandas_udf(T.IntegerType())
-    def count(texts):
-        from tokenizers import Tokenizer
+        return pd.DataFrame([one(c) for c in contents], columns=["questions", "failed"])
 
-        if path not in loaded:
-            loaded[path] = Tokenizer.from_file(path)
-        return texts.map(lambda t: len(loaded[path].encode(t or "").ids))
+    asked = calls.withColumn("a", answers(F.transform("c", lambda x: x["content"])))
+    each = asked.select("doc_id", "a.failed", F.inline(F.arrays_zip(F.transform("c", lambda x: x["chunk_index"]).alias("chunk_index"), F.col("a.questions").alias("questions"))))
+    return each.select("doc_id", "chunk_index", "questions", "failed")
 
-    return count
+
+def rewritten(queries: DataFrame, strategy: str, llm: LLMPort, recent: int = 6) -> DataFrame:
+    """queries (query_id, query, history) with `queries`, what to search for instead, and `degraded`: whether the model gave nothing and the query stands.
+
+    completion asks with the last `recent` messages of history (an array of structs role, content), synonym and hyde with the query alone;
+    decompose takes the lines of the answer without list marks and headings.  Prompts begin with the strategy's name.
+    """
+    from .functions.text import sub_queries
+
+    if strategy not in ("completion", "synonym", "decompose", "hyde"):
+        raise ValueError(f"unknown strategy {strategy}")
+    said = lambda m: F.concat(F.when(m["role"] == "user", "User").otherwise("Assistant"), F.lit(": "), F.coalesce(m["content"], F.lit("")))
+    history = F.array_join(F.transform(F.slice("history", F.greatest(F.size("history") - recent, F.lit(0)) + 1, recent), said), "\n")
+    parts = [F.lit(strategy), F.when(F.size("history") > 0, history), F.col("query")] if strategy == "completion" else [F.lit(strategy), F.col("query")]
+    asked = queries.withColumn("_answer", llm(F.concat_ws("\n", *parts)))
+    given = F.when(F.coalesce(F.col("_answer"), F.lit("")) != "", sub_queries(F.col("_answer")) if strategy == "decompose" else F.array("_answer"))
+    found = F.coalesce(F.size(given) > 0, F.lit(False))
+    return asked.withColumns({"queries": F.when(found, given).otherwise(F.array("query")), "degraded": ~found}).drop("_answer")
 
 
 def rerank(hits: DataFrame, query: str, content: str, port: RerankPort, top: int = 10) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import io
 import posixpath
+import re
 import zipfile
 from collections.abc import Callable
 from html.parser import HTMLParser
@@ -18,6 +19,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import CELL_KINDS, TOKEN
+from .shared import stored
+
 #: Encodings in the order in which they are tried.
 ENCODINGS = ("utf-8", "gbk", "gb2312", "latin-1")
 #: The same for parsers of single formats.
@@ -47,33 +51,73 @@ class _Texts(HTMLParser):
 def html_text(content: bytes) -> str:
     """All text nodes, one a line."""
     parser = _Texts()
-    parser.feed(decode(content))
+    parser.feed(decode(content, PROBED))
     parser.close()
     return "\n".join(parser.parts)
 
 
-def docx_text(content: bytes) -> str:
+def docx_text(content: bytes, tables: bool = True) -> str:
     """Paragraphs, then table cells, one a line."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{WORD_NS}body")
     text = lambda e: "".join(t.text or "" for t in e.iter(f"{WORD_NS}t"))
     rows = [text(p) for p in body.findall(f"{WORD_NS}p")]
-    rows += [text(c) for tbl in body.findall(f"{WORD_NS}tbl") for c in tbl.iter(f"{WORD_NS}tc")]
+    if tables:
+        rows += [text(c) for tbl in body.findall(f"{WORD_NS}tbl") for c in tbl.iter(f"{WORD_NS}tc")]
     return "\n".join(x for x in rows if x.strip())
 
 
-def docx_table_lines(content: bytes) -> str:
-    """Rows of tables as "header: cell" lines, by the first row of each table; blank cells go."""
+#: The counter's tokens, as Python writes the pattern.
+WORDS = re.compile(re.sub(r"\\x\{(\w{4})\}", r"\\u\1", TOKEN))
+
+
+def kind_of_cell(text: str) -> str:
+    """cell_kind of a single text."""
+    t = text.strip()
+    for pattern, kind in CELL_KINDS:
+        if re.search(pattern, t):
+            return kind
+    long = [w for w in WORDS.findall(t) if len(w) > 1]
+    if len(long) > 3:
+        return "Tx" if len(long) < 12 else "Lx"
+    return "Nr" if len(long) == 1 and re.fullmatch("[A-Z][a-z]+", long[0]) else "Ot"
+
+
+def mostly_numbers(cells: list[str]) -> bool:
+    """Whether no kind is more frequent than numbers among the cells that aren't blank."""
+    kinds = [kind_of_cell(c) for c in cells if c.strip()]
+    return "Nu" in kinds and kinds.count("Nu") >= max(map(kinds.count, kinds))
+
+
+def labelled_rows(rows: list[list[str]]) -> list[str]:
+    """Rows of a table as "header: cell;..." lines.
+
+    The first row is a header; in a table of numbers so is every row that mostly holds something else.  A row's headers are
+    those of the nearest header rows above it that follow one another.  Blank cells go; a table of one row has no lines.
+    """
+    numbers = mostly_numbers([c for row in rows[1:] for c in row])
+    header = [i == 0 or (numbers and not mostly_numbers(row)) for i, row in enumerate(rows)]
+    out, above = [], []
+    for i, row in enumerate(rows):
+        if header[i]:
+            above = [*above, row] if i and header[i - 1] else [row]
+            continue
+        names = [",".join(dict.fromkeys(h[j].strip() for h in above if j < len(h) and h[j].strip())) for j in range(len(row))]
+        out.append(";".join(f"{name}: {cell}" if name else cell for name, cell in zip(names, row, strict=True) if cell.strip()))
+    return [x for x in out if x]
+
+
+def docx_rows(content: bytes) -> list[list[list[str]]]:
+    """The tables of a document, as rows of cells."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         body = ElementTree.fromstring(z.read("word/document.xml"))
     text = lambda e: "".join(t.text or "" for t in e.iter(f"{WORD_NS}t")).strip()
-    out = []
-    for table in body.iter(f"{WORD_NS}tbl"):
-        rows = [[text(c) for c in row.iter(f"{WORD_NS}tc")] for row in table.iter(f"{WORD_NS}tr")]
-        for row in rows[1:]:
-            cells = [f"{head}: {cell}" if head else cell for head, cell in zip(rows[0] + [""] * len(row), row) if cell]
-            out.append(";".join(cells))
-    return "\n".join(x for x in out if x)
+    return [[[text(c) for c in row.iter(f"{WORD_NS}tc")] for row in table.iter(f"{WORD_NS}tr")] for table in body.iter(f"{WORD_NS}tbl")]
+
+
+def docx_table_lines(content: bytes) -> str:
+    """Rows of all tables as labelled lines."""
+    return "\n".join(line for rows in docx_rows(content) for line in labelled_rows(rows))
 
 
 def epub_text(content: bytes) -> str:
@@ -107,9 +151,14 @@ def register(extension: str, kind: str, parser: Callable[[bytes], str]) -> None:
     READERS[extension.lower()] = (kind, parser)
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """A record for each readable file below a path; files of unknown kind and blank texts are left out."""
+def read_documents(spark: SparkSession, path: str, labelled_tables: bool = False) -> DataFrame:
+    """A record for each readable file below a path; files of unknown kind and blank texts are left out.
+
+    With labelled_tables, rows of tables in Word documents come as "header: cell" lines after the paragraphs, else as cells.
+    """
     readers = dict(READERS)
+    if labelled_tables:
+        readers["docx"] = ("docx", lambda content: "\n".join(filter(str.strip, (docx_text(content, tables=False), docx_table_lines(content)))))
 
     @F.pandas_udf(T.StringType())
     def parse(contents, extensions):
@@ -165,6 +214,32 @@ def test_cases(spark: SparkSession, path: str) -> DataFrame:
     return rows.filter((F.col("question") != "") & (F.col("expected_answer") != ""))
 
 
+#: Ends a record that is parsed once more.
+RECORD_END = "\x01end"
+
+
+def lenient_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of CSV files with a header, as text columns, and (file, bad_lines): how many records of each file have more cells than the header.
+
+    Such records are left out; shorter ones are filled with null, as are empty cells.  Quoted cells may hold separators and line breaks.
+    """
+    how = {"multiLine": "true", "escape": '"'}
+    columns = spark.read.options(**how, header="true").csv(path).columns
+    odd = "_odd"
+    while odd in columns:
+        odd = f"_{odd}"
+    text = lambda names: T.StructType([T.StructField(c, T.StringType()) for c in names])
+    rows = spark.read.options(**how, header="true", mode="PERMISSIVE", columnNameOfCorruptRecord=odd).schema(text([*columns, odd])).csv(path)
+    rows = stored(rows.withColumn("_file", F.input_file_name()), "csv")
+    # a record of another length goes with an end mark through the parser again: the mark is among the columns if there are too few cells
+    marked = F.concat(F.regexp_replace(odd, r"[\r\n]+$", ""), F.lit(f",{RECORD_END}"))
+    again = F.from_csv(marked, text([f"c{i}" for i in range(len(columns) + 1)]).simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), {"escape": '"'})
+    short = F.coalesce(F.exists(F.array(*[again[f"c{i}"] for i in range(len(columns))]), lambda c: c == RECORD_END), F.lit(False))
+    rows = rows.withColumn("_bad", F.col(odd).isNotNull() & ~short)
+    good = rows.filter(~F.col("_bad")).select(*[F.col(f"`{c}`") for c in columns])
+    return good, rows.groupBy(F.col("_file").alias("file")).agg(F.sum(F.col("_bad").cast("long")).alias("bad_lines"))
+
+
 def file_kind(content: Column) -> Column:
     """A kind by its first bytes."""
     head = lambda n: F.hex(F.substring(content, 1, n))

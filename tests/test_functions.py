@@ -104,8 +104,9 @@ def test_research_dedupe_against_a_loop(spark):
     seen, kept = {}, set()
     for x in docs:
         i = x["doc_id"]
-        keys = {("t", x["text"][:2])} | ({("u", i % 17)} if i % 3 == 0 else set()) | ({("c", i % 13)} if i % 2 == 0 else set())
-        keys -= {("t", x["text"][:2])} if not x["text"][:2].strip() else set()
+        title = x["text"].split("\n")[0]
+        keys = {("t", title)} | ({("u", i % 17)} if i % 3 == 0 else set()) | ({("c", i % 13)} if i % 2 == 0 else set())
+        keys -= {("t", title)} if not title.strip() else set()
         if not keys & seen.setdefault(x["source"], set()):
             seen[x["source"]] |= keys
             kept.add(i)
