@@ -59,3 +59,29 @@ def recall_at_k(judged: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     """Found relevant rows of all relevant ones (case_id, n_relevant), an extension."""
     found = judged.filter((F.col("rank") <= k) & F.col("is_relevant")).groupBy("case_id").agg(F.count(F.lit(1)).alias("n"))
     return relevant.join(found, "case_id", "left").select("case_id", F.round(F.coalesce("n", F.lit(0)) / F.col("n_relevant") + 1e-9, 4).alias("recall_at_k"))
+
+
+DIMENSIONS = ("faithfulness", "answer_relevance", "correctness", "quality")
+
+
+def summary(details: DataFrame) -> DataFrame:
+    """One row of a test set's details (status, faithfulness, answer_relevance, correctness, quality, context_precision, answer_similarity).
+
+    Means of each dimension to one digit and of these `overall`; means of precision and similarity, of cases that neither failed nor were cancelled, to four digits;
+    cases processed and successful.  A dimension without scores is null and not part of overall.
+    """
+    good = F.coalesce(~F.col("status").isin("error", "cancelled"), F.lit(True))
+    mean = lambda c: F.round(F.avg(c) + 1e-9, 1).alias(c)
+    end = lambda c: F.round(F.avg(F.when(good, F.col(c))) + 1e-9, 4).alias(c)
+    out = details.agg(F.count(F.lit(1)).alias("processed_cases"), F.coalesce(F.sum(good.cast("long")), F.lit(0)).alias("successful_cases"), *map(mean, DIMENSIONS), end("context_precision"), end("answer_similarity"))
+    given = F.array_compact(F.array(*DIMENSIONS))
+    total = F.aggregate(given, F.lit(0.0), lambda a, x: a + x)
+    return out.withColumn("overall", F.round(total / F.nullif(F.size(given), F.lit(0)) + 1e-9, 1))
+
+
+def embedding_recall(answers: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(case_id, context_recall): the largest cosine of an expected answer (case_id, vector) to the case's chunks (case_id, vector), to four digits; a case without chunks is left out."""
+    from .retrieval import cosine
+
+    met = chunks.select("case_id", F.col("vector").alias("_v")).join(answers, "case_id")
+    return met.groupBy("case_id").agg(F.round(F.max(cosine(F.col("vector"), F.col("_v"))) + 1e-9, 4).alias("context_recall"))

@@ -90,3 +90,98 @@ def highest_degree(education: DataFrame, ranks: DataFrame) -> DataFrame:
     known = education.join(small(ranks), "degree")
     best = Window.partitionBy("person").orderBy(F.desc("rank"), "degree")
     return known.withColumn("_rn", F.row_number().over(best)).filter("_rn = 1").select("person", "degree", "rank")
+
+
+def jd_relevance(tech: Column, required: list[str], preferred: list[str]) -> Column:
+    """How much a technology matters to a job: by the first required skill that names it or is named by it, else the first preferred one.
+
+    1 and 0.7 for the same name, 0.7 and 0.5 for a part of it; 0.1 for none.
+    """
+    low = F.lower(tech)
+
+    def first(skills: list[str], same: float, part: float) -> Column:
+        met = F.filter(F.array(*[F.lit(s.lower()) for s in skills]), lambda s: F.contains(s, low) | F.contains(low, s)) if skills else F.array().cast("array<string>")
+        return F.when(F.size(met) > 0, F.when(F.get(met, F.lit(0)) == low, same).otherwise(part))
+
+    return F.coalesce(first(required, 1.0, 0.7), first(preferred, 0.7, 0.5), F.lit(0.1))
+
+
+def project_weights(projects: DataFrame, required: list[str], preferred: list[str]) -> DataFrame:
+    """projects (techs, background, architecture, challenges, achievements, ...) with relevance, depth and weight.
+
+    relevance is that of the technology that matters most, 0.3 for none; depth adds 0.2 each for background, architecture and up to three challenges,
+    0.1 for up to three achievements; the weight of a project is one and a half times half the relevance, 0.3 of the depth and 0.2.  All are 1 at most.
+    """
+    given = lambda c: F.when(F.coalesce(F.col(c), F.lit("")) != "", 0.2).otherwise(0.0)
+    most = lambda c, n: F.least(F.coalesce(F.size(c), F.lit(0)), F.lit(3)) * n
+    relevance = F.coalesce(F.array_max(F.transform("techs", lambda x: jd_relevance(x, required, preferred))), F.lit(0.3))
+    depth = F.least(given("background") + given("architecture") + most("challenges", 0.2) + most("achievements", 0.1), F.lit(1.0))
+    out = projects.withColumns({"relevance": relevance, "depth": F.round(depth, 6)})
+    return out.withColumn("weight", F.round(F.least((F.col("relevance") * 0.5 + F.col("depth") * 0.3 + 0.2) * 1.5, F.lit(1.0)), 6))
+
+
+def match_score(techs: Column, required: list[str]) -> Column:
+    """Percent of the required skills that some technology names or is named by, rounded down; 80 if none is required."""
+    if not required:
+        return F.lit(80)
+    low = F.transform(F.coalesce(techs, F.array().cast("array<string>")), F.lower)
+    met = F.filter(F.array(*[F.lit(s.lower()) for s in required]), lambda s: F.exists(low, lambda x: F.contains(x, s) | F.contains(s, x)))
+    return F.floor(F.size(met) * 100 / len(required)).cast("int")
+
+
+#: Codes of degrees.
+DEGREES = {"94": "EMBA", "6": "MBA", "95": "MPA", "92": "专升本", "4": "专科", "90": "中专", "91": "中技", "86": "初中", "3": "博士", "10": "博士后", "1": "本科", "2": "硕士", "87": "职高", "89": "高中"}
+
+
+def _look_up(c: Column, table: dict[str, str]) -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), c), F.lit(""))
+
+
+def degree_name(code: Column) -> Column:
+    return F.when(code.isNull(), "").otherwise(_look_up(code.cast("string"), DEGREES))
+
+
+def degree_code(name: Column) -> Column:
+    """The code of a degree's name, without outer blanks, in any letter case."""
+    return F.when(name.isNull(), "").otherwise(_look_up(F.trim(F.upper(name)), {v: k for k, v in DEGREES.items()}))
+
+
+def birth(text: Column, this_year: Column | int) -> Column:
+    """birth_dt, birthday and age of a birth date in full, partial or as seconds; months and days that can't be are 1, null without a year."""
+    t = F.trim(text)
+    t = F.when(t.rlike(r"^\d{10,}"), F.date_format(F.timestamp_seconds(F.left(t, F.lit(10)).cast("long")), "yyyy-MM-dd HH:mm:ss")).otherwise(t)
+    number = lambda pattern: F.nullif(F.regexp_extract(t, pattern, 1), F.lit("")).cast("int")
+    # the year is at the beginning; month and day follow the first four digits, with at most one character between
+    year, month, day = number(r"^(\d{4})"), number(r"\d{4}.?(\d{1,2})"), number(r"\d{4}.?\d{0,2}.?(\d{1,2})")
+    month, day = F.when(month.between(1, 12), month).otherwise(1), F.when(day.between(1, 31), day).otherwise(1)
+    return F.when(
+        year.isNotNull(),
+        F.struct(F.format_string("%d-%02d-%02d", year, month, day).alias("birth_dt"), F.format_string("%02d%02d", month, day).alias("birthday"), (F.lit(this_year) - year).cast("int").alias("age")),
+    )
+
+
+def without_tags(text: Column) -> Column:
+    """HTML tags as blanks."""
+    return F.regexp_replace(text, r"""(?i)<[a-z0-9."=';,:+_/ -]+>""", " ")
+
+
+def keywords(text: Column) -> Column:
+    """Lower-case keywords between commas, semicolons, points, tabs and blanks; blanks between two characters that aren't letters part keywords too."""
+    parted = F.regexp_replace(text, r"([^a-zA-Z])[ ]+([^a-zA-Z ])", "$1，$2")
+    return F.filter(F.transform(F.split(F.coalesce(parted, F.lit("")), r"[\t,，；;. ]"), F.lower), lambda x: x != "")
+
+
+def mobile(phone: Column) -> Column:
+    """The mobile number in a phone field, without signs and the country's code; empty for none."""
+    digits = F.regexp_replace(F.regexp_replace(F.coalesce(phone, F.lit("")), r"[^0-9]+", ""), r"^0*86([0-9]{11})", "$1")
+    return F.regexp_extract(digits, r"(1[3456789][0-9]{9})", 1)
+
+
+#: Ends of the names of fields that a profile keeps.
+KEPT_FIELDS = ("_fea", "_tks", "_nst", "_dt", "_int", "_flt", "_ltks", "_kwd", "_id")
+
+
+def kept_fields(profile: Column) -> Column:
+    """A profile (a map of names to texts) without fields of other names, and without features (_fea) that aren't above 0."""
+    named = F.map_filter(profile, lambda k, v: k.rlike("(" + "|".join(KEPT_FIELDS) + ")$"))
+    return F.map_filter(named, lambda k, v: ~k.rlike("_fea$") | F.coalesce(v.try_cast("double") > 0, F.lit(False)))

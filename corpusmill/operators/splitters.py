@@ -81,28 +81,55 @@ def pack(blocks: list[str], size: int, glue: str = "\n\n") -> list[str]:
     return out
 
 
-def markdown(text: str, size: int = 1000, least: int = 50) -> list[str]:
-    """Sections by headers, packed up to `size`; an oversize section goes by paragraph, then sentence, then length; chunks under `least` go."""
-    sections: list[str] = []
+def titled_markdown(text: str, size: int = 1000, least: int = 50) -> list[tuple[str, str, int]]:
+    """Chunks of markdown() with the title and level of the highest header among their sections, the first of equal ones; "" and 0 without a header."""
+    sections: list[tuple[str, str, int]] = []
     for line in text.split("\n"):
-        if HEADER.match(line) or not sections:
-            sections.append(line)
+        header = HEADER.match(line)
+        if header or not sections:
+            sections.append((line, header[2].strip() if header else "", len(header[1]) if header else 0))
         else:
-            sections[-1] += f"\n{line}"
-    out: list[str] = []
-    for chunk in pack([s for s in sections if s.strip()], size):
-        if len(chunk) <= size:
-            out.append(chunk)
-            continue
-        parts: list[str] = []
-        for paragraph in chunk.split("\n\n"):
-            if len(paragraph) <= size:
-                parts.append(paragraph)
-            else:
-                sentences = pack([s for s in SENTENCE_END.split(paragraph) if s], size, "")
-                parts += [s[i : i + size] for s in sentences for i in range(0, len(s), size)]
-        out += pack(parts, size)
-    return [c for c in out if len(c.strip()) >= least]
+            sections[-1] = (f"{sections[-1][0]}\n{line}", *sections[-1][1:])
+    sections = [s for s in sections if s[0].strip()]
+    packs, used = pack([s[0] for s in sections], size), 0
+    out: list[tuple[str, str, int]] = []
+    for chunk in packs:
+        # a pack's sections are those that its length holds
+        own, length = [], -2
+        while length < len(chunk):
+            own.append(sections[used])
+            length += 2 + len(sections[used][0])
+            used += 1
+        _, title, level = min((s for s in own if s[2]), key=lambda s: s[2], default=("", "", 0))
+        out += [(c, title, level) for c in ([chunk] if len(chunk) <= size else cut_section(chunk, size))]
+    return [c for c in out if len(c[0].strip()) >= least]
+
+
+def cut_section(chunk: str, size: int) -> list[str]:
+    """An oversize section by paragraph, then sentence, then length."""
+    parts: list[str] = []
+    for paragraph in chunk.split("\n\n"):
+        if len(paragraph) <= size:
+            parts.append(paragraph)
+        else:
+            sentences = pack([s for s in SENTENCE_END.split(paragraph) if s], size, "")
+            parts += [s[i : i + size] for s in sentences for i in range(0, len(s), size)]
+    return pack(parts, size)
+
+
+def markdown(text: str, size: int = 1000, least: int = 50) -> list[str]:
+    """Sections by headers, packed up to `size`; an oversize section goes by paragraph, then sentence, then length; chunks under `least` go."""
+    return [content for content, _, _ in titled_markdown(text, size, least)]
+
+
+def markdown_chunks(docs: DataFrame, size: int = 1000, least: int = 50, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(key, chunk_index, content, title, level) of Markdown texts."""
+
+    @F.pandas_udf("array<struct<content:string,title:string,level:int>>")
+    def split(texts):
+        return texts.map(lambda x: [dict(zip(("content", "title", "level"), c, strict=True)) for c in titled_markdown(x, size, least)] if x else [])
+
+    return docs.select(key, F.posexplode(split(F.col(text))).alias("chunk_index", "c")).select(key, "chunk_index", "c.*")
 
 
 def line_aware(text: str, size: int, overlap: int = 0) -> list[str]:
@@ -325,11 +352,13 @@ STRATEGIES: dict[str, Callable[[Column], Column]] = {
     "tokens": batched(token_budget, budget=128),
     "html": batched(html_chunks, budget=512),
     "json": batched(json_chunks, size=2000),
+    # pages of a PDF are split smaller
+    "pdf": batched(recursive_merged, size=400, least=50),
     # media texts: larger pieces, and small ones aren't merged
     "media": batched(recursive, size=2000),
 }
 #: The strategy for a kind of file; others take the default.
-BY_EXTENSION = {"md": "markdown", "markdown": "markdown", "pdf": "recursive"}
+BY_EXTENSION = {"md": "markdown", "markdown": "markdown", "pdf": "pdf"}
 DEFAULT = "recursive"
 
 

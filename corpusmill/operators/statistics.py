@@ -62,3 +62,17 @@ def fuzzy_price(models: DataFrame, prices: DataFrame) -> DataFrame:
     near = (F.col("model") == F.col("price_model")) | F.col("model").startswith(F.col("price_model")) | F.col("price_model").startswith(F.col("model"))
     order = Window.partitionBy("model").orderBy((F.col("model") != F.col("price_model")).cast("int"), "price_order")
     return models.join(F.broadcast(prices), near, "left").withColumn("_rn", F.row_number().over(order)).filter("_rn = 1").drop("_rn")
+
+
+def decimal_cost(usage: DataFrame, prices: DataFrame) -> DataFrame:
+    """usage (model, input_tokens, output_tokens, cache_read_tokens, cache_write_tokens, ...) with cost, an exact decimal; 0 for a model without a price.
+
+    prices (price_model, price_order, input, output, cache_read, cache_write) for a million tokens each, as decimals; points in a model's name count
+    as dashes, letter case doesn't.
+    """
+    named = usage.withColumn("_model", F.replace(F.lower("model"), F.lit("."), F.lit("-")))
+    priced = named.join(fuzzy_price(named.select(F.col("_model").alias("model")).distinct(), prices).withColumnRenamed("model", "_model"), "_model", "left")
+    part = lambda n, price: F.coalesce(F.col(n).cast("decimal(18,0)") * F.col(price).cast("decimal(12,6)"), F.lit(0).cast("decimal(31,6)"))
+    total = part("input_tokens", "input") + part("output_tokens", "output") + part("cache_read_tokens", "cache_read") + part("cache_write_tokens", "cache_write")
+    cost = (total.cast("decimal(30,6)") * F.expr("cast(0.000001 as decimal(7,6))")).cast("decimal(30,12)")
+    return priced.select(*usage.columns, cost.alias("cost"))

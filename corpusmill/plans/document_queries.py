@@ -54,6 +54,13 @@ def spl_markdown(spark, d):
     return sp.split_documents(t(spark, d, "documents"), "markdown")
 
 
+@query()
+def spl_markdown_titles(spark, d):
+    """Markdown chunks with the title and level of their highest header: documents' lines, of which every fourth is made a header."""
+    line = F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 4 == 1, F.concat(F.repeat(F.lit("#"), (1 + F.length(x) % 3).cast("int")), F.lit(" "), x)).otherwise(x))
+    return sp.markdown_chunks(t(spark, d, "documents").select("doc_id", F.array_join(line, "\n").alias("text")), 400)
+
+
 @query()
 def spl_lines(spark, d):
     return sp.split_documents(t(spark, d, "documents"), "lines")
@@ -124,6 +131,23 @@ def src_row_lines(spark, d):
     return c.select("c_custkey", readers.row_lines(c, ["c_name", "c_nationkey"]).alias("line"))
 
 
+@query("SELECT c_custkey, concat_ws('; ', 'c_name：' || c_name, CASE WHEN c_custkey % 3 > 0 THEN 'c_nationkey：' || c_nationkey END) || CASE WHEN n_regionkey = 1 THEN '' ELSE ' ——' || n_name END AS line FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def src_sheet_lines(spark, d):
+    """Rows of sheets as text with the sheets' names."""
+    c = t(spark, d, "customer").join(t(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    c = c.withColumn("c_nationkey", F.when(F.col("c_custkey") % 3 > 0, F.col("c_nationkey")))
+    return c.select("c_custkey", readers.row_lines(c, ["c_name", "c_nationkey"], F.when(F.col("n_regionkey") == 1, "Sheet1").otherwise(F.col("n_name"))).alias("line"))
+
+
+@query("""SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN 'pdf_layout' WHEN 1 THEN 'excel' WHEN 2 THEN 'ppt' WHEN 3 THEN 'figure' WHEN 4 THEN 'markdown' WHEN 5 THEN 'text' WHEN 6 THEN NULL ELSE NULL END AS parser, CASE doc_id % 8 WHEN 0 THEN CASE WHEN doc_id % 3 = 0 THEN 'pdf_vision' ELSE 'pdf_layout' END WHEN 1 THEN 'excel' WHEN 2 THEN 'ppt' WHEN 3 THEN 'figure' WHEN 4 THEN 'markdown' WHEN 5 THEN 'text' END AS by_mode FROM documents""")
+def src_parsers(spark, d):
+    """The parser of each file by its name."""
+    names = F.element_at(F.array(*[F.lit(x) for x in ("pdf", "XLSX", "pptx", "jpeg", "Markdown", "csv", "exe", "")]), (F.col("doc_id") % 8 + 1).cast("int"))
+    path = F.concat(F.lit("/a.b/"), "source", F.when(names == "", "").otherwise(F.concat(F.lit("."), names)))
+    mode = F.when(F.col("doc_id") % 3 == 0, "Vision").otherwise("unknown")
+    return t(spark, d, "documents").select("doc_id", readers.parser_of(path).alias("parser"), readers.parser_of(path, mode).alias("by_mode"))
+
+
 @query("""WITH r AS (SELECT c_nationkey, c_custkey, (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1) // 16 AS part, '<tr><td>' || c_custkey || '</td><td>' || c_name || '</td></tr>' AS line FROM customer)
 SELECT c_nationkey, part, '<table><tr><th>c_custkey</th><th>c_name</th></tr>' || string_agg(line, '' ORDER BY c_custkey) || '</table>' AS html FROM r GROUP BY ALL""")
 def src_html_tables(spark, d):

@@ -302,3 +302,76 @@ def rsm_companies(spark, d):
 def rsm_skill_match(spark, d):
     """Skills of a short list that a text names, or that name it, and their share."""
     return resume.skill_match(t(spark, d, "documents"), "doc_id", "text", ["the", "license", "ing"])
+
+
+@query(f"""SELECT conv_id, turn, 4 + len(regexp_extract_all(text, '{tx.TOKEN}')) + 85 * (turn % 3) + CASE WHEN role = 'assistant' THEN len(regexp_extract_all('[{{"name":"' || role || '","arguments":"' || conv_id || '"}}]', '{tx.TOKEN}')) ELSE 0 END + CASE WHEN turn % 2 = 1 THEN 6 ELSE 0 END + CASE WHEN turn % 5 = 0 THEN 3 ELSE 0 END AS cost FROM conversations""")
+def mdl_message_cost(spark, d):
+    """Tokens of messages with images, calls, calls' ids and tools' names."""
+    c = t(spark, d, "conversations")
+    calls = F.when(F.col("role") == "assistant", F.to_json(F.array(F.struct(F.col("role").alias("name"), F.col("conv_id").cast("string").alias("arguments")))))
+    cost = tx.message_cost(F.col("text"), F.col("turn") % 3, calls, F.when(F.col("turn") % 2 == 1, "call-1"), F.when(F.col("turn") % 5 == 0, "tool"))
+    return c.select("conv_id", "turn", cost.alias("cost"))
+
+
+@query("WITH " + bm25_sql(k=10) + r""", s AS (SELECT query_id, chunk_id, rank, score, list_distinct(regexp_extract_all(lower(b.text), '[\p{L}\p{N}]+')) AS w, regexp_extract_all(lower(d.text), '[\p{L}\p{N}]+') AS c FROM hits JOIN benchmark b ON query_id = item_id JOIN documents d ON chunk_id = doc_id),
+x AS (SELECT *, CASE WHEN chunk_id % 10 = 0 THEN NULL ELSE len(list_filter(w, lambda y: list_contains(c, y))) / len(w) END AS new FROM s), f AS (SELECT *, count(new) OVER (PARTITION BY query_id) = count(*) OVER (PARTITION BY query_id) AS ok FROM x),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY new DESC, rank) AS rn FROM f WHERE ok), n AS (SELECT *, max(new) OVER (PARTITION BY query_id) AS top FROM r WHERE rn <= 3)
+SELECT query_id, chunk_id, CASE WHEN top <= 0 THEN 1.0 ELSE round(new / top, 4) END AS score, rn AS rank, true AS reranked FROM n UNION ALL SELECT query_id, chunk_id, score, rank, false FROM f WHERE NOT ok""")
+def ret_rerank_top(spark, d):
+    """The best three hits by a rerank port, normalised; where the port fails a query keeps its hits."""
+    chunks, q = _chunks(spark, d), _queries(spark, d)
+    hits = r.bm25(chunks, q, 10).join(chunks.select("chunk_id", "content"), "chunk_id").join(q, "query_id")
+    port = lambda a, b: F.when(F.col("chunk_id") % 10 != 0, ports.OverlapRerank()(a, b))
+    return ports.reranked(hits, "query", "content", port).select("query_id", "chunk_id", "score", "rank", "reranked")
+
+
+@query("""WITH x AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'web_search' WHEN 1 THEN 'code_execution' WHEN 2 THEN 'mcp__files' ELSE 'clock' END AS name, replace(replace(text, '"', ''), chr(92), '') AS v FROM documents),
+c AS (SELECT *, CASE doc_id % 4 WHEN 0 THEN '{"query":"' || source_ || '","results":[1,{"a":2},' || doc_id || ']}' WHEN 1 THEN '{"exit_code":' || doc_id % 3 || ',"output":"' || left(plain, 200) || '"}' ELSE v END AS content FROM (SELECT x.*, regexp_replace(v, '[[:cntrl:]]', '', 'g') AS plain, documents.source AS source_ FROM x JOIN documents USING (doc_id)))
+SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '[web_search] query="' || source_ || '" 3 results (' || format('{:,}', length(content)) || ' chars)'
+WHEN 1 THEN '[code_execution] exit=' || doc_id % 3 || ' `' || CASE WHEN left(plain, 200) = '' THEN left(content, 80) ELSE left(plain, 80) END || CASE WHEN length(content) > 80 THEN '...' ELSE '' END || '` (1 lines)'
+WHEN 2 THEN '[mcp__files] ' || replace(left(v, 80), chr(10), ' ') || CASE WHEN length(v) > 80 THEN '...' ELSE '' END || ' (' || format('{:,}', length(v)) || ' chars)'
+ELSE '[clock] (' || format('{:,}', length(v)) || ' chars, ' || CASE WHEN trim(regexp_replace(v, '\\s', ' ', 'g')) <> '' THEN 1 + length(v) - length(replace(v, chr(10), '')) ELSE 0 END || ' lines)' END AS summary FROM c""".replace("\\\\s", "\\s"))
+def mdl_tool_lines(spark, d):
+    """Results of four kinds of tools in one line each."""
+    x = t(spark, d, "documents").withColumn("v", F.translate("text", '"\\', ""))
+    plain = F.regexp_replace("v", r"\p{Cntrl}", "")
+    k = F.col("doc_id") % 4
+    found = F.concat(F.lit('{"query":"'), "source", F.lit('","results":[1,{"a":2},'), F.col("doc_id").cast("string"), F.lit("]}"))
+    ran = F.concat(F.lit('{"exit_code":'), (F.col("doc_id") % 3).cast("string"), F.lit(',"output":"'), F.left(plain, F.lit(200)), F.lit('"}'))
+    name = F.when(k == 0, "web_search").when(k == 1, "code_execution").when(k == 2, "mcp__files").otherwise("clock")
+    return x.select("doc_id", tx.tool_summary(name, F.when(k == 0, found).when(k == 1, ran).otherwise(F.col("v"))).alias("summary"))
+
+
+@query("""WITH p AS (SELECT l_orderkey AS person, list(lower(l_shipmode_) ORDER BY l_linenumber, l_shipmode_) AS techs, max(CASE WHEN l_linenumber = 2 THEN 'b' ELSE '' END) AS background, count(*) AS n FROM (SELECT *, CASE l_partkey % 7 WHEN 0 THEN 'Spark SQL' WHEN 1 THEN 'Java' WHEN 2 THEN 'SQL' WHEN 3 THEN 'Go' WHEN 4 THEN 'JavaScript' WHEN 5 THEN 'cobol' ELSE 'Kafka' END AS l_shipmode_ FROM lineitem) GROUP BY l_orderkey),
+r AS (SELECT *, list_max(list_transform(techs, lambda x: CASE WHEN x = 'java' THEN 1.0 WHEN contains(x, 'java') OR contains('java', x) THEN 0.7 WHEN x = 'sql' THEN 1.0 WHEN contains(x, 'sql') OR contains('sql', x) THEN 0.7 WHEN x = 'kafka' THEN 0.7 WHEN contains(x, 'kafka') OR contains('kafka', x) THEN 0.5 ELSE 0.1 END))::DOUBLE AS relevance,
+round(least(CASE WHEN background <> '' THEN 0.2 ELSE 0 END + least(n, 3) * 0.2 + least(n // 2, 3) * 0.1, 1.0), 6)::DOUBLE AS depth FROM p)
+SELECT person, relevance, depth, round(least((relevance * 0.5 + depth * 0.3 + 0.2) * 1.5, 1.0), 6) AS weight, (((len(list_filter(techs, lambda x: contains(x, 'java') OR contains('java', x))) > 0)::INT + (len(list_filter(techs, lambda x: contains(x, 'sql') OR contains('sql', x))) > 0)::INT) * 100 // 2)::INT AS match FROM r""")
+def rsm_job_fit(spark, d):
+    """Projects weighed by a job's skills, and how many of the required ones a person has."""
+    names = ["Spark SQL", "Java", "SQL", "Go", "JavaScript", "cobol", "Kafka"]
+    tech = F.element_at(F.array(*map(F.lit, names)), (F.col("l_partkey") % 7 + 1).cast("int"))
+    items = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", tech.alias("x")))), lambda x: x["x"])
+    same = lambda n: F.array_repeat(F.lit("c"), n)
+    x = t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("person")).agg(items.alias("techs"), F.max(F.when(F.col("l_linenumber") == 2, "b").otherwise("")).alias("background"), F.count(F.lit(1)).cast("int").alias("n"))
+    x = x.withColumns({"architecture": F.lit(None).cast("string"), "challenges": same(F.col("n")), "achievements": same(F.floor(F.col("n") / 2).cast("int"))})
+    out = resume.project_weights(x, ["Java", "SQL"], ["Kafka"])
+    return out.select("person", "relevance", "depth", "weight", resume.match_score(F.col("techs"), ["Java", "SQL"]).alias("match"))
+
+
+@query("""WITH c AS (SELECT c_custkey, 1950 + c_custkey % 50 AS y, c_custkey % 14 AS m, c_custkey % 33 AS dd FROM customer)
+SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN y || '-' || lpad(CASE WHEN m BETWEEN 1 AND 12 THEN m ELSE 1 END::VARCHAR, 2, '0') || '-' || lpad(CASE WHEN dd BETWEEN 1 AND 31 THEN dd ELSE 1 END::VARCHAR, 2, '0') WHEN 1 THEN y || '-01-01' WHEN 2 THEN '1970-01-12' END AS birth_dt,
+CASE c_custkey % 4 WHEN 0 THEN 2026 - y WHEN 1 THEN 2026 - y WHEN 2 THEN 56 END::INT AS age, CASE c_custkey % 3 WHEN 0 THEN '硕士' WHEN 1 THEN 'EMBA' ELSE '' END AS degree, CASE c_custkey % 3 WHEN 0 THEN '2' WHEN 1 THEN '94' ELSE '' END AS code,
+CASE WHEN c_custkey % 5 = 0 THEN '' ELSE '139' || lpad(c_custkey::VARCHAR, 8, '0') END AS mobile, 'big data|sql|数据|挖掘|n' || c_nationkey AS words, 'a_kwd,b_fea' AS fields FROM c JOIN customer USING (c_custkey)""")
+def rsm_profile(spark, d):
+    """Birth dates, ages, degrees, mobile numbers, keywords and fields of profiles."""
+    c, k = t(spark, d, "customer"), F.col("c_custkey")
+    year = (1950 + k % 50).cast("string")
+    born = F.when(k % 4 == 0, F.concat_ws("-", year, F.lpad((k % 14).cast("string"), 2, "0"), F.lpad((k % 33).cast("string"), 2, "0"))).when(k % 4 == 1, year).when(k % 4 == 2, "0001000000").otherwise("unknown")
+    b = resume.birth(born, 2026)
+    degree = F.when(k % 3 == 0, F.lit(2)).when(k % 3 == 1, F.lit(94)).otherwise(F.lit(7))
+    named = resume.degree_name(degree)
+    phone = F.when(k % 5 == 0, "none").otherwise(F.concat(F.lit("tel 0086-139 "), F.lpad(k.cast("string"), 8, "0")))
+    said = resume.without_tags(F.concat(F.lit("Big"), F.lit("<br/>"), F.lit("Data；SQL,数据 挖掘."), F.lit("N"), F.col("c_nationkey").cast("string")))
+    fields = F.create_map(F.lit("a_kwd"), F.lit("x"), F.lit("b_fea"), F.lit("0.5"), F.lit("c_fea"), F.lit("-1"), F.lit("d_fea"), F.lit("?"), F.lit("other"), F.lit("y"))
+    words = F.array_join(resume.keywords(F.regexp_replace(said, "Big Data", "Big_Data")), "|")
+    return c.select("c_custkey", b["birth_dt"].alias("birth_dt"), b["age"].alias("age"), named.alias("degree"), resume.degree_code(F.concat(F.lit(" "), F.lower(named), F.lit(" "))).alias("code"), resume.mobile(phone).alias("mobile"), F.replace(words, F.lit("big_data"), F.lit("big data")).alias("words"), F.array_join(F.array_sort(F.map_keys(resume.kept_fields(fields))), ",").alias("fields"))

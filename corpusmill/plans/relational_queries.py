@@ -124,6 +124,22 @@ def flt_cost(spark, d):
     return priced.select("user_id", "model", F.round(cost, 8).alias("cost"))
 
 
+@query(
+    """WITH u AS (SELECT event_id, (event_id * 37) % 5000 AS i, (event_id * 11) % 900 AS o, event_id % 70 AS r, CASE event_id % 5 WHEN 0 THEN 'GPT-4.1-mini' WHEN 1 THEN 'qwen-max' WHEN 2 THEN 'qwen' WHEN 3 THEN 'other' ELSE 'GPT-4.1' END AS model FROM events)
+SELECT event_id, (CASE event_id % 5 WHEN 3 THEN 0 WHEN 1 THEN i * 240000 + o * 960000 WHEN 2 THEN i * 40000 + o * 120000 ELSE i * 200000 + o * 800000 + r * 50000 END::BIGINT // 100000 || '.' || lpad((CASE event_id % 5 WHEN 3 THEN 0 WHEN 1 THEN i * 240000 + o * 960000 WHEN 2 THEN i * 40000 + o * 120000 ELSE i * 200000 + o * 800000 + r * 50000 END::BIGINT % 100000)::VARCHAR, 5, '0')) AS millionths FROM u"""
+)
+def flt_decimal_cost(spark, d):
+    """Costs of calls as exact decimals, here in millionths: equal names, or one the beginning of the other, first in the list."""
+    k = F.col("event_id")
+    model = F.when(k % 5 == 0, "GPT-4.1-mini").when(k % 5 == 1, "qwen-max").when(k % 5 == 2, "qwen").when(k % 5 == 3, "other").otherwise("GPT-4.1")
+    usage = t(spark, d, "events").select("event_id", model.alias("model"), (k * 37 % 5000).alias("input_tokens"), (k * 11 % 900).alias("output_tokens"), (k % 70).alias("cache_read_tokens"), F.lit(None).cast("long").alias("cache_write_tokens"))
+    prices = [("gpt-4-1", 0, "2", "8", "0.5", "0"), ("qwen-plus", 1, "0.4", "1.2", "0", "0"), ("qwen-max", 2, "2.4", "9.6", "0", "0")]
+    table = spark.createDataFrame(prices, "price_model string, price_order int, input string, output string, cache_read string, cache_write string")
+    table = table.select("price_model", "price_order", *[F.col(c).cast("decimal(12,6)").alias(c) for c in ("input", "output", "cache_read", "cache_write")])
+    cost = st.decimal_cost(usage, table)
+    return cost.select("event_id", (F.col("cost") * F.lit(1_000_000).cast("decimal(7,0)")).cast("decimal(30,5)").cast("string").alias("millionths"))
+
+
 # joins
 
 

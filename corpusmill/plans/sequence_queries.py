@@ -304,3 +304,26 @@ def ev_summary(spark, d):
 @query("SELECT source, count(quality) AS n_scored, round(avg(quality) + 1e-9, 2) AS mean FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source")
 def ev_human(spark, d):
     return t(spark, d, "documents").join(t(spark, d, "labels"), "doc_id", "left").groupBy("source").agg(F.count("quality").alias("n_scored"), F.round(F.avg("quality") + 1e-9, 2).alias("mean"))
+
+
+_DETAILS = "SELECT l_orderkey, l_returnflag, CASE WHEN l_partkey % 11 > 0 THEN l_partkey % 10 + 1 END AS faithfulness, l_suppkey % 10 + 1 AS relevance, CASE WHEN l_linenumber % 3 > 0 THEN l_quantity / 5 END AS correctness, CASE WHEN l_linenumber > 1 THEN l_quantity % 97 / 97.0 END AS cp, l_quantity / 53.0 AS similarity FROM lineitem"
+
+
+@query(
+    f"""WITH x AS ({_DETAILS}), s AS (SELECT count(*) AS processed_cases, count(*) FILTER (l_returnflag NOT IN ('A', 'R')) AS successful_cases, round(avg(faithfulness) + 1e-9, 1) AS faithfulness, round(avg(relevance) + 1e-9, 1) AS answer_relevance, round(avg(correctness) + 1e-9, 1) AS correctness, NULL::DOUBLE AS quality,
+round(avg(cp) FILTER (l_returnflag NOT IN ('A', 'R')) + 1e-9, 4) AS context_precision, round(avg(similarity) FILTER (l_returnflag NOT IN ('A', 'R')) + 1e-9, 4) AS answer_similarity FROM x)
+SELECT *, round((faithfulness + answer_relevance + correctness) / 3 + 1e-9, 1) AS overall FROM s"""
+)
+def ev_test_set(spark, d):
+    """The summary of a test set over all its dimensions; failed and cancelled cases only count as processed."""
+    x = t(spark, d, "lineitem")
+    status = F.when(F.col("l_returnflag") == "A", "error").when(F.col("l_returnflag") == "R", "cancelled").otherwise("done")
+    details = x.select(status.alias("status"), F.when(F.col("l_partkey") % 11 > 0, F.col("l_partkey") % 10 + 1).cast("double").alias("faithfulness"), (F.col("l_suppkey") % 10 + 1).cast("double").alias("answer_relevance"), F.when(F.col("l_linenumber") % 3 > 0, F.col("l_quantity") / 5).cast("double").alias("correctness"), F.lit(None).cast("double").alias("quality"), F.when(F.col("l_linenumber") > 1, F.col("l_quantity") % 97 / 97).cast("double").alias("context_precision"), (F.col("l_quantity") / 53).cast("double").alias("answer_similarity"))
+    return ev.summary(details)
+
+
+@query("WITH e AS (SELECT vec_id // 10 AS case_id, vec_id % 10 AS k, embedding::DOUBLE[] AS v FROM embeddings) SELECT a.case_id, round(max(list_cosine_similarity(a.v, c.v)) + 1e-9, 4) AS context_recall FROM e a JOIN e c ON a.case_id = c.case_id WHERE a.k = 0 AND c.k > 0 GROUP BY a.case_id")
+def ev_embedding_recall(spark, d):
+    """The largest cosine of an expected answer to what was found."""
+    e = t(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 10).alias("case_id"), (F.col("vec_id") % 10).alias("k"), F.col("embedding").alias("vector"))
+    return ev.embedding_recall(e.filter("k = 0").drop("k"), e.filter("k > 0").drop("k"))

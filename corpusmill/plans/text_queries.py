@@ -20,6 +20,20 @@ def _arguments():
     return t.shrunk_json(F.to_json(F.struct(F.col("source").alias("kept"), F.struct(F.struct(F.col("text")).alias("deep"), F.array(F.struct(F.lit("a").alias("text")), text).alias("list")).alias("more"))))
 
 
+def _skill(field):
+    """A field of documents as skills: with metadata, with lists by lines, without a description."""
+    k = F.col("doc_id") % 3
+    head = F.concat(F.lit("---\nname: 'skill "), F.col("doc_id").cast("string"), F.lit("'\n# a remark\n"), F.when(k > 0, F.concat(F.lit("description: Reads: "), "source", F.lit("\n"))).otherwise("description:\n"))
+    tools = F.when(k == 2, F.concat(F.lit("allowed-tools:\n  - read\n  - "), "lang", F.lit("\n"))).otherwise(F.concat(F.lit("allowed-tools: read "), "lang", F.lit("\n")))
+    more = F.when(k == 1, F.concat(F.lit("metadata:\n  display_name: The "), "lang", F.lit("\n  tags: [a, "), "source", F.lit("]\n"))).when(k == 2, F.lit('metadata:\n  tags:\n    - x\n    - "y z"\n')).otherwise("")
+    return t.front_matter(F.concat(head, tools, more, F.lit("---\n"), "text"))[field]
+
+
+def _captioned():
+    k = F.col("doc_id") % 5
+    return F.concat(F.when(k == 0, " Figure 3: ").when(k == 1, "FIG.12").when(k == 2, "tables 4").when(k == 3, "图 1：").otherwise(""), F.col("text"))
+
+
 def _add(name, sql, table="documents", key="doc_id", **columns):
     def run(spark, sf_dir):
         made = {c: f() for c, f in columns.items()}
@@ -92,6 +106,29 @@ _add(
     plain=lambda: t.strip_anchors(F.lit("[00:00:15#3] a [00:01:00#12] b")),
 )
 _add("txt_head_tail", r"SELECT doc_id, CASE WHEN length(text) > 4000 THEN left(text, 3000) || e'\n...\n' || right(text, 800) ELSE text END AS short FROM documents", short=lambda: t.head_tail(_col()))
+_add(
+    "txt_captions",
+    r"""WITH b AS (SELECT doc_id, regexp_replace(CASE doc_id % 5 WHEN 0 THEN ' Figure 3: ' WHEN 1 THEN 'FIG.12' WHEN 2 THEN 'tables 4' WHEN 3 THEN '图 1：' ELSE '' END || text, '^\s+|\s+$', '', 'g') AS x FROM documents) SELECT doc_id, regexp_matches(x, '^(?i:fig(ure)?)\.?\s*\d+') OR regexp_matches(x, '^(?i:table)\s+\d+') OR regexp_matches(x, '^[图表][ 0-9:：]{2,}') AS caption, doc_id % 7 = 0 OR regexp_matches(x, '^(?i:fig(ure)?)\.?\s*\d+') OR regexp_matches(x, '^(?i:table)\s+\d+') OR regexp_matches(x, '^[图表][ 0-9:：]{2,}') AS by_region FROM b""",
+    caption=lambda: t.is_caption(_captioned()),
+    by_region=lambda: t.is_caption(_captioned(), F.when(F.col("doc_id") % 7 == 0, "table caption")),
+)
+_add(
+    "txt_subset_fonts",
+    """WITH w AS (SELECT doc_id, (string_split(text, ' '))[1:200] AS w FROM documents) SELECT doc_id, len(list_filter(w, lambda x: length(x) % 2 = 0 AND length(x) > 0 AND strlen(x) = length(x))) / len(w) >= 0.5 AS unreadable FROM w""",
+    unreadable=lambda: t.subset_fonts(F.transform(F.split("text", " "), lambda x: F.struct(x.alias("text"), F.when(F.length(x) % 2 == 0, "ABCDEF+Times").otherwise("Times").alias("font")))),
+)
+_add(
+    "txt_front_matter",
+    r"""WITH x AS (SELECT doc_id, lang, source, regexp_replace(text, '^\s+|\s+$', '', 'g') AS body, doc_id % 3 > 0 AS ok FROM documents)
+SELECT doc_id, ok AS valid, 'skill ' || doc_id AS skill, CASE WHEN ok THEN 'Reads: ' || source END AS description, CASE doc_id % 3 WHEN 1 THEN 'The ' || lang ELSE 'skill ' || doc_id END AS shown, 'read|' || lang AS tools, CASE doc_id % 3 WHEN 1 THEN 'a|' || source WHEN 2 THEN 'x|y z' END AS tags, md5(body) AS body FROM x""",
+    valid=lambda: _skill("valid"),
+    skill=lambda: _skill("name"),
+    description=lambda: _skill("description"),
+    shown=lambda: _skill("display_name"),
+    tools=lambda: F.array_join(_skill("allowed_tools"), "|"),
+    tags=lambda: F.array_join(_skill("tags"), "|"),
+    body=lambda: F.md5(_skill("body")),
+)
 _add(
     "txt_shrunk_arguments",
     """SELECT doc_id, source AS kept, x AS deep, x AS listed, left(text, 200) || '...[truncated]' AS broken FROM (SELECT *, CASE WHEN length(text) > 200 THEN left(text, 200) || '...[truncated]' ELSE text END AS x FROM documents)""",

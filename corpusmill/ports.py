@@ -154,6 +154,24 @@ def rerank(hits: DataFrame, query: str, content: str, port: RerankPort, top: int
     return scored.withColumn("rank", F.row_number().over(order))
 
 
+def reranked(hits: DataFrame, query: str, content: str, port: RerankPort, top: int = 3) -> DataFrame:
+    """The `top` hits of each query by the port's score, normalised, with original_score and reranked; a query for which the port gives
+    no score to some hit keeps its hits as they are.
+
+    hits (query_id, chunk_id, score, rank, ...); of equal scores the better rank comes first.
+    """
+    from .operators.retrieval import normalise
+
+    each = Window.partitionBy("query_id")
+    scored = hits.withColumn("_new", port(F.col(query), F.col(content)))
+    scored = scored.withColumn("reranked", F.count("_new").over(each) == F.count(F.lit(1)).over(each))
+    better = scored.filter("reranked").withColumns({"_before": F.col("score"), "score": F.col("_new").cast("double")})
+    better = better.withColumn("rank", F.row_number().over(each.orderBy(F.desc("score"), "rank"))).filter(F.col("rank") <= top)
+    better = normalise(better).withColumn("original_score", F.col("_before")).drop("_before", "_new")
+    kept = scored.filter(~F.col("reranked")).drop("_new").withColumn("original_score", F.lit(None).cast("double"))
+    return better.unionByName(kept)
+
+
 def grade_and_retry(search: Callable[[str, float], DataFrame], enough: Callable[[DataFrame], DataFrame], modes: list[str], threshold: float, decay: float = 0.7) -> DataFrame:
     """Searches all queries by the first mode; those not graded enough go on to the next mode at a lower threshold.
 

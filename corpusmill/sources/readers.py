@@ -133,6 +133,71 @@ def epub_text(content: bytes) -> str:
         return "\n\n".join(x for x in (html_text(z.read(p)) for p in paths if p in names) if x)
 
 
+DRAWING, SLIDE, LINKS = "{http://schemas.openxmlformats.org/drawingml/2006/main}", "{http://schemas.openxmlformats.org/presentationml/2006/main}", "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
+#: Fixed value: shapes whose tops differ by less stand in one row, from left to right.
+ROW_OF_SHAPES = 10
+
+
+def _place(shape: ElementTree.Element) -> tuple[int, int]:
+    at = next(shape.iter(f"{DRAWING}off"), None)
+    top, left = (int(at.get("y", 0)), int(at.get("x", 0))) if at is not None else (0, 0)
+    return top // ROW_OF_SHAPES, left
+
+
+def _paragraphs(e: ElementTree.Element) -> list[str]:
+    """Paragraphs with text; list items are indented by their level and begin with a point."""
+    out = []
+    for p in e.iter(f"{DRAWING}p"):
+        text = "".join(t.text or "" for t in p.iter(f"{DRAWING}t"))
+        how = p.find(f"{DRAWING}pPr")
+        item = how is not None and any(how.find(f"{DRAWING}{mark}") is not None for mark in ("buChar", "buAutoNum", "buBlip"))
+        if text.strip():
+            out.append(f"{'  ' * int(how.get('lvl', 0))}.{text}" if item else text)
+    return out
+
+
+def shape_text(shape: ElementTree.Element) -> str:
+    """A shape's paragraphs, a table's rows as "header: cell; ..." by its first row, a group's shapes in reading order."""
+    if shape.tag == f"{SLIDE}grpSp":
+        return shapes_text(shape)
+    rows = [["".join(_paragraphs(c)) for c in row.findall(f"{DRAWING}tc")] for row in shape.iter(f"{DRAWING}tr")]
+    if rows:
+        return "\n".join("; ".join(f"{head}: {cell}" for head, cell in zip(rows[0], row)) for row in rows[1:])
+    return "\n".join(_paragraphs(shape))
+
+
+def shapes_text(parent: ElementTree.Element) -> str:
+    shapes = [s for s in parent if s.tag in (f"{SLIDE}sp", f"{SLIDE}graphicFrame", f"{SLIDE}grpSp")]
+    return "\n".join(filter(None, map(shape_text, sorted(shapes, key=_place))))
+
+
+def slides(content: bytes) -> list[str]:
+    """The texts of a presentation's slides, in their order."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        links = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("ppt/_rels/presentation.xml.rels"))}
+        order = [links[i.get(f"{LINKS}id")] for i in ElementTree.fromstring(z.read("ppt/presentation.xml")).iter(f"{SLIDE}sldId")]
+        paths = [posixpath.normpath(posixpath.join("ppt", t)) if not t.startswith("/") else t[1:] for t in order]
+        return [shapes_text(ElementTree.fromstring(z.read(p)).find(f"{SLIDE}cSld/{SLIDE}spTree")) for p in paths]
+
+
+#: The parser that a kind of file takes unless another is asked for, and the ways to read a PDF.
+DEFAULT_PARSERS = {
+    "pdf": "pdf_layout", "docx": "docx", "epub": "epub", "xls": "excel", "xlsx": "excel", "ppt": "ppt", "pptx": "ppt",
+    "jpg": "figure", "jpeg": "figure", "png": "figure", "gif": "figure", "webp": "figure", "bmp": "figure",
+    "txt": "txt", "md": "markdown", "markdown": "markdown", "csv": "text", "json": "json", "html": "html",
+}
+PDF_MODES = ("plain", "layout", "vision", "docling", "mineru", "opendataloader", "paddleocr", "somark", "tcadp")
+
+
+def parser_of(path: Column, pdf_mode: Column | None = None) -> Column:
+    """The parser for a file by its extension, in any letter case; for a PDF that of the mode, if there is one of that name.  Null for other files."""
+    extension = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
+    parser = F.try_element_at(F.create_map(*[F.lit(x) for kv in DEFAULT_PARSERS.items() for x in kv]), extension)
+    if pdf_mode is None:
+        return parser
+    return F.when((extension == "pdf") & F.lower(pdf_mode).isin(*PDF_MODES), F.concat(F.lit("pdf_"), F.lower(pdf_mode))).otherwise(parser)
+
+
 #: Extension to (type, parser); register() adds to it.
 READERS: dict[str, tuple[str, Callable[[bytes], str]]] = {
     "txt": ("text", decode),
@@ -144,6 +209,7 @@ READERS: dict[str, tuple[str, Callable[[bytes], str]]] = {
     "htm": ("html", html_text),
     "docx": ("docx", docx_text),
     "epub": ("epub", epub_text),
+    "pptx": ("ppt", lambda content: "\n\n".join(filter(None, slides(content)))),
 }
 
 
@@ -179,8 +245,11 @@ def full_text(pages: DataFrame) -> DataFrame:
     return pages.groupBy("doc_id").agg(F.array_join(parts, "\n\n").alias("text"))
 
 
-def row_lines(df: DataFrame, columns: list[str]) -> Column:
-    """A table row as "header：value; ..." without blank cells."""
+def row_lines(df: DataFrame, columns: list[str], sheet: Column | None = None) -> Column:
+    """A table row as "header：value; ..." without blank cells, and the name of its sheet behind it, unless that is just some sheet."""
+    if sheet is not None:
+        named = ~F.contains(F.lower(sheet), F.lit("sheet"))
+        return F.concat(row_lines(df, columns), F.when(named, F.concat(F.lit(" ——"), sheet)).otherwise(""))
     cells = [F.when(F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) != "", F.concat(F.lit(f"{c}："), F.col(c).cast("string"))) for c in columns]
     return F.array_join(F.filter(F.array(*cells), lambda x: x.isNotNull()), "; ")
 
