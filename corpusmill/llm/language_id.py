@@ -15,7 +15,7 @@ Addresses: host_of, suffix_of and declared_in take the evidence from a page's ur
 
 Defined results: a null or empty text, or one without a letter, has no text evidence, and the
 document is rejected; an undeclared language gives no evidence; a null host is one more host;
-rows that repeat get equal results; a text of any length is scored whole, in steps; extra columns are kept; an empty
+rows that repeat get equal results; a text of any length is scored whole, in steps within it; extra columns are kept; an empty
 table gives an empty result; with nothing to learn from, no language is known and all documents are rejected.
 """
 
@@ -54,38 +54,60 @@ def trigram_buckets(data: np.ndarray) -> np.ndarray:
     return bucket
 
 
-def pieces(texts):
-    """(first row, row ends, bytes) of runs of rows of about STEP_BYTES; a null row is empty."""
-    at, run, size = 0, [], 0
+def steps(texts):
+    """Texts in steps of about STEP_BYTES: (row of each piece, where it begins, bytes).
+
+    A longer text is cut into pieces that share two bytes, so that each trigram lies in one.  Pieces without a trigram are left out.
+    """
+    rows, starts, run, size = [], [], [], 0
     for i, t in enumerate(texts):
         b = (t or "").encode()
-        run.append(b)
-        size += len(b)
-        if size >= STEP_BYTES:
-            yield at, run
-            at, run, size = i + 1, [], 0
+        for at in range(0, len(b) - 2, STEP_BYTES):
+            piece = b[at : at + STEP_BYTES + 2]
+            rows.append(i)
+            starts.append(size)
+            run.append(piece)
+            size += len(piece)
+            if size >= STEP_BYTES:
+                yield np.array(rows), np.array(starts), b"".join(run)
+                rows, starts, run, size = [], [], [], 0
     if run:
-        yield at, run
+        yield np.array(rows), np.array(starts), b"".join(run)
+
+
+def step_buckets(starts: np.ndarray, joined: bytes) -> np.ndarray:
+    """The buckets of a step's trigrams; -1 for those over the border of two pieces."""
+    bucket = trigram_buckets(np.frombuffer(joined, dtype=np.uint8))
+    border = starts[1:]
+    bucket[border - 1] = bucket[border - 2] = -1
+    return bucket
 
 
-def train_batches():
-    def count(batches):
-        import pyarrow as pa
+def train_batches(batches):
+    """Counts of a partition's trigrams by language and bucket."""
+    import pyarrow as pa
 
-        # a row of counts for each language that the task meets
-        seen: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
-                b = np.frombuffer((text or "").encode(), dtype=np.uint8)
-                if len(b) > 2:
-                    bucket = trigram_buckets(b)
-                    seen.setdefault(lang, np.zeros(BUCKETS, dtype=np.int64))
-                    seen[lang] += np.bincount(bucket[bucket >= 0], minlength=BUCKETS)
-        for lang, row in seen.items():
-            bucket = np.flatnonzero(row)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(bucket), lang), pa.int32()), pa.array(bucket, pa.int32()), pa.array(row[bucket], pa.int64())], names=["lang", "bucket", "n"])
+    seen: dict[int, np.ndarray] = {}
+    for batch in batches:
+        lang = np.array(batch.column("lang").to_pylist(), dtype=np.int64)
+        for rows, starts, joined in steps(batch.column("text").to_pylist()):
+            bucket = step_buckets(starts, joined)
+            ends = np.append(starts[1:], len(bucket))
+            for own in np.unique(lang[rows]):
+                mine = np.concatenate([bucket[a:z] for a, z in zip(starts[lang[rows] == own], ends[lang[rows] == own], strict=True)])
+                seen[own] = seen.get(own, 0) + np.bincount(mine[mine >= 0], minlength=BUCKETS)
+    for lang, row in seen.items():
+        bucket = np.flatnonzero(row)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(bucket), lang), pa.int32()), pa.array(bucket, pa.int32()), pa.array(row[bucket], pa.int64())], names=["lang", "bucket", "n"])
 
-    return count
+
+def model_row(counts):
+    """log P(bucket | language) of one language, from a row for each of its buckets."""
+    import pandas as pd
+
+    seen = np.full(BUCKETS, 0.05)
+    seen[counts["bucket"]] += counts["n"]
+    return pd.DataFrame({"lang": counts["lang"].iloc[:1], "row": [np.log(seen / seen.sum()).astype(np.float32).tobytes()]})
 
 
 def declared_language(docs: DataFrame, lang: str, least_rows: int) -> tuple[list[str], dict[str, int]]:
@@ -117,40 +139,34 @@ def fit_text_model(docs: DataFrame, lang: str = "lang", rows_per_language: int =
     place = label_place(F.col(lang), languages)
     rate = F.element_at(F.array(*[F.lit(min(1.0, rows_per_language / counts[x])) for x in languages]), F.greatest(place, F.lit(1)))
     sample = docs.select("text", place.alias("place"), u.alias("u"), rate.alias("rate")).filter("place > 0 and u < rate").select("text", (F.col("place") - 1).cast("int").alias("lang"))
-    table = sample.mapInArrow(train_batches(), "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    seen = np.full((len(languages), BUCKETS), 0.05)
-    for r in table.toLocalIterator():
-        seen[r["lang"], r["bucket"]] += r["n"]
-    return languages, np.log(seen / seen.sum(axis=1, keepdims=True)).astype(np.float32)
+    counts = sample.mapInArrow(train_batches, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    model = np.full((len(languages), BUCKETS), -math.log(BUCKETS), dtype=np.float32)
+    for r in counts.groupBy("lang").applyInPandas(model_row, "lang int, row binary").toLocalIterator():
+        model[r["lang"]] = np.frombuffer(bytes(r["row"]), dtype=np.float32)
+    return languages, model
 
 
-def text_scores(model: np.ndarray):
-    """A column function: tempered log-likelihoods of a text by language, null for a text without letters."""
+def text_scores(model):
+    """A column function: tempered log-likelihoods of a text by language, null for a text without letters; model is a broadcast.
+
+    A step's trigrams are looked up one language at a time and summed by pieces, so what is held follows the step, not the text or the languages.
+    """
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def score(texts):
         import pandas as pd
 
-        centred = model - model.mean(axis=0)  # only differences between languages matter
-        padded = np.concatenate([centred, np.zeros((len(model), 1), dtype=model.dtype)], axis=1)
-        out: list = [None] * len(texts)
-        for first, run in pieces(texts):
-            ends = np.cumsum([len(b) for b in run])
-            data = np.frombuffer(b"".join(run), dtype=np.uint8)
-            if len(data) < 3:
-                continue
-            bucket = trigram_buckets(data)
-            starts = ends - [len(b) for b in run]
-            stops = np.maximum(starts, ends - 2)  # a trigram lies within its document
-            sums = [np.concatenate([[0.0], np.cumsum(row[bucket], dtype=np.float64)]) for row in padded]
-            n = np.concatenate([[0], np.cumsum(bucket >= 0)])
-            last = len(bucket)
-            for k, (a, z) in enumerate(zip(np.minimum(starts, last), np.minimum(stops, last), strict=True)):
-                many = n[z] - n[a]
-                if many > 0:
-                    scale = min(SHARE * many, MOST) / many
-                    out[first + k] = [float((s[z] - s[a]) * scale) for s in sums]
-        return pd.Series(out)
+        table = model.value
+        middle = table.mean(axis=0)  # only differences between languages matter
+        sums, count = np.zeros((len(texts), len(table))), np.zeros(len(texts), dtype=np.int64)
+        for rows, starts, joined in steps(texts):
+            bucket = step_buckets(starts, joined)
+            np.add.at(count, rows, np.add.reduceat(bucket >= 0, starts, dtype=np.int64))
+            for i, row in enumerate(table):
+                own = np.append(row - middle, np.float32(0.0))  # the last place is that of -1
+                np.add.at(sums[:, i], rows, np.add.reduceat(own[bucket], starts, dtype=np.float64))
+        scale = np.minimum(SHARE * count, MOST) / np.maximum(count, 1)
+        return pd.Series([sums[k] * scale[k] if count[k] else None for k in range(len(texts))])
 
     return score
 
@@ -205,8 +221,9 @@ def identify(docs: DataFrame, declared: str = "lang", host: str = "source", rows
     language, posterior, kept = "language", "language_posterior", "language_kept"
     if n == 0:
         return docs.select(*columns).withColumns({language: F.lit(None).cast("string"), posterior: F.lit(None).cast("double"), kept: F.lit(False)})
-    score = text_scores(model)
-    ev, hst, sfx, dcl = fresh(docs, "ev", "host", "suffix", "declared")
+    spark = docs.sparkSession
+    score = text_scores(spark.sparkContext.broadcast(model))
+    ev, hst, sfx, dcl, sad = fresh(docs, "ev", "host", "suffix", "declared", "said")
     host_key = F.coalesce(F.concat(F.lit("+"), F.lower(F.col(host))), F.lit("-"))
     base = {ev: score(F.col("text")), hst: host_key, dcl: label_place(F.col(declared), languages)}
     scored = stored(docs.withColumns(base).select(*columns, ev, hst, dcl), "language-scores")
@@ -223,10 +240,11 @@ def identify(docs: DataFrame, declared: str = "lang", host: str = "source", rows
     table = {r["declared"]: r["p"] for r in cells.filter("declared > 0").groupBy("declared").agg(summed("p", n).alias("p")).collect()}
     square = np.array([[table.get(d + 1, [0.0] * n)[i] for d in range(n)] for i in range(n)]) + 0.5
     square = square / square.sum(axis=1, keepdims=True)
-    likelihood = F.array(*[F.array(*[F.lit(math.log(square[i][d])) for i in range(n)]) for d in range(n)])
-    said = F.when(F.col(dcl) > 0, F.element_at(likelihood, F.greatest(F.col(dcl), F.lit(1)).cast("int"))).otherwise(F.array(*[F.lit(0.0)] * n))
+    # a row for each declared language, MAX_LANGUAGES of as many numbers at most
+    likelihood = spark.createDataFrame([(d + 1, [math.log(square[i][d]) for i in range(n)]) for d in range(n)], f"{dcl} int, {sad} array<double>")
+    said = F.coalesce(F.col(sad), F.array_repeat(F.lit(0.0), n))
     prior = F.coalesce(F.col(sfx), F.array(*[F.lit(math.log(p)) for p in corpus]))
-    joined = scored.join(bounded_broadcast(hosts, MAX_BROADCAST_HOSTS), hst, "left")
+    joined = scored.join(bounded_broadcast(hosts, MAX_BROADCAST_HOSTS), hst, "left").join(F.broadcast(likelihood), dcl, "left")
     joined = joined.withColumn(ev, softmax(added(F.col(ev), said, prior)))
     best = F.array_max(ev)
     name = F.element_at(F.array(*map(F.lit, languages)), F.array_position(ev, best).cast("int"))
