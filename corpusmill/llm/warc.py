@@ -5,7 +5,8 @@ are UTF-8 text, so a whole archive is text and Spark's own writer lays it out: n
 file.  Archives hold at most `ARCHIVE_BYTES` of payload, or one larger record.  The reader takes whole archives as
 binary, checks each record (version line, length, the
 two line ends, digest), and after a failed check searches for the next place that reads as a
-record: a version line, or a gzip member that inflates to one.  Where a record's head can be read but its
+record: a version line, or a gzip member that inflates to one.  A member may hold several records, up to a whole archive packed in
+one piece; what it inflates to is read in the same way.  Where a record's head can be read but its
 payload fails a check, what lies within the stated length belongs to that record: places in there count only
 if the length itself is wrong, that is, if no record follows where it ends.  The bytes between are reported as a
 quarantined gap; records after the gap are recovered.
@@ -43,7 +44,7 @@ FIRST_FEED = 1 << 12
 #: A record's head is no longer than this.
 HEAD_BYTES = 1 << 16
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-#: Repeated digests up to this many (about 60 bytes each) are broadcast, more are joined by a shuffle.
+#: Repeated digests up to this many (about 60 bytes and an address each) are broadcast, more are joined by a shuffle.
 MAX_BROADCAST_DIGESTS = 500_000
 RECORDS = "archive string, offset long, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload string, gap_bytes long, gap_reason string"
 
@@ -60,18 +61,18 @@ def base32_sha1(payload: Column) -> Column:
 
 
 def with_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """pages (page_id, url, html) as payload, payload_bytes, payload_digest, record_type, refers_to.
+    """pages (page_id, url, html) as payload, payload_bytes, payload_digest, record_type, refers_to, refers_to_url.
 
-    Only digests that occur twice or more are joined back; of those the smallest page_id is the response.
+    Only digests that occur twice or more are joined back; of those the smallest page_id is the response, and of its records that of the first url is referred to.
     """
     payload = F.coalesce(F.col("html"), F.lit(""))
     out = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), payload.alias("payload"))
     out = out.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", base32_sha1(F.col("payload").cast("binary")))
-    groups = out.filter(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
-    repeated = bounded_broadcast(stored(groups.filter("n > 1").select("payload_digest", "first_id"), "warc-repeated"), MAX_BROADCAST_DIGESTS)
+    groups = out.filter(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url")))["url"].alias("first_url"), F.count(F.lit(1)).alias("n"))
+    repeated = bounded_broadcast(stored(groups.filter("n > 1").select("payload_digest", "first_id", "first_url"), "warc-repeated"), MAX_BROADCAST_DIGESTS)
     out = out.join(repeated, "payload_digest", "left")
     revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")) & (F.col("payload_bytes") >= least_bytes)
-    return out.withColumn("record_type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))).withColumn("refers_to", F.when(revisit, F.col("first_id"))).drop("first_id")
+    return out.withColumn("record_type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))).withColumn("refers_to", F.when(revisit, F.col("first_id"))).withColumn("refers_to_url", F.when(revisit, F.col("first_url"))).drop("first_id", "first_url")
 
 
 def record_id(page_id: Column, digest: Column, url: Column) -> Column:
@@ -82,8 +83,10 @@ def record_id(page_id: Column, digest: Column, url: Column) -> Column:
 def record_text(payload: str = "payload", date: str = "1970-01-01T00:00:00Z") -> Column:
     """A whole record, but for its last line feed, which the text sink adds; date is that of the crawl."""
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
-    refers = F.concat(F.lit("<urn:page:"), F.coalesce(F.col("refers_to").cast("string"), F.lit("")), F.lit(">"))
-    revisit = F.concat(line("WARC-Profile", F.lit(REVISIT_PROFILE)), line("WARC-Refers-To", refers))
+    # equal payloads have equal digests, so the response's id follows from the revisit
+    refers = record_id(F.col("refers_to"), F.col("payload_digest"), F.coalesce("refers_to_url", F.lit("")))
+    address = line("WARC-Refers-To-Target-URI", F.translate(F.coalesce("refers_to_url", F.lit("")), "\r\n", ""))
+    revisit = F.concat(line("WARC-Profile", F.lit(REVISIT_PROFILE)), line("WARC-Refers-To", refers), address)
     return F.concat(
         F.lit(f"{VERSION}\r\n"),
         line("WARC-Type", F.col("record_type")),
@@ -100,15 +103,18 @@ def record_text(payload: str = "payload", date: str = "1970-01-01T00:00:00Z") ->
 
 
 def write_archives(records: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z") -> None:
-    """Writes the records of with_revisits as archives of at most ARCHIVE_BYTES of payload each."""
-    longest = records.agg(F.coalesce(F.max("payload_bytes"), F.lit(0)).alias("n")).first()["n"]
+    """Writes the records of with_revisits as archives of at most ARCHIVE_BYTES of payload each, or one larger record.
 
-    def write(some: DataFrame, most: int) -> None:
-        some.select(record_text(date=date).alias("value")).write.mode("append").option("maxRecordsPerFile", max(1, ARCHIVE_BYTES // most)).option("lineSep", "\n").text(path)
-
-    write(records.filter(F.col("payload_bytes") <= SHARED_BYTES) if longest > SHARED_BYTES else records, SHARED_BYTES)
-    if longest > SHARED_BYTES:
-        write(records.filter(F.col("payload_bytes") > SHARED_BYTES), longest)
+    Records are written by size class, each four times the one before, as an archive takes as many as its class allows; only a class that occurs is
+    written.  Payloads up to SHARED_BYTES, which most are, are one class.
+    """
+    size = F.greatest(F.ceil(F.log2(F.col("payload_bytes") / SHARED_BYTES) / 2), F.lit(0)).cast("int")
+    size = F.when(F.col("payload_bytes") <= SHARED_BYTES, 0).otherwise(size)
+    classes = sorted(r["c"] for r in records.groupBy(size.alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()) or [0]
+    for c in classes:
+        some = records.filter(size == c) if len(classes) > 1 else records
+        most = max(1, ARCHIVE_BYTES // (SHARED_BYTES * 4**c))
+        some.select(record_text(date=date).alias("value")).write.mode("append").option("maxRecordsPerFile", most).option("lineSep", "\n").text(path)
 
 
 def gzip_member(record: bytes) -> bytes:
@@ -162,34 +168,43 @@ def inflate(data: bytes, at: int) -> tuple[bytes | None, int]:
     return (b"".join(out), to - len(unpacker.unused_data)) if unpacker.eof else (None, len(data))
 
 
-def member(data: bytes, at: int) -> tuple[dict | None, int, str]:
-    """The record that a gzip member at a place holds and where the member ends."""
+def member(data: bytes, at: int) -> tuple[list[tuple[dict | None, int, str]], int, str]:
+    """What a gzip member at a place holds, records and gaps of plain bytes, and where the member ends; nothing if no record can be read in it."""
     plain, end = inflate(data, at)
     if plain is None:
-        return None, at, "damaged member"
+        return [], at, "damaged member"
     record, inner, why = read_record(plain, 0)
-    if record is not None and inner != len(plain):
-        return None, end, "more than one record in a member"
-    return record, end, why
+    if record is not None and inner == len(plain):
+        return [(record, 0, "")], end, ""
+    # an archive that was packed in one piece, or several records to a member
+    found = [(r, gap, reason) for _, r, gap, reason in salvage(plain)]
+    return (found, end, "") if any(r is not None for r, _, _ in found) else ([], end, why)
 
 
 def salvage(data: bytes) -> Iterator[tuple[int, dict | None, int, str]]:
-    """(offset, record or None, bytes of a gap, its reason) through an archive, plain or of gzip members."""
+    """(offset, record or None, bytes of a gap, its reason) through an archive, plain or of gzip members.
+
+    Records and gaps within a member have the member's offset; bytes of such a gap are those inflated.
+    """
     at, seen = 0, Places(data)
     while at < len(data):
-        record, end, why = (member if data.startswith(GZIP, at) else read_record)(data, at)
-        if record is None:
+        if data.startswith(GZIP, at):
+            found, end, why = member(data, at)
+        else:
+            record, end, why = read_record(data, at)
+            found = [(record, 0, "")] if record is not None else []
+        for record, gap, reason in found:
+            yield at, record, gap, reason
+        if not found:
             # a sound head gives the place of the next record; if there is none, its length is wrong
             end = end if end > at and (end == len(data) and why != "wrong length" or starts(data, end)) else next_start(data, at + 1, seen)
             yield at, None, end - at, why
-        else:
-            yield at, record, 0, ""
         at = end
 
 
 def starts(data: bytes, at: int) -> bool:
     """Whether a record or a member begins at a place."""
-    return bool(START.match(data, at)) or (data.startswith(GZIP, at) and member(data, at)[0] is not None)
+    return bool(START.match(data, at)) or (data.startswith(GZIP, at) and bool(member(data, at)[0]))
 
 
 class Places:
@@ -217,8 +232,7 @@ def next_start(data: bytes, at: int, seen: Places) -> int:
         place = min(line, pack)
         if place == len(data):
             return place
-        record, _, _ = member(data, place) if place == pack else read_record(data, place)
-        if record is not None:
+        if member(data, place)[0] if place == pack else read_record(data, place)[0] is not None:
             return place
         at = place + 1
 
