@@ -30,6 +30,8 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Benchmark tables up to this many rows (about 100 bytes each) are broadcast, larger ones are joined by shuffles.
 MAX_BROADCAST_ROWS = 200_000
+#: Probes with their windows' words (some kilobytes each, as a probe has up to ten windows of ten words) up to this many are broadcast.
+MAX_BROADCAST_PROBES = 20_000
 #: Tasks that a very common word's occurrences are dealt to in such a shuffle.
 SALTS = 64
 
@@ -112,7 +114,7 @@ def phrase_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, rare
     probe = stored(probes(windows, frequency, rarest), "bench-probes")
     anchors = probe.select(F.explode("anchors.term").alias("term")).distinct()
     index = stored(build_index(docs, anchors), "bench-postings")
-    found = alignments(index, probe, rarest).join(bounded_broadcast(probe.select("probe", "windows"), MAX_BROADCAST_ROWS), "probe")
+    found = alignments(index, probe, rarest).join(bounded_broadcast(probe.select("probe", "windows"), MAX_BROADCAST_PROBES), "probe")
     place = F.explode(F.flatten(F.transform("starts", lambda s: F.transform("windows", lambda x: F.struct(x["item_id"].alias("item_id"), (s + x["at"]).alias("start"), F.array_join(x["words"], " ").alias("phrase"), F.size(x["words"]).alias("length"))))))
     candidate = found.select("doc", "key", place.alias("c")).filter("c.start >= 0")
     # candidates of a document: places of the rarest words of items, each once
