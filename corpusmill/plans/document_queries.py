@@ -251,6 +251,12 @@ def snk_chunk_pages(spark, d):
     return sinks.chunk_pages(x, 1, 2)
 
 
+@query(SQL["spl_fixed"])
+def snk_full_texts(spark, d):
+    """Chunks of parsed texts that were saved before: what spl_fixed makes of the documents themselves."""
+    return sp.split_documents(sinks.save_full_texts(t(spark, d, "documents"), new_path(spark, "texts")), "fixed")
+
+
 @query()
 def spl_html(spark, d):
     """Pages as chunks of blocks, then tables."""

@@ -137,6 +137,27 @@ def ret_grade_and_retry(spark, d):
     return ports.grade_and_retry(lambda mode, least: hits.filter(F.col("score") >= least), enough, ["first", "second"], 0.75)
 
 
+@query("WITH " + bm25_sql(where="lang = 'en'", name="a") + ", " + bm25_sql(name="b") + """, one AS (SELECT *, 0 AS attempt FROM a WHERE score >= 20), good AS (SELECT query_id FROM one GROUP BY query_id HAVING count(*) >= 3)
+SELECT query_id, chunk_id, score, attempt FROM one WHERE query_id IN (SELECT query_id FROM good) UNION ALL SELECT query_id, chunk_id, score, 1 FROM b WHERE score >= 20 * 0.7 AND query_id NOT IN (SELECT query_id FROM good)""")
+def ret_grade_modes(spark, d):
+    """English documents first; queries with fewer than three good hits go on to all documents, at a lower threshold."""
+    chunks, q = _chunks(spark, d), _queries(spark, d)
+    modes = {"english": F.col("lang") == "en", "all": F.lit(True)}
+    search = lambda mode, least: r.bm25(chunks, q, 10, keep=modes[mode], extra=("lang",)).filter(F.col("score") >= least)
+    enough = lambda h: h.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).filter("n >= 3").select("query_id")
+    return ports.grade_and_retry(search, enough, ["english", "all"], 20).select("query_id", "chunk_id", "score", "attempt")
+
+
+@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN least(greatest(n_chars % 14 - 1, 1), 10) WHEN 1 THEN n_chars % 10 + 1 ELSE 5 END::INT AS score, CASE doc_id % 4 WHEN 0 THEN least(greatest(n_chars % 14 - 1, 1), 10) >= 5 WHEN 1 THEN n_chars % 10 + 1 >= 5 WHEN 2 THEN true ELSE false END AS passed, CASE doc_id % 4 WHEN 0 THEN source WHEN 3 THEN 'no grade' ELSE '' END AS reason FROM documents""")
+def mdl_grades(spark, d):
+    """Grades of answers with JSON, in a fence, without a score, and without JSON."""
+    k, n = F.col("doc_id") % 4, F.col("n_chars")
+    full = F.concat(F.lit('{"score": '), (n % 14 - 1).cast("string"), F.lit(', "reason": "'), "source", F.lit('"}'))
+    fenced = F.concat(F.lit('Here:\n```json\n{"score": '), (n % 10 + 1).cast("string"), F.lit("}\n```"))
+    g = ports.grades(F.when(k == 0, full).when(k == 1, fenced).when(k == 2, '{"other": 1}').otherwise("score: 9"))
+    return t(spark, d, "documents").select("doc_id", g["score"].alias("score"), g["passed"].alias("passed"), g["reason"].alias("reason"))
+
+
 @query("SELECT conv_id, CASE WHEN contains(lower(string_agg(text, ' ')), 'the') THEN 'yes' ELSE 'no' END AS verdict FROM conversations GROUP BY conv_id")
 def mdl_verdict(spark, d):
     """A scripted model's verdict on each conversation."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
 from ..operators import resume
 from ..operators import statistics as st
 
@@ -355,9 +356,11 @@ def ag_reviews(spark, d):
     return t(spark, d, "events").groupBy("user_id").agg(F.round(F.avg("value") + 1e-9, 2).alias("rating"), F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT doc_id, round(length(left(text, 200)) / greatest(length(text), 1), 6) AS ratio FROM documents")
+@query("SELECT doc_id, round(CASE WHEN length(text) > 4000 THEN 3000 + 5 + 800 ELSE length(text) END / greatest(length(text), 1), 6) AS ratio FROM documents")
 def ag_compression(spark, d):
-    return t(spark, d, "documents").select("doc_id", F.round(F.length(F.left("text", F.lit(200))) / F.greatest(F.length("text"), F.lit(1)), 6).alias("ratio"))
+    """How much of each text its head and tail are, with the mark between them."""
+    x = t(spark, d, "documents")
+    return x.select("doc_id", F.round(F.length(tx.head_tail(F.col("text"))) / F.greatest(F.length("text"), F.lit(1)), 6).alias("ratio"))
 
 
 # sorting, pages, sets

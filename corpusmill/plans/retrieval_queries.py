@@ -270,6 +270,16 @@ def ret_context(spark, d):
     return hits.groupBy("query_id").agg(F.array_join(lines, "\n").alias("context"))
 
 
+@query("WITH " + bm25_sql(k=20) + r""", c AS (SELECT query_id, rank, CASE WHEN doc_id % 2 = 0 THEN 'http://x/' || doc_id ELSE '文档 ' || source END AS src, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM hits JOIN documents ON chunk_id = doc_id WHERE rank <= 15)
+SELECT query_id, string_agg('【来源 ' || rank || '】(' || src || ')' || chr(10) || t || chr(10), chr(10) ORDER BY rank) AS context FROM c WHERE t <> '' GROUP BY query_id""")
+def ret_search_context(spark, d):
+    """The fifteen best of twenty hits as numbered blocks with their sources."""
+    chunks = _chunks(spark, d)
+    hits = r.bm25(chunks, _queries(spark, d), 20).join(chunks, "chunk_id")
+    url = F.when(F.col("chunk_id") % 2 == 0, F.concat(F.lit("http://x/"), F.col("chunk_id").cast("string")))
+    return r.search_context(hits.withColumns({"url": url, "document": F.col("source"), "content": F.concat(F.lit("<|im_start|> "), "content")}))
+
+
 @query("WITH " + bm25_sql(where="source = 'src0'") + " SELECT item_id AS query_id, count(chunk_id) = 0 AS refused FROM benchmark LEFT JOIN hits ON item_id = query_id GROUP BY item_id")
 def ret_refusal(spark, d):
     """Whether a query finds nothing."""

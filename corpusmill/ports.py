@@ -172,6 +172,16 @@ def reranked(hits: DataFrame, query: str, content: str, port: RerankPort, top: i
     return better.unionByName(kept)
 
 
+def grades(answer: Column, passing: int = 5) -> Column:
+    """A struct of score (1 to 10), passed and reason of a model's answer with JSON in it; what can't be read has 5 and hasn't passed."""
+    braces = F.regexp_extract(F.coalesce(answer, F.lit("")), r"(?s)(\{.*\})", 1)
+    given = F.from_json(braces, "score double, reason string")
+    read = F.coalesce(F.try_parse_json(braces).isNotNull() & (braces != ""), F.lit(False))
+    score = F.when(read, F.least(F.greatest(F.coalesce(given["score"], F.lit(5.0)).cast("int"), F.lit(1)), F.lit(10))).otherwise(5)
+    reason = F.when(read, F.coalesce(given["reason"], F.lit(""))).otherwise("no grade")
+    return F.struct(score.alias("score"), (read & (score >= passing)).alias("passed"), reason.alias("reason"))
+
+
 def grade_and_retry(search: Callable[[str, float], DataFrame], enough: Callable[[DataFrame], DataFrame], modes: list[str], threshold: float, decay: float = 0.7) -> DataFrame:
     """Searches all queries by the first mode; those not graded enough go on to the next mode at a lower threshold.
 
