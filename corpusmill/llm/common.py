@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import drop_stored, new_path, shared_dir, stored  # noqa: F401
+from ..sources.shared import drop_stored, new_path, shared_dir, small_batches, stored  # noqa: F401
 
 #: ASCII white space; everything else belongs to a word.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -21,13 +21,6 @@ def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
-def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
-    """Sets the session to hand at most so many rows to Python at a time, as whole texts make 10 000 too much memory for a worker."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= rows:
-        spark.conf.set(name, str(rows))
-
-
 def words(text: Column) -> Column:
     """The words of a whole text, unchanged, as an array; a null text has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")

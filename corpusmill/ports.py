@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .sources.shared import stored
+
 
 class EmbeddingPort(Protocol):
     dimension: int
@@ -190,7 +192,8 @@ def grade_and_retry(search: Callable[[str, float], DataFrame], enough: Callable[
     """
     out = served = None
     for attempt, mode in enumerate(modes):
-        hits = search(mode, threshold * decay**attempt).withColumn("attempt", F.lit(attempt))
+        # hits are read for the grade, for the result and for what is served
+        hits = stored(search(mode, threshold * decay**attempt).withColumn("attempt", F.lit(attempt)), "graded")
         hits = hits if served is None else hits.join(served, "query_id", "left_anti")
         good = hits if attempt == len(modes) - 1 else hits.join(enough(hits), "query_id", "left_semi")
         out = good if out is None else out.unionByName(good)
