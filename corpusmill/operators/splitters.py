@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.shared import small_batches
+
 #: Separators from coarse to fine.
 SEPARATORS = ["\n\n", "。", "！", "？", ".", "!", "?", ",", "\n", " ", ""]
 SENTENCE_END = re.compile(r"(?<=[。！？.!?])")
@@ -124,6 +126,7 @@ def markdown(text: str, size: int = 1000, least: int = 50) -> list[str]:
 
 def markdown_chunks(docs: DataFrame, size: int = 1000, least: int = 50, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, chunk_index, content, title, level) of Markdown texts."""
+    small_batches(docs.sparkSession)
 
     @F.pandas_udf("array<struct<content:string,title:string,level:int>>")
     def split(texts):
@@ -395,6 +398,7 @@ def split_by_settings(docs: DataFrame, settings: Settings, embed: Callable[[Colu
 
 
 def _chunk_rows(docs: DataFrame, split: Callable[[Column], Column], text: str, key: str) -> DataFrame:
+    small_batches(docs.sparkSession)
     chunks = docs.select(key, F.posexplode(split(F.col(text))).alias("chunk_index", "content"))
     return chunks.withColumn("chunk_id", F.concat_ws("_", F.col(key).cast("string"), F.col("chunk_index").cast("string")))
 
