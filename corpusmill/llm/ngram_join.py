@@ -8,18 +8,16 @@ or more.
 3. Prefixes are shortened from the whole depth in steps, down to the longest one at which a pair at the
    threshold meets in some trie with the target recall.  A text's leaf is the shortest prefix
    that at most `leaf` texts share; all pairs of a leaf are candidates.  In a trie node with more texts,
-   every text is a candidate with the node's pivot, so a large group costs a row for each member, not
-   one for each pair; its members meet each other through pivots of many nodes and leaves.
-4. Candidates are verified on their 5-grams themselves.
-5. Links make classes: connected components by propagation of the smallest label.
-6. Texts of large nodes in which several classes meet are dealt into blocks of bounded size.  Each two blocks that
-   meet in such a node are compared text by text within a task, on their grams, and only links between different
-   classes leave it; they join the classes.  Two blocks of one class aren't compared.  The comparisons grow with the
-   square of a family of texts a little less alike than the threshold, which no longer prefix tells apart at the recall.
-
-A node's pivot is its member of smallest hash, so nodes of one group mostly share it.  Links between two
-members of one large node and class aren't all listed one by one (they'd be as many as the square
-of the group); they wouldn't change the class.
+   every text is a candidate with the node's pivot.
+4. What the forest leaves out is found by prefixes of the gram sets, which lose nothing: in any one order of all grams, two
+   texts of n and m grams that are linked share one of the first n - ceil(threshold n) + 1 and m - ceil(threshold m) + 1.
+   The order has grams of many texts last, so few texts share a first gram.  Texts that share one of few texts are candidates.
+5. Texts that share first grams of many texts are families, the components over such grams, dealt into blocks of bounded
+   size.  Each two blocks of a family are compared text by text within a task, on their grams; counts of links, and as many
+   links as hold the classes together, leave it.  So a group of near copies isn't listed pair by pair.  The comparisons grow with the
+   square of a family, as the number of links does that are counted.
+6. Other candidates are verified on their 5-grams themselves.
+7. Links make classes: connected components by propagation of the smallest label.
 
 Defined results: a null text is a class of its own; a text of fewer than five words is one
 gram of all its words; texts without words are linked to nothing, but equal ones are copies; copies, with any
@@ -40,14 +38,22 @@ GRAM = 5
 LAST = (1 << 63) - 1
 #: Texts with candidates up to this many (8 bytes each) are broadcast to pick them out of the documents.
 MAX_BROADCAST_TEXTS = 2_000_000
-#: Texts in nodes where several classes meet, up to this many (16 bytes each), are broadcast.
+#: Texts of families, up to this many (24 bytes each), are broadcast.
 MAX_BROADCAST_CROWD = 1_000_000
 #: Grams (8 bytes each) of a block of texts that are compared within a task, about so many; a longer text stays whole.
 BLOCK_GRAMS = 1 << 17
-#: Pairs of blocks, and classes or families of more than a block, up to this many (about 50 bytes each), are broadcast.
+#: A text counts as so many grams at least, so that a block of short ones holds few.
+LEAST_GRAMS = 64
+#: Pairs of blocks, and families of more than a block, up to this many (about 50 bytes each), are broadcast.
 MAX_BROADCAST_BLOCKS = 300_000
 #: Trie nodes with more texts than a leaf, up to this many (about 60 bytes each), are broadcast.
 MAX_BROADCAST_NODES = 300_000
+#: Grams of more texts than this (copies count) are frequent; more, if there are too many of them.
+FEW = 16
+#: Frequent grams go to all tasks, up to this many (16 bytes each).
+MAX_FREQUENT = 2_000_000
+#: Characters of text for each part that grams are dealt to, a few million grams.
+PART_CHARS = 24_000_000
 SEEDS = np.random.default_rng(10).integers(1, 1 << 63, 1024, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -101,12 +107,8 @@ def signature_batches(trees: int, lengths: list[int], depth: int):
     return sign
 
 
-def candidates(texts: DataFrame, trees: int, depth: int, threshold: float, recall: float, leaf: int) -> tuple[DataFrame, DataFrame]:
-    """(a, b) and (tree, prefix, node).
-
-    Pairs of texts that meet in a leaf, or with a pivot in a larger node; each pair once, a the one of smaller hash.
-    The members of the large nodes of shortest prefix, in which pairs may meet that are not among these.
-    """
+def candidates(texts: DataFrame, trees: int, depth: int, threshold: float, recall: float, leaf: int) -> DataFrame:
+    """(a, b): pairs of texts that meet in a leaf, or with a pivot in a larger node."""
     lengths = levels(trees, depth, threshold, recall)
     signed = texts.select("node", "text").mapInArrow(signature_batches(trees, lengths, depth), "node long, prefixes array<long>")
     # copies have one signature; they meet before the shuffle and after it
@@ -120,8 +122,6 @@ def candidates(texts: DataFrame, trees: int, depth: int, threshold: float, recal
         p = f"p{k}"
         large = forest.groupBy("tree", p).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(order(F.col("node")), "node"))["node"].alias("pivot")).filter(F.col("n") > leaf)
         large = stored(large.select("tree", p, F.col("pivot").alias(f"v{k}")), f"forest-large-{k}")
-        if k == lengths[0]:
-            crowds = forest.select("tree", p, "node").join(bounded_broadcast(large.select("tree", p), MAX_BROADCAST_NODES), ["tree", p]).withColumnRenamed(p, "prefix")
         walk = walk.join(bounded_broadcast(large, MAX_BROADCAST_NODES), ["tree", p], "left")
         leaf_prefix = F.coalesce(leaf_prefix, F.when(F.col(f"v{k}").isNull(), F.col(p)))
         star.append(F.struct(F.col(f"v{k}").alias("a"), F.col("node").alias("b")))
@@ -131,7 +131,118 @@ def candidates(texts: DataFrame, trees: int, depth: int, threshold: float, recal
     groups = leaves.filter(F.size("m") > 1).select(F.transform(F.sort_array("m"), lambda s: s["node"]).alias("m")).distinct()
     pairs = F.flatten(F.transform("m", lambda x, i: F.transform(F.slice("m", i + 2, F.size("m")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
     near = groups.select(F.explode(pairs).alias("s")).select("s.a", "s.b")
-    return near.unionByName(pivots).distinct(), crowds
+    return near.unionByName(pivots)
+
+
+def gram_counter(parts: int):
+    """Grams of texts by part, as blobs of their upper halves."""
+
+    def deal(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            values = np.concatenate([np.zeros(0, dtype=np.uint64), *[grams(step)[0] for step in rolling.steps(batch.column("text"))]])
+            part = values % np.uint64(parts)
+            order = np.argsort(part, kind="stable")
+            at, first = np.unique(part[order], return_index=True)
+            blobs = [v.tobytes() for v in np.split((values[order] >> np.uint64(32)).astype(np.uint32), first[1:])] if len(at) else []
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(blobs, pa.binary())], names=["part", "halves"])
+
+    def count(table):
+        import pyarrow as pa
+
+        half, n = np.unique(np.concatenate([np.frombuffer(b, np.uint32) for b in table.column("halves").to_pylist()]), return_counts=True)
+        often = n > FEW
+        key = half[often].astype(np.uint64) << np.uint64(32) | np.uint64(table.column("part")[0].as_py())
+        return pa.table({"key": key.view(np.int64), "n": n[often].astype(np.int64)})
+
+    return deal, count
+
+
+def frequent(texts: DataFrame, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys (upper half and part) of the grams of many texts, sorted, and how many; 2^32 keys a part, so few grams share one."""
+    deal, count = gram_counter(parts)
+    many = stored(texts.select("text").mapInArrow(deal, "part long, halves binary").groupBy("part").applyInArrow(count, "key long, n long"), "join-frequent")
+    least = FEW
+    while many.filter(F.col("n") > least).count() > MAX_FREQUENT:
+        least *= 2
+    found = many.filter(F.col("n") > least).toArrow()
+    key, n = found.column("key").to_numpy().view(np.uint64), found.column("n").to_numpy()
+    order = np.argsort(key)
+    # one more that no gram has
+    return np.append(key[order], np.uint64((1 << 64) - 1)), np.append(n[order], 0)
+
+
+def prefix_batches(threshold: float, parts: int, known: np.ndarray, often: np.ndarray):
+    """The first grams of texts, as blobs: those of few texts by the gram, from part 0 on, frequent ones by the text, below 0."""
+
+    def deal(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            node, found = batch.column("node").to_numpy(zero_copy_only=False), []
+            for step in rolling.steps(batch.column("text")):
+                values, first = grams(step)
+                row = np.repeat(np.arange(step.n), np.diff(first))
+                key = values >> np.uint64(32) << np.uint64(32) | values % np.uint64(parts)
+                at = np.searchsorted(known, key)
+                many = np.where(known[at] == key, often[at], 0)
+                order = np.lexsort((values, many, row))
+                values, many, row = values[order], many[order], row[order]
+                new = np.concatenate([[True], (values[1:] != values[:-1]) | (row[1:] != row[:-1])])[: len(values)]
+                values, many, row = values[new], many[new], row[new]
+                n = np.bincount(row, minlength=step.n)
+                place = np.arange(len(row)) - (np.cumsum(n) - n)[row]
+                own = place <= (n - np.ceil(threshold * n - 1e-9))[row]
+                values, many, row = values[own], many[own], row[own]
+                of = node[step.first + row]
+                part = np.where(many > 0, -1 - (of.view(np.uint64) % np.uint64(parts)).astype(np.int64), (values % np.uint64(parts)).astype(np.int64))
+                found.append((part, values, of, n[row].astype(np.int32)))
+            if not found:
+                continue
+            part, *columns = (np.concatenate(c) for c in zip(*found, strict=True))
+            order = np.argsort(part, kind="stable")
+            at, first = np.unique(part[order], return_index=True)
+            blobs = [pa.array([v.tobytes() for v in np.split(c[order], first[1:])] if len(at) else [], pa.binary()) for c in columns]
+            yield pa.RecordBatch.from_arrays([pa.array(at), *blobs], names=["part", "grams", "nodes", "sizes"])
+
+    return deal
+
+
+def meet(threshold: float):
+    """Of a part of first grams: the pairs (a, b) of texts that share one, or the frequent ones (gram, a, size)."""
+
+    def pair(table):
+        import pyarrow as pa
+
+        gram, node, n = (np.concatenate([np.frombuffer(b, t) for b in table.column(c).to_pylist()]) for c, t in (("grams", np.int64), ("nodes", np.int64), ("sizes", np.int32)))
+        order = np.lexsort((node, gram))
+        gram, node, n = gram[order], node[order], n[order]
+        new = np.concatenate([[True], (gram[1:] != gram[:-1]) | (node[1:] != node[:-1])])
+        gram, node, n = gram[new], node[new], n[new]
+        if table.column("part")[0].as_py() < 0:
+            return pa.table({"gram": gram, "a": node, "b": pa.nulls(len(node), pa.int64()), "size": n})
+        found, i = [np.zeros((0, 2), dtype=np.int64)], np.arange(len(gram))
+        for step in range(1, len(gram)):
+            i = i[i + step < len(gram)]
+            i = i[gram[i] == gram[i + step]]
+            if not len(i):
+                break
+            near = np.minimum(n[i], n[i + step]) >= threshold * np.maximum(n[i], n[i + step]) - 1e-6
+            found.append(np.stack([node[i[near]], node[i[near] + step]], axis=1))
+        both = np.unique(np.concatenate(found), axis=0)
+        return pa.table({"gram": pa.nulls(len(both), pa.int64()), "a": both[:, 0], "b": both[:, 1], "size": pa.nulls(len(both), pa.int32())})
+
+    return pair
+
+
+def shared_prefixes(texts: DataFrame, threshold: float) -> DataFrame:
+    """(gram, a, b, size), stored: pairs (a, b) of texts that share a first gram of few texts, and frequent first grams (gram, a, size)."""
+    chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    parts = 1 + chars // PART_CHARS
+    deal = prefix_batches(threshold, parts, *frequent(texts, parts))
+    dealt = texts.select("node", "text").mapInArrow(deal, "part long, grams binary, nodes binary, sizes binary")
+    return stored(dealt.groupBy("part").applyInArrow(meet(threshold), "gram long, a long, b long, size int"), "join-prefixes")
 
 
 def verify_batches(threshold: float):
@@ -185,7 +296,7 @@ def gram_batches(batches):
 
 
 def block_links(threshold: float):
-    """The links of different labels between the texts (node, label, grams) of side 0 and side 1, or within side 0 if it is alone."""
+    """Of the texts (node, grams) of side 0 and side 1, or within side 0 if it is alone: how many links each has (a, n), and a few (a, b) that hold their classes together."""
 
     def compare(table):
         import pyarrow as pa
@@ -193,11 +304,11 @@ def block_links(threshold: float):
         side, n = table.column("side").to_numpy(), table.column("grams").combine_chunks().value_lengths().to_numpy().astype(np.int64)
         order = np.lexsort((n, side))
         table, side, n = table.take(order), side[order], n[order]
-        node, label = table.column("node").to_numpy(), table.column("label").to_numpy()
+        node = table.column("node").to_numpy()
         # grams are numbered, so that one text's marks are looked up by all others at once
         number = np.unique(table.column("grams").combine_chunks().flatten().to_numpy(), return_inverse=True)[1]
         first, marked = np.concatenate([[0], np.cumsum(n)]), np.zeros(len(number), dtype=np.int8)
-        middle, found = int(np.searchsorted(side, 1)), []
+        middle, found = int(np.searchsorted(side, 1)), [np.zeros((2, 0), dtype=np.int64)]
         within = middle == len(side)
         for i in range(middle):
             # in order of size, the texts that may be alike stand together
@@ -209,55 +320,60 @@ def block_links(threshold: float):
             marked[own] = 1
             both = np.add.reduceat(marked[number[first[low] : first[high]]], first[low:high] - first[low], dtype=np.int64)
             marked[own] = 0
-            alike = both / (n[i] + n[low:high] - both)
-            at = np.flatnonzero((alike >= threshold) & (label[low:high] != label[i]))
-            found.append((np.full(len(at), node[i]), node[low + at], alike[at]))
-        x, y, alike = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (node[:0], node[:0], np.zeros(0))
-        return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y), "similarity": alike})
+            at = low + np.flatnonzero(both / (n[i] + n[low:high] - both) >= threshold)
+            found.append(np.stack([np.full(len(at), i), at]))
+        x, y = np.concatenate(found, axis=1)
+        links, label = np.bincount(np.concatenate([x, y]), minlength=len(n)), np.arange(len(n))
+        while (label[x] != label[y]).any():
+            least = np.minimum(label[x], label[y])
+            np.minimum.at(label, x, least)
+            np.minimum.at(label, y, least)
+        some, held = np.flatnonzero(links), np.flatnonzero(label != np.arange(len(n)))
+        b = pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array(node[held])])
+        return pa.table({"a": np.concatenate([node[some], node[label[held]]]), "b": b, "n": np.concatenate([links[some], np.zeros(len(held), dtype=np.int64)])})
 
     return compare
 
 
-def hidden_links(texts: DataFrame, crowds: DataFrame, found: DataFrame, threshold: float) -> DataFrame | None:
-    """(a, b, similarity): the links of texts that meet in one large node, but are of different classes of the links found.
+def families(shared: DataFrame) -> DataFrame:
+    """(node, family, n), stored: texts that share frequent first grams with others, and their numbers of grams."""
+    crowd = shared.filter("gram is not null")
+    pivots = crowd.groupBy("gram").agg(F.min("a").alias("pivot"), F.max("a").alias("last")).filter("pivot < last").select("gram", "pivot")
+    edges = crowd.join(bounded_broadcast(pivots, MAX_FREQUENT), "gram").select(F.col("pivot").alias("a"), F.col("a").alias("b")).filter("a != b").distinct()
+    nodes = crowd.groupBy(F.col("a").alias("node")).agg(F.any_value("size").alias("n"))
+    labels = components(nodes.select("node", F.lit(0).alias("doc")), edges)
+    return stored(labels.select("node", F.col("label.node").alias("family")).join(nodes, "node"), "join-families")
 
-    A text's family is the largest of its nodes, so texts of one group lie in few blocks.  A class of more than half a block has
-    blocks of its own; smaller ones share them.
-    """
-    nodes = found.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("doc", F.lit(0))
-    labels = components(nodes, found).select("node", F.col("label.node").alias("label"))
-    member = stored(crowds.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "join-crowds")
-    split = member.groupBy("tree", "prefix").agg(F.min("label").alias("l"), F.max("label").alias("m"), F.count(F.lit(1)).alias("size")).filter("l < m").select("tree", "prefix", "size")
-    member = member.join(bounded_broadcast(split, MAX_BROADCAST_NODES), ["tree", "prefix"])
-    crowd = stored(member.groupBy("node").agg(F.any_value("label").alias("label"), F.max(F.struct("size", "tree", "prefix")).alias("family")), "join-crowd")
-    if crowd.isEmpty():
-        return None
-    own = texts.select("node", "text").join(bounded_broadcast(crowd.select("node"), MAX_BROADCAST_CROWD), "node", "left_semi")
-    held = stored(own.groupBy("node").agg(F.any_value("text").alias("text")).mapInArrow(gram_batches, "node long, grams array<long>"), "join-grams")
-    sized = stored(crowd.join(held.select("node", F.size("grams").alias("n")), "node"), "join-sizes")
-    big = sized.groupBy("family", "label").agg(F.sum("n").alias("n")).filter(F.col("n") > BLOCK_GRAMS // 2).select("family", "label", F.col("label").alias("alone"))
-    sized = stored(sized.join(bounded_broadcast(big, MAX_BROADCAST_BLOCKS), ["family", "label"], "left").withColumn("part", F.struct("family", "alone")), "join-parts")
-    wide = sized.groupBy("part").agg(F.ceil(F.sum("n") / BLOCK_GRAMS).alias("parts")).filter("parts > 1")
+
+def family_links(texts: DataFrame, member: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, n): how many links a text has within its family (node, family, n), in pieces, and links that hold classes together.  Texts of a family are dealt into blocks; each two of them meet in a task."""
+    member = member.withColumn("weight", F.greatest("n", F.lit(LEAST_GRAMS)))
+    wide = member.groupBy("family").agg(F.ceil(F.sum("weight") / BLOCK_GRAMS).alias("parts")).filter("parts > 1")
     dealt = F.pmod(F.xxhash64(F.lit(11), "node"), F.coalesce("parts", F.lit(1)))
-    placed = sized.join(bounded_broadcast(wide, MAX_BROADCAST_BLOCKS), "part", "left").select("node", "label", "alone", F.xxhash64("family", F.coalesce("alone", F.lit(0)), F.col("alone").isNull(), dealt).alias("block"))
-    placed = stored(placed, "join-placed")
-    seen = member.select("tree", "prefix", "node").join(bounded_broadcast(placed.select("node", "alone", "block"), MAX_BROADCAST_CROWD), "node").select("tree", "prefix", "block", "alone").distinct()
-    seen = stored(seen, "join-blocks")
-    other = seen.select("tree", "prefix", F.col("block").alias("other"), F.col("alone").alias("other_alone"))
-    met = seen.join(other, ["tree", "prefix"]).filter((F.col("block") <= F.col("other")) & ~F.coalesce(F.col("alone") == F.col("other_alone"), F.lit(False)))
-    pairs = stored(met.select("block", "other").distinct(), "join-block-pairs")
+    placed = stored(member.join(bounded_broadcast(wide, MAX_BROADCAST_BLOCKS), "family", "left").select("node", "family", dealt.alias("block")), "join-placed")
+    own = texts.select("node", "text").join(bounded_broadcast(placed.select("node"), MAX_BROADCAST_CROWD), "node", "left_semi")
+    held = stored(own.groupBy("node").agg(F.any_value("text").alias("text")).mapInArrow(gram_batches, "node long, grams array<long>"), "join-grams")
+    blocks = stored(placed.select("family", "block").distinct(), "join-blocks")
+    pairs = blocks.join(blocks.select("family", F.col("block").alias("other")), "family").filter("block <= other")
     sides = F.when(F.col("block") == F.col("other"), F.array("block")).otherwise(F.array("block", "other"))
-    sides = pairs.select("block", "other", F.posexplode(sides).alias("side", "of")).select(F.struct("block", "other").alias("pair"), "side", F.col("of").alias("block"))
-    rows = held.join(bounded_broadcast(placed.select("node", "label", "block"), MAX_BROADCAST_CROWD), "node").join(bounded_broadcast(sides, MAX_BROADCAST_BLOCKS), "block")
-    return rows.select("pair", "side", "node", "label", "grams").groupBy("pair").applyInArrow(block_links(threshold), "a long, b long, similarity double")
-
-
-def links(texts: DataFrame, threshold: float = 0.8, recall: float = 0.999, trees: int = 16, depth: int = 8, leaf: int = 16) -> DataFrame:
-    """(a, b, similarity) of texts (node, text), in which copies may repeat: verified links."""
-    pairs, crowds = candidates(texts, trees, depth, threshold, recall, leaf)
-    found = stored(verified(texts, stored(pairs, "join-candidates"), threshold), "join-found")
-    hidden = hidden_links(texts, crowds, found, threshold)
-    return found if hidden is None else found.unionByName(hidden)
+    sides = pairs.select("family", "block", "other", F.posexplode(sides).alias("side", "of")).select(F.struct("family", "block", "other").alias("pair"), "side", "family", F.col("of").alias("block"))
+    rows = held.join(bounded_broadcast(placed, MAX_BROADCAST_CROWD), "node").join(bounded_broadcast(sides, MAX_BROADCAST_BLOCKS), ["family", "block"])
+    return stored(rows.select("pair", "side", "node", "grams").groupBy("pair").applyInArrow(block_links(threshold), "a long, b long, n long"), "join-family-links")
+
+
+def links(texts: DataFrame, threshold: float = 0.8, recall: float = 0.999, trees: int = 16, depth: int = 8, leaf: int = 16) -> tuple[DataFrame, DataFrame]:
+    """(a, b) and (node, n_links) of texts (node, text), in which copies may repeat: links that hold the classes together, and how many each text has."""
+    shared = shared_prefixes(texts, threshold)
+    member = families(shared)
+    once = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = once(candidates(texts, trees, depth, threshold, recall, leaf)).unionByName(once(shared.filter("gram is null"))).distinct()
+    # pairs within a family are compared there
+    side = lambda c: bounded_broadcast(member.select(F.col("node").alias(c), F.col("family").alias(f"f{c}")), MAX_BROADCAST_CROWD)
+    apart = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").filter("fa is null or fb is null or fa != fb").select("a", "b")
+    found = stored(verified(texts, stored(apart, "join-candidates"), threshold), "join-found").select("a", "b", F.lit(1).cast("long").alias("n"))
+    held = family_links(texts, member, threshold)
+    degree = found.select(F.explode(F.array("a", "b")).alias("node"), "n").unionByName(held.filter("b is null").select(F.col("a").alias("node"), "n"))
+    return found.unionByName(held.filter("b is not null")).select("a", "b"), degree.groupBy("node").agg(F.sum("n").alias("n_links"))
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -281,7 +397,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999, trees: int = 16, depth: int = 8, leaf: int = 16) -> DataFrame:
     """(doc_id, key, node, class_id, class_node, n_links, is_first): a row for each row of docs (doc_id, text).
 
-    key is the text's MD5; n_links the listed links of its text to different texts; is_first marks the
+    key is the text's MD5; n_links the links of its text to different texts; is_first marks the
     rows of the class's smallest doc_id and first text.
     """
     small_batches(docs.sparkSession)
@@ -289,9 +405,8 @@ def join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999, trees:
     rows = docs.select("doc_id", F.md5("text").alias("key"), "text", own.alias("own")).withColumn("node", F.xxhash64("key"))
     light = stored(rows.select("doc_id", "key", "own", F.when(F.col("key").isNotNull(), F.col("node")).alias("node")), "join-rows")
     texts = light.filter("key is not null").groupBy("key", "node").agg(F.min("own").alias("doc"))
-    found = stored(links(rows.filter("key is not null"), threshold, recall, trees, depth, leaf), "join-links")
+    found, degree = links(rows.filter("key is not null"), threshold, recall, trees, depth, leaf)
     labels = components(texts.select("node", "doc"), found)
-    degree = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     classes = texts.select("key", "node", "doc").join(labels, "node", "left").join(degree, "node", "left")
     classes = classes.select("key", "node", F.coalesce("label", F.struct("doc", "node")).alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     out = light.drop("node").join(classes, "key", "left")
