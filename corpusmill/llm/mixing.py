@@ -40,6 +40,8 @@ SPAN = float(1 << 60)
 CHUNK = 1 << 16
 #: Sources up to this many are broadcast (about 100 bytes each), more are joined by a shuffle.
 MAX_BROADCAST_SOURCES = 100_000
+#: Runs up to this many (about 60 bytes each) are broadcast, more are joined by a shuffle.
+MAX_BROADCAST_RUNS = 300_000
 
 
 def seeded(seed: int, *parts: Column) -> Column:
@@ -109,14 +111,17 @@ def ranked_in_runs(rows: DataFrame, key: str, order: str, runs: Column, value: C
     """rows with `name`: the sum of value over the rows before, in the order of `order` and ties within the key.
 
     The order is a hash of SPAN values, so cutting it into `runs` equal stretches deals the rows of a large key evenly; sums of
-    the stretches give each its start.
+    the stretches give each its start.  These are counted before the join, so that the rows aren't broadcast: Spark takes those that
+    explode makes for as few as the rows they come from.
     """
     run, start, other = "_run", "_run_start", "_run_key"
     placed = rows.withColumn(run, F.floor(F.col(order) / F.lit(SPAN) * runs).cast("long"))
     before = Window.partitionBy(key).orderBy(run).rowsBetween(Window.unboundedPreceding, -1)
     sums = placed.groupBy(key, run).agg(F.sum(value).alias("_sum"))
     sums = sums.select(F.col(key).alias(other), F.col(run).alias("_run_no"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias(start))
-    placed = placed.join(sums, F.col(key).eqNullSafe(F.col(other)) & (F.col(run) == F.col("_run_no")))
+    sums = stored(sums, "mix-runs")
+    small = bounded_broadcast(sums, MAX_BROADCAST_RUNS)
+    placed = placed.join(sums.hint("merge") if small is sums else small, F.col(key).eqNullSafe(F.col(other)) & (F.col(run) == F.col("_run_no")))
     inside = Window.partitionBy(key, run).orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, -1)
     return placed.withColumn(name, F.col(start) + F.coalesce(F.sum(value).over(inside), F.lit(0))).drop(run, start, other, "_run_no", "_sum")
 
@@ -127,7 +132,8 @@ def block_shares(table: DataFrame, rows_per_run: int, seed: int) -> DataFrame:
     table holds source, n_blocks and ends: the quotas of the shards added up, one after the other.
     """
     chunks = table.filter("n_blocks > 0").select("source", "n_blocks", "ends", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_blocks") - 1) / CHUNK))).alias("chunk"))
-    chunks = chunks.repartition("source", "chunk")
+    # by number, as few bytes make many blocks and Spark would put them together
+    chunks = chunks.repartition(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source", "chunk")
     last = F.least((F.col("chunk") + 1) * CHUNK, F.col("n_blocks")) - 1
     blocks = chunks.select("source", "n_blocks", "ends", F.explode(F.sequence(F.col("chunk") * CHUNK, last)).alias("block_no"))
     blocks = blocks.withColumn("order", seeded(seed, F.col("source"), F.col("block_no").cast("string")))
@@ -163,7 +169,8 @@ def mix_shards(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), scale_perc
     end = F.col("start") + F.col("size")
     pieces = placed.filter("size > 0").select("source", "start", "row", end.alias("end"), F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((end - 1) / block))).alias("block_no"))
     words = F.least("end", (F.col("block_no") + 1) * block) - F.greatest("start", F.col("block_no") * block)
-    met = pieces.withColumn("words", words).join(shares, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("block_no") == F.col("b_block")))
+    # both sides are made by explode, whose rows Spark takes for few: neither may be broadcast
+    met = pieces.withColumn("words", words).join(shares.hint("merge"), F.col("source").eqNullSafe(F.col("b_source")) & (F.col("block_no") == F.col("b_block")))
     sums = F.array(*[F.sum(F.col("words") * F.get("times", F.lit(i))) for i in range(n_shards)])
     # a row's place in its source's stream names it
     taken = met.groupBy(F.col("source").alias("m_source"), F.col("start").alias("m_start"), F.col("row").alias("m_row")).agg(sums.alias("shard_words"))
